@@ -69,9 +69,21 @@ def plan_max_dates(dedup_runs: DataFrame) -> DataFrame:
     return r.groupBy("plan_id").agg(F.max(run_last_date(F.col("created_on"), F.col("completed_on"))).alias("max_date"))
 
 
+STG_COLUMNS = ("project_id", "plan_id", "plan_name", "run_id", "run_name", "milestone_id", "milestone_name",
+               "created_on_run", "completed_on_run", "is_completed_run", "assignedto_id", "acta_certificacion",
+               "eff_plan_start_on", "eff_plan_due_on", "on_time_to_qa", "on_time_from_qa", "is_blocked",
+               "is_last_cycle", "desviacion_inicio", "month_key")
+
+
 def stg_runs(dedup_runs: DataFrame, dedup_plans: DataFrame, dedup_milestones: DataFrame) -> DataFrame:
     """One row per run with plan / milestone context and the on-time,
     blocked, last-cycle and deviation measures (20 columns)."""
+    return stg_runs_wide(dedup_runs, dedup_plans, dedup_milestones).select(*STG_COLUMNS)
+
+
+def stg_runs_wide(dedup_runs: DataFrame, dedup_plans: DataFrame, dedup_milestones: DataFrame) -> DataFrame:
+    """``stg_runs`` plus the plan's own completion flag (``plan_is_completed``),
+    which the marts read; carrying it saves a second join to the plans."""
     pmd = plan_max_dates(dedup_runs).withColumnRenamed("plan_id", "pmd_plan_id")
     r = dedup_runs.select("id", "project_id", "plan_id", "name", "milestone_id", "created_on", "completed_on",
                           "is_completed", "assignedto_id")
@@ -111,6 +123,7 @@ def stg_runs(dedup_runs: DataFrame, dedup_plans: DataFrame, dedup_milestones: Da
         is_last_cycle.alias("is_last_cycle"),
         deviation.alias("desviacion_inicio"),
         month_key(F.coalesce(created, completed)).alias("month_key"),
+        F.col("p_is_completed").alias("plan_is_completed"),
     )
 
 

@@ -50,6 +50,24 @@ QUERIES: dict[str, QueryFn] = {
     "kpi_uat_certification": _rel("kpi_uat_certification"),
     "kpis_plan": _rel("kpis_plan"),
     "kpis_mes": _rel("kpis_mes"),
+    # §2.C marts
+    "run_defects_priority": _rel("run_defects_priority"),
+    "run_defects_jira": _rel("run_defects_jira"),
+    "run_stats": _rel("run_stats"),
+    "run_stats_exact": _rel("run_stats_exact"),
+    "plan_aggs": _rel("plan_aggs"),
+    "dashboard_mart": _rel("dashboard_mart"),
+    "run_stats_priority": _rel("run_stats_priority"),
+    "dashboard_pruebas": _rel("dashboard_pruebas"),
+    "active_plans": _rel("active_plans"),
+    "repo_cases": _rel("repo_cases"),
+    "exec_stats": _rel("exec_stats"),
+    "project_analysts": _rel("project_analysts"),
+    "project_summary": _rel("project_summary"),
+    "workload_by_analyst": _rel("workload_by_analyst"),
+    "project_analyst_demand": _rel("project_analyst_demand"),
+    "linked_info": _rel("linked_info"),
+    "jira_defects_summary": _rel("jira_defects_summary"),
     # §2.F quality
     "dq_duplicate_runs": _dq("dq_duplicate_runs"),
     "dq_future_dates": _dq("dq_future_dates"),

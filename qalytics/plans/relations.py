@@ -11,9 +11,10 @@ import datetime as _dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from qalytics import config as C
-from qalytics.operators import conform, gold, quality
+from qalytics.operators import conform, gold, marts, quality
 from qalytics.sources.fixtures import Bronze
 
 
@@ -104,3 +105,90 @@ class Relations:
     @cached_property
     def data_quality(self) -> DataFrame:
         return quality.data_quality(self.bronze.raw_runs_dirty, self.as_of)
+
+    # ---------------------------------------------------------- marts
+    @cached_property
+    def stg_runs_wide(self) -> DataFrame:
+        return conform.stg_runs_wide(self.dedup_runs, self.dedup_plans, self.dedup_milestones)
+
+    @cached_property
+    def run_defects_priority(self) -> DataFrame:
+        return marts.run_defects_priority(self.bronze.raw_results, self.dedup_tests, self.bronze.raw_cases)
+
+    @cached_property
+    def run_defects_jira(self) -> DataFrame:
+        return marts.run_defects_jira(self.bronze.raw_results, self.dedup_tests, self.bronze.raw_jira_issues, self.as_of)
+
+    @cached_property
+    def run_stats(self) -> DataFrame:
+        return marts.run_stats(self.stg_runs, self.dedup_tests, self.run_defects_priority, self.run_defects_jira)
+
+    @cached_property
+    def run_stats_exact(self) -> DataFrame:
+        return marts.run_stats(self.stg_runs, self.dedup_tests, self.run_defects_priority, self.run_defects_jira,
+                               exact=True)
+
+    @cached_property
+    def plan_aggs(self) -> DataFrame:
+        wide = self.stg_runs_wide
+        run_level = marts.run_stats(wide, self.dedup_tests, self.run_defects_priority, self.run_defects_jira,
+                                    keep=tuple(wide.columns))
+        return marts.plan_aggs(run_level, self.dedup_projects, self.bronze.raw_users)
+
+    @cached_property
+    def dashboard_mart(self) -> DataFrame:
+        return marts.dashboard_mart(self.plan_aggs)
+
+    @cached_property
+    def run_stats_priority(self) -> DataFrame:
+        stg = self.stg_runs.where(F.col("project_id").isin(*marts.VALIDATION_PROJECTS))
+        return marts.run_stats(stg, self.dedup_tests, self.run_defects_priority, None, priority_breakdown=True)
+
+    @cached_property
+    def pruebas_plan_aggs(self) -> DataFrame:
+        wide = self.stg_runs_wide.where(F.col("project_id").isin(*marts.VALIDATION_PROJECTS))
+        run_level = marts.run_stats(wide, self.dedup_tests, self.run_defects_priority, None,
+                                    priority_breakdown=True, keep=tuple(wide.columns))
+        return marts.pruebas_plan_aggs(run_level, self.bronze.raw_users)
+
+    @cached_property
+    def dashboard_pruebas(self) -> DataFrame:
+        return marts.dashboard_pruebas(self.pruebas_plan_aggs)
+
+    @cached_property
+    def active_plans(self) -> DataFrame:
+        return marts.active_plans(self.dedup_plans)
+
+    @cached_property
+    def repo_cases(self) -> DataFrame:
+        return marts.repo_cases(self.dedup_cases, self.dedup_suites)
+
+    @cached_property
+    def exec_stats(self) -> DataFrame:
+        return marts.exec_stats(self.dashboard_mart)
+
+    @cached_property
+    def project_analysts(self) -> DataFrame:
+        return marts.project_analysts(self.dedup_runs, self.dedup_users)
+
+    @cached_property
+    def project_summary(self) -> DataFrame:
+        return marts.project_summary(self.dedup_projects, self.active_plans, self.repo_cases, self.exec_stats,
+                                     self.project_analysts)
+
+    @cached_property
+    def workload_by_analyst(self) -> DataFrame:
+        return marts.workload_by_analyst(self.dedup_tests, self.dedup_runs, self.dedup_projects, self.bronze.raw_users)
+
+    @cached_property
+    def project_analyst_demand(self) -> DataFrame:
+        return marts.project_analyst_demand(self.dedup_tests, self.dedup_runs, self.dedup_projects,
+                                            self.bronze.raw_users)
+
+    @cached_property
+    def linked_info(self) -> DataFrame:
+        return marts.linked_info(self.bronze.raw_results, self.dedup_tests, self.stg_runs, self.bronze.raw_projects)
+
+    @cached_property
+    def jira_defects_summary(self) -> DataFrame:
+        return marts.jira_defects_summary(self.bronze.raw_jira_issues, self.linked_info, self.as_of)
