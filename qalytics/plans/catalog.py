@@ -22,6 +22,13 @@ def _rel(attr: str) -> QueryFn:
     return run
 
 
+def _call(attr: str, *args) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(Relations(spark, sf_dir), attr)(*args)
+    run.__name__ = attr
+    return run
+
+
 def _dq(check: str) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rel = Relations(spark, sf_dir)
@@ -68,6 +75,31 @@ QUERIES: dict[str, QueryFn] = {
     "project_analyst_demand": _rel("project_analyst_demand"),
     "linked_info": _rel("linked_info"),
     "jira_defects_summary": _rel("jira_defects_summary"),
+    # §2.D serving
+    "relation_head": _call("relation_head", "mart"),
+    "project_summary_top": _rel("project_summary_top"),
+    "velocity_daily": _rel("velocity_daily"),
+    "automation_coverage": _rel("automation_coverage"),
+    "defect_aging_top5": _rel("defect_aging_top5"),
+    "fact_scorecards": _rel("fact_scorecards"),
+    "monthly_scorecards": _rel("monthly_scorecards"),
+    # §2.E dashboard steps
+    "filter_options": _rel("filter_options"),
+    "mart_filter": _call("mart_filter", "All", "12"),
+    "kpi_header": _call("kpi_header", "All", "All"),
+    "status_breakdown": _call("status_breakdown", "All", "All"),
+    "status_pie": _call("status_pie", "All", "All"),
+    "defects_by_severity": _rel("defects_by_severity"),
+    "defects_by_status": _rel("defects_by_status"),
+    "automation_pct": _rel("automation_pct"),
+    "workload_pivot": _rel("workload_pivot"),
+    "workload_detail": _rel("workload_detail"),
+    "demand_years": _rel("demand_years"),
+    "demand_pivot": _rel("demand_pivot"),
+    "demand_detail": _rel("demand_detail"),
+    "demand_scatter": _rel("demand_scatter"),
+    "unlinked_audit": _rel("unlinked_audit"),
+    "execution_detail": _rel("execution_detail"),
     # §2.F quality
     "dq_duplicate_runs": _dq("dq_duplicate_runs"),
     "dq_future_dates": _dq("dq_future_dates"),

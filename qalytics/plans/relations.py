@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalytics import config as C
-from qalytics.operators import conform, gold, marts, quality
+from qalytics.operators import conform, gold, marts, quality, serving
 from qalytics.sources.fixtures import Bronze
 
 
@@ -192,3 +192,95 @@ class Relations:
     @cached_property
     def jira_defects_summary(self) -> DataFrame:
         return marts.jira_defects_summary(self.bronze.raw_jira_issues, self.linked_info, self.as_of)
+
+    # ---------------------------------------------------------- serving (§2.D)
+    def relation_head(self, kind: str | None = "mart") -> DataFrame:
+        return serving.relation_head(self, kind)
+
+    @cached_property
+    def project_summary_top(self) -> DataFrame:
+        return serving.project_summary_top(self.project_summary)
+
+    @cached_property
+    def velocity_daily(self) -> DataFrame:
+        return serving.velocity_daily(self.bronze.raw_results, self.as_of)
+
+    @cached_property
+    def automation_coverage(self) -> DataFrame:
+        return serving.automation_coverage(self.bronze.raw_cases)
+
+    @cached_property
+    def defect_aging_top5(self) -> DataFrame:
+        return serving.defect_aging_top(self.bronze.raw_jira_issues, self.as_of)
+
+    @cached_property
+    def fact_scorecards(self) -> DataFrame:
+        return serving.fact_scorecards(self.fact_cycle)
+
+    @cached_property
+    def monthly_scorecards(self) -> DataFrame:
+        return serving.monthly_scorecards(self.kpi_monthly_performance)
+
+    # ---------------------------------------------------------- dashboard steps (§2.E)
+    @cached_property
+    def filter_options(self) -> DataFrame:
+        return serving.filter_options(self.dashboard_mart)
+
+    def mart_filter(self, month: str | None = "All", project: str | int | None = "All") -> DataFrame:
+        return serving.mart_filter(self.dashboard_mart, month, project)
+
+    def kpi_header(self, month: str | None = "All", project: str | int | None = "All") -> DataFrame:
+        return serving.kpi_header(self.mart_filter(month, project), self.jira_defects_summary)
+
+    def status_breakdown(self, month: str | None = "All", project: str | int | None = "All") -> DataFrame:
+        return serving.status_breakdown(self.mart_filter(month, project))
+
+    def status_pie(self, month: str | None = "All", project: str | int | None = "All") -> DataFrame:
+        return serving.status_pie(self.mart_filter(month, project))
+
+    @cached_property
+    def defects_by_severity(self) -> DataFrame:
+        return serving.defects_by_severity(self.jira_defects_summary)
+
+    @cached_property
+    def defects_by_status(self) -> DataFrame:
+        return serving.defects_by_status(self.jira_defects_summary)
+
+    @cached_property
+    def automation_pct(self) -> DataFrame:
+        return serving.automation_pct(self.automation_coverage)
+
+    @cached_property
+    def workload_pivot(self) -> DataFrame:
+        return serving.workload_pivot(self.workload_by_analyst)
+
+    @cached_property
+    def workload_detail(self) -> DataFrame:
+        return serving.workload_detail(self.workload_by_analyst)
+
+    @cached_property
+    def demand_years(self) -> DataFrame:
+        return serving.demand_years(self.project_analyst_demand)
+
+    @cached_property
+    def demand_pivot(self) -> DataFrame:
+        return serving.demand_pivot(self.project_analyst_demand)
+
+    @cached_property
+    def demand_detail(self) -> DataFrame:
+        return serving.demand_detail(self.project_analyst_demand)
+
+    @cached_property
+    def demand_scatter(self) -> DataFrame:
+        return serving.demand_scatter(self.project_analyst_demand)
+
+    @cached_property
+    def unlinked_audit(self) -> DataFrame:
+        return serving.unlinked_audit(self.jira_defects_summary)
+
+    @cached_property
+    def execution_detail(self) -> DataFrame:
+        return serving.execution_detail(self.dashboard_mart)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
