@@ -44,7 +44,34 @@ def _dq(check: str) -> QueryFn:
     return run
 
 
+def streaming_query(name: str) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from qalytics.plans import streams
+        return getattr(streams, name)(Relations(spark, sf_dir))
+    run.__name__ = name
+    return run
+
+
 QUERIES: dict[str, QueryFn] = {
+    # §2.A ingest
+    "bronze_append": _rel("bronze_append"),
+    "epoch_normalize": _rel("epoch_normalize"),
+    "json_stringify": _rel("json_stringify"),
+    "collect_custom_fields": _rel("collect_custom_fields"),
+    "explode_plan_entries": _rel("explode_plan_entries"),
+    "stamp_parent": _rel("stamp_parent"),
+    "cases_by_suite_mode": _rel("cases_by_suite_mode"),
+    "scoped_runs": _rel("scoped_runs"),
+    "watermark_read": _rel("watermark_read"),
+    "incremental_extract": _rel("incremental_extract"),
+    "watermark_advance": _rel("watermark_advance"),
+    "sync_state_merge": _rel("sync_state_merge"),
+    "sync_state_report": _rel("sync_state_report"),
+    "issue_flatten": _rel("issue_flatten"),
+    "issue_microbatch": streaming_query("issue_microbatch"),
+    "velocity_stream": streaming_query("velocity_stream"),
+    "snapshot_load": _rel("snapshot_load"),
+    "ingest_counts": _rel("ingest_counts"),
     # §2.B conformance
     "dedup_latest": _rel("dedup_tests"),
     "plan_max_dates": _rel("plan_max_dates"),

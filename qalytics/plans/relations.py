@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalytics import config as C
-from qalytics.operators import conform, gold, marts, quality, serving
+from qalytics.operators import conform, gold, ingest, marts, quality, serving
 from qalytics.sources.fixtures import Bronze
 
 
@@ -284,3 +284,98 @@ class Relations:
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
+
+    # ---------------------------------------------------------- ingest (§2.A)
+    @cached_property
+    def landed(self):
+        from qalytics.sources.landed import Landed
+        return Landed(self.bronze)
+
+    @cached_property
+    def bronze_append(self) -> DataFrame:
+        return ingest.bronze_append(self.landed.runs, "raw_runs", self.as_of)
+
+    @cached_property
+    def epoch_normalize(self) -> DataFrame:
+        return ingest.epoch_normalize(self.landed.runs.select("id", "created_on", "completed_on"))
+
+    @cached_property
+    def json_stringify(self) -> DataFrame:
+        return ingest.json_stringify(self.landed.runs.select("id", "custom_status_count"))
+
+    @cached_property
+    def collect_custom_fields(self) -> DataFrame:
+        return ingest.collect_custom_fields(self.landed.result_records).select("id", "custom_fields")
+
+    @cached_property
+    def explode_plan_entries(self) -> DataFrame:
+        return ingest.explode_plan_entries(self.landed.plan_docs)
+
+    @cached_property
+    def stamp_parent(self) -> DataFrame:
+        cases = self.bronze.raw_cases.select("id", "suite_id", "priority_id")
+        return ingest.stamp_parent(cases, self.bronze.raw_suites, "suite_id")
+
+    @cached_property
+    def cases_by_suite_mode(self) -> DataFrame:
+        return ingest.cases_by_suite_mode(self.bronze.raw_cases, self.dedup_suites, self.dedup_projects)
+
+    @cached_property
+    def scoped_runs(self) -> DataFrame:
+        return ingest.scoped_runs(self.bronze.raw_runs)
+
+    @cached_property
+    def watermark_read(self) -> DataFrame:
+        scopes = self.dedup_projects.select(F.col("id").alias("project_id"))
+        return ingest.watermark_read(self.bronze.sync_state, "runs", scopes, "project_id")
+
+    @cached_property
+    def incremental_extract(self) -> DataFrame:
+        return ingest.incremental_extract(self.landed_runs_bronze, self.bronze.sync_state, "runs")
+
+    @cached_property
+    def landed_runs_bronze(self) -> DataFrame:
+        return ingest.bronze_append(self.landed.runs, "raw_runs", self.as_of)
+
+    @cached_property
+    def watermark_advance(self) -> DataFrame:
+        return ingest.watermark_advance(self.incremental_extract, self.bronze.sync_state, "runs", self.as_of)
+
+    @cached_property
+    def sync_state_updates(self) -> DataFrame:
+        issues = ingest.watermark_advance(
+            self.bronze.raw_jira_issues.select(F.lit(None).cast("string").alias("scope"),
+                                               F.col("updated").alias("created_on")),
+            self.bronze.sync_state, "jira_issues", self.as_of, scope_col="scope")
+        return self.watermark_advance.unionByName(issues)
+
+    @cached_property
+    def sync_state_merge(self) -> DataFrame:
+        return ingest.sync_state_merge(self.bronze.sync_state, self.sync_state_updates)
+
+    @cached_property
+    def sync_state_report(self) -> DataFrame:
+        return ingest.sync_state_report(self.sync_state_merge)
+
+    @cached_property
+    def issue_flatten(self) -> DataFrame:
+        from qalytics.sources.landed import TRACKER_URL
+        return ingest.issue_flatten(self.landed.issue_docs, TRACKER_URL)
+
+    @cached_property
+    def snapshot_load(self) -> DataFrame:
+        n = self.bronze.table("nation")
+        pulled = n.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"),
+                          (F.col("n_nationkey") % 5 == 4).alias("is_completed"),
+                          (1 + F.col("n_nationkey") % 3).cast("long").alias("suite_mode"))
+        landed = ingest.bronze_append(pulled, "raw_projects", self.as_of).select(*self.bronze.raw_projects.columns)
+        return self.bronze.raw_projects.unionByName(landed)
+
+    @cached_property
+    def ingest_counts(self) -> DataFrame:
+        b = self.bronze
+        return ingest.ingest_counts({
+            "projects": b.raw_projects, "users": b.raw_users, "milestones": b.raw_milestones, "plans": b.raw_plans,
+            "runs": b.raw_runs, "suites": b.raw_suites, "cases": b.raw_cases, "tests": b.raw_tests,
+            "jira_issues": b.raw_jira_issues,
+        })
