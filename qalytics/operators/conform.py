@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qalytics import config as C
@@ -15,17 +15,19 @@ EPOCH = "1970-01-01 00:00:00"
 
 
 def dedup_latest(df: DataFrame, key: str = "id", order: Sequence[str] = ("_extracted_at",)) -> DataFrame:
-    """Newest row per ``key`` by ``order`` (descending, NULLs last).
-
-    Expressed as ``max(struct(order…, other columns…))`` per key, which Spark
-    runs as a partial aggregate before the shuffle: a key holding a large
-    share of the rows is reduced to one row per map task, so no task ever
-    holds a hot key's full history. Remaining columns act as the final
-    tie-break, which makes the choice deterministic."""
+    """Newest row per ``key`` by ``order`` (each descending, NULLs last).
+
+    ``row_number() == 1`` over a window: Spark plans it as a partial
+    WindowGroupLimit before the shuffle (each map task keeps one row per
+    key, so a key holding a large share of the rows is reduced before it
+    moves) and a final one after it. Unlike a struct-max aggregate, the
+    window lets Catalyst prune every column the consumer does not read down
+    to the parquet scan. Rows tied on all ``order`` columns are resolved
+    arbitrarily, as in the reference; pass a tie-break column in ``order``
+    where one exists."""
     order = [c for c in order if c in df.columns]
-    rest = [c for c in df.columns if c != key and c not in order]
-    packed = F.struct(*[F.col(c) for c in order + rest]).alias("_newest")
-    return df.groupBy(key).agg(F.max(packed).alias("_newest")).select(key, *[F.col(f"_newest.{c}").alias(c) for c in df.columns if c != key]).select(*df.columns)
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 # ---------------------------------------------------------------- stg_runs

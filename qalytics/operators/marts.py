@@ -183,17 +183,18 @@ def run_stats(stg: DataFrame, dedup_tests: DataFrame, rdp: DataFrame, rdj: DataF
 
 
 # ------------------------------------------------------------ plan aggregates
-PLAN_SUMS = (
-    ("total_passed", F.col("passed_count")),
-    ("total_returned_cases", F.col("retest_count") + F.col("failed_count")),
-    ("total_in_process", F.col("process_count")),
-    ("total_blocked", F.col("blocked_count")),
-    ("total_untested", F.col("untested_count")),
-    ("total_tests", F.col("total_tests")),
-    ("total_acta_count", F.col("total_acta_count")),
-    ("total_defects", F.col("defects_count")),
-    ("total_iterations", F.col("iterations_count")),
-)
+def _plan_sums() -> tuple[tuple[str, Column], ...]:
+    return (
+        ("total_passed", F.col("passed_count")),
+        ("total_returned_cases", F.col("retest_count") + F.col("failed_count")),
+        ("total_in_process", F.col("process_count")),
+        ("total_blocked", F.col("blocked_count")),
+        ("total_untested", F.col("untested_count")),
+        ("total_tests", F.col("total_tests")),
+        ("total_acta_count", F.col("total_acta_count")),
+        ("total_defects", F.col("defects_count")),
+        ("total_iterations", F.col("iterations_count")),
+    )
 JIRA_SUMS = (
     ("total_jira_defects", "jira_defects_count"), ("total_jira_closed", "jira_defects_closed"),
     ("total_jira_open", "jira_defects_active"),
@@ -209,7 +210,7 @@ UAT_SUMS = (("total_uat_returned", "is_uat_returned"), ("total_uat_certified", "
 
 
 def _plan_group_aggs(jira: bool, proxy_source: str, priority: bool) -> list[Column]:
-    aggs = [F.sum(c).alias(n) for n, c in PLAN_SUMS]
+    aggs = [F.sum(c).alias(n) for n, c in _plan_sums()]
     if priority:
         aggs += [F.sum(f"defects_{n}").alias(f"total_defects_{n}") for n in ("critical", "high", "medium", "low")]
     if jira:
