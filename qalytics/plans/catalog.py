@@ -134,3 +134,67 @@ QUERIES: dict[str, QueryFn] = {
     "dq_start_after_end": _dq("dq_start_after_end"),
     "data_quality": _rel("data_quality"),
 }
+
+# SURVEY §2 sub-rows (↳): each is a set of columns of its parent relation,
+# registered as its own projection so it is checked on its own.
+_MART_KEYS = ("month_key", "plan_id", "Iniciativa", "project_id", "project_name")
+_PLAN_KEYS = ("plan_id", "plan_name", "month_key", "project_id", "project_name", "acta_certificacion")
+SUB_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
+    "stg_acta": ("stg_runs", ("run_id", "acta_certificacion")),
+    "stg_effective_dates": ("stg_runs", ("run_id", "eff_plan_start_on", "eff_plan_due_on")),
+    "stg_on_time_to_qa": ("stg_runs", ("run_id", "on_time_to_qa")),
+    "stg_on_time_from_qa": ("stg_runs", ("run_id", "on_time_from_qa")),
+    "stg_is_blocked": ("stg_runs", ("run_id", "is_blocked")),
+    "stg_is_last_cycle": ("stg_runs", ("run_id", "is_last_cycle")),
+    "stg_start_deviation": ("stg_runs", ("run_id", "desviacion_inicio")),
+    "stg_month_key": ("stg_runs", ("run_id", "month_key")),
+    "fact_gated_counts": ("fact_cycle", ("cycle_id", "project_id", "passed_count", "failed_count", "blocked_count", "total_tests")),
+    "fact_on_time_end": ("fact_cycle", ("cycle_id", "project_id", "on_time_end")),
+    "fact_flags": ("fact_cycle", ("cycle_id", "project_id", "on_time_start", "is_blocked", "uat_certified")),
+    "uat_returned": ("run_stats", ("run_id", "project_id", "is_uat_returned")),
+    "uat_certified": ("run_stats", ("run_id", "project_id", "is_uat_certified")),
+    "uat_signed": ("run_stats", ("run_id", "project_id", "is_uat_signed")),
+    "uat_in_process": ("run_stats", ("run_id", "project_id", "is_uat_in_process")),
+    "plan_key_fallback": ("plan_aggs", _PLAN_KEYS),
+    "plan_completion_dates": ("plan_aggs", _PLAN_KEYS + ("plan_is_completed", "plan_start_date", "plan_due_date")),
+    "active_defects_proxy": ("plan_aggs", _PLAN_KEYS + ("active_defects_proxy",)),
+    "plan_on_time": ("plan_aggs", _PLAN_KEYS + ("on_time_to_qa_count", "on_time_from_qa_count", "total_runs", "avg_desviacion_inicio")),
+    "plan_analysts": ("plan_aggs", _PLAN_KEYS + ("analysts",)),
+    "mart_estado": ("dashboard_mart", _MART_KEYS + ("Estado_Iniciativa", "is_certified", "is_in_process")),
+    "mart_on_time_rates": ("dashboard_mart", _MART_KEYS + ("on_time_to_qa_rate", "on_time_from_qa_rate")),
+    "mart_automation": ("dashboard_mart", _MART_KEYS + ("automation_passed", "automation_total")),
+    "mart_uat_metrics": ("dashboard_mart", _MART_KEYS + (
+        "Soluciones_Devueltas_UAT", "Soluciones_Certificadas_UAT", "Iniciativas_Firmadas_UAT", "Soluciones_En_Proceso_UAT",
+        "Iteraciones_UAT", "Soluciones_Aceptadas_General")),
+    "mart_defects": ("dashboard_mart", _MART_KEYS + (
+        "Total_Defectos", "Defectos_Activos", "Defectos_Cerrados", "total_defects_critical", "total_defects_high",
+        "total_defects_medium", "total_defects_low", "total_status_ready", "total_status_in_progress",
+        "total_status_open", "Promedio_Dias_Defecto")),
+    "mart_execution": ("dashboard_mart", _MART_KEYS + ("total_returned_cases", "total_in_process", "total_blocked",
+                                                       "total_untested")),
+}
+
+
+def _sub(attr: str, cols: tuple[str, ...]) -> QueryFn:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(Relations(spark, sf_dir), attr).select(*cols)
+    run.__name__ = attr
+    return run
+
+
+def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from qalytics import config as C
+
+    rel = Relations(spark, sf_dir)
+    proj = rel.dedup_projects.select(F.col("id").alias("proj_id"), F.col("is_completed").alias("project_is_completed"))
+    pid = F.col("project_id")
+    scope = ((pid == C.MART_UAT_PROJECT) | (pid == C.MART_AUTOMATION_PROJECT)
+             | (~pid.isin(*C.MART_EXCLUDED_PROJECTS) & (F.col("project_is_completed") == F.lit(False))))
+    return rel.stg_runs.join(proj, pid == F.col("proj_id")).where(scope).select("run_id", "project_id")
+
+
+for _k, (_attr, _cols) in SUB_VIEWS.items():
+    QUERIES[_k] = _sub(_attr, _cols)
+QUERIES["mart_scope_filter"] = _scope

@@ -19,11 +19,12 @@ from qalytics.sources.fixtures import Bronze
 
 
 class Relations:
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.datetime = C.DEFAULT_AS_OF):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.datetime = C.DEFAULT_AS_OF,
+                 bronze: Bronze | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.as_of = as_of
-        self.bronze = Bronze(spark, sf_dir, as_of)
+        self.bronze = bronze or Bronze(spark, sf_dir, as_of)
 
     def __getattr__(self, name: str) -> DataFrame:
         # bronze relations are reachable directly (rel.raw_runs, ...)

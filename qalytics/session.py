@@ -70,3 +70,10 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
 def fresh_shared_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its file system (local, HDFS, object store)."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001

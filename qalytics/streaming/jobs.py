@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from qalytics import config as C
 from qalytics.functions import ts_lit
-from qalytics.session import fresh_shared_path
+from qalytics.session import fresh_shared_path, path_exists
 
 
 def land_files(df: DataFrame, path: str, files: int) -> str:
@@ -46,18 +46,12 @@ def microbatch_ingest(spark: SparkSession, landed_dir: str, bronze_dir: str,
              .trigger(availableNow=True).start())
         q.awaitTermination()
         batches = len(q.recentProgress)
-        total = spark.read.parquet(bronze_dir).count() if _exists(spark, bronze_dir) else 0
+        total = spark.read.parquet(bronze_dir).count() if path_exists(spark, bronze_dir) else 0
         return {"status": "success", "count": total, "batches": batches}
     except Exception as ex:  # noqa: BLE001
         return {"status": "error", "error": str(ex)}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm  # noqa: SLF001
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001
-
-
 def latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame:
     """The newest ``epoch=N`` snapshot below ``out_dir``."""
     snaps = spark.read.parquet(out_dir)
@@ -92,7 +86,7 @@ def velocity_stream(spark: SparkSession, results: DataFrame, out_dir: str, as_of
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         merged = batch
-        if state["last"] is not None or _exists(spark, out_dir):
+        if state["last"] is not None or path_exists(spark, out_dir):
             prev = latest_snapshot(spark, out_dir)
             merged = prev.join(batch.select("date"), "date", "left_anti").unionByName(batch)
         merged.write.mode("overwrite").parquet(f"{out_dir}/epoch={batch_id}")
