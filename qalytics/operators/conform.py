@@ -130,6 +130,11 @@ def stg_runs_wide(dedup_runs: DataFrame, dedup_plans: DataFrame, dedup_milestone
 
 
 # ---------------------------------------------------------------- fact_cycle
+FACT_COLUMNS = ("cycle_id", "project_id", "plan_id", "plan_name", "cycle_name", "created_on", "completed_on",
+                "is_closed", "passed_count", "failed_count", "blocked_count", "total_tests", "month_key",
+                "eff_start_date", "eff_due_date", "on_time_start", "on_time_end", "is_blocked", "uat_certified")
+
+
 def fact_cycle(raw_runs: DataFrame, raw_plans: DataFrame) -> DataFrame:
     """Cycle fact over the raw (not deduplicated) runs and plans; measures
     are gated to the general project (17) and UAT project (23)."""

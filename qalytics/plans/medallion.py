@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalytics import config as C
+from qalytics.operators.conform import FACT_COLUMNS
 from qalytics.plans.relations import Relations
 from qalytics.session import fresh_shared_path, path_exists
 from qalytics.sources.fixtures import Bronze
@@ -41,6 +42,7 @@ MART_TABLES = ("dashboard_mart", "dashboard_pruebas", "workload_by_analyst", "pr
 # hold a handful of rows each at small scales; row groups are clustered by
 # the start date so day-level predicates still skip by min/max statistics.
 PARTITIONS = {"raw_results": ("created_date", "created_on"), "fact_cycle": ("month_key", "eff_start_date")}
+COLUMN_ORDER = {"fact_cycle": FACT_COLUMNS}
 
 
 class LandedBronze(Bronze):
@@ -79,8 +81,10 @@ class MaterializedRelations(Relations):
             written = object.__getattribute__(self, "_written")
             for layer in ("silver", "gold", "mart"):
                 if name in written[layer]:
-                    return object.__getattribute__(self, "spark").read.parquet(
+                    df = object.__getattribute__(self, "spark").read.parquet(
                         os.path.join(object.__getattribute__(self, "root"), layer, name))
+                    # a partition column is read back last: restore the declared order
+                    return df.select(*COLUMN_ORDER[name]) if name in COLUMN_ORDER else df
         return object.__getattribute__(self, name)
 
     @cached_property
