@@ -209,11 +209,11 @@ UAT_SUMS = (("total_uat_returned", "is_uat_returned"), ("total_uat_certified", "
             ("total_uat_signed", "is_uat_signed"), ("total_uat_in_process", "is_uat_in_process"))
 
 
-def _plan_group_aggs(jira: bool, proxy_source: str, priority: bool) -> list[Column]:
+def _plan_group_aggs(issues: bool, proxy_source: str, priority: bool) -> list[Column]:
     aggs = [F.sum(c).alias(n) for n, c in _plan_sums()]
     if priority:
         aggs += [F.sum(f"defects_{n}").alias(f"total_defects_{n}") for n in ("critical", "high", "medium", "low")]
-    if jira:
+    if issues:
         aggs += [F.sum(c).alias(n) for n, c in JIRA_SUMS]
         aggs.append(F.avg("avg_jira_defect_age").alias("avg_jira_defect_age"))
         aggs += [F.sum(c).alias(n) for n, c in JIRA_STATUS_SUMS]
@@ -254,7 +254,7 @@ def plan_aggs(run_level: DataFrame, dedup_projects: DataFrame, raw_users: DataFr
     runs = _with_user_rows(runs, raw_users)
     keys = [F.coalesce("plan_id", "run_id").alias("plan_id"), F.coalesce("plan_name", "run_name").alias("plan_name"),
             "month_key", "project_id", "project_name", "acta_certificacion"]
-    return runs.groupBy(*keys).agg(*_plan_group_aggs(jira=True, proxy_source="failed_count", priority=False))
+    return runs.groupBy(*keys).agg(*_plan_group_aggs(issues=True, proxy_source="failed_count", priority=False))
 
 
 def dashboard_mart(pa: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def pruebas_plan_aggs(run_level: DataFrame, raw_users: DataFrame) -> DataFrame:
     runs = _with_user_rows(run_level, raw_users)
     keys = [F.coalesce("plan_id", "run_id").alias("plan_id"), F.coalesce("plan_name", "run_name").alias("plan_name"),
             "month_key", "project_id", "acta_certificacion"]
-    return runs.groupBy(*keys).agg(*_plan_group_aggs(jira=False, proxy_source="defects_count", priority=True))
+    return runs.groupBy(*keys).agg(*_plan_group_aggs(issues=False, proxy_source="defects_count", priority=True))
 
 
 def dashboard_pruebas(pa: DataFrame) -> DataFrame:
