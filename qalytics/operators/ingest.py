@@ -200,9 +200,8 @@ def watermark_read(sync_state: DataFrame, entity: str, scopes: DataFrame | None
         return anyrow.select(F.coalesce(F.col("_any"), F.lit(0).cast("long")).alias("watermark"))
     per = st.groupBy(F.col("scope_id").alias("_s")).agg(F.max("last_updated_at_watermark").alias("_wm"))
     s = _scope(F.col(scope_col))
-    j = (scopes.join(per, s == F.col("_s"), "left")
-         .withColumn("_k", F.lit(1)).join(anyrow.withColumn("_k", F.lit(1)), "_k", "left"))
-    wm = F.when(s.isNull(), F.col("_any")).otherwise(F.col("_wm"))
+    j = scopes.join(per, s == F.col("_s"), "left")
+    wm = F.when(s.isNull(), anyrow.scalar()).otherwise(F.col("_wm"))
     return j.select(s.alias("scope_id"), F.coalesce(wm, F.lit(0).cast("long")).alias("watermark"))
 
 

@@ -68,7 +68,7 @@ def defect_aging_top(raw_issues: DataFrame, as_of: _dt.datetime, k: int = C.AGIN
     out = open_.select(
         "key", "summary", "priority", "created",
         F.date_format("created", "yyyy-MM-dd").alias("created_date"),
-        day_diff(F.lit(as_of.date()), F.to_date("created")).alias("days_open"),
+        day_diff(F.lit(as_of.date()), F.to_date("created")).cast("long").alias("days_open"),
     )
     # ascending puts NULL first, as the reference warehouse does
     top = out.orderBy(F.col("created").asc_nulls_first(), F.col("key").asc_nulls_first(),
@@ -98,12 +98,9 @@ def fact_scorecards(fact: DataFrame, cycle_name: str | None = None, start_from:
 
 def monthly_scorecards(kpi_monthly: DataFrame) -> DataFrame:
     """Total cycles by month, each row carrying the overall on-time-start
-    percentage (cycle-weighted)."""
-    overall = kpi_monthly.agg(
-        safe_divide(F.sum("on_time_start_count"), F.sum("total_cycles")).alias("on_time_start_pct_overall"),
-    ).withColumn("_k", F.lit(1))
-    return (kpi_monthly.select("month_key", "total_cycles").withColumn("_k", F.lit(1))
-            .join(overall, "_k").drop("_k"))
+    percentage (cycle-weighted), attached as a scalar subquery."""
+    overall = kpi_monthly.agg(safe_divide(F.sum("on_time_start_count"), F.sum("total_cycles")))
+    return kpi_monthly.select("month_key", "total_cycles", overall.scalar().alias("on_time_start_pct_overall"))
 
 
 # ------------------------------------------------------------ §2.E
@@ -125,14 +122,24 @@ def mart_filter(mart: DataFrame, month: str | None = "All", project: str | int |
     if month not in (None, "All"):
         out = out.where(F.col("month_key") == month)
     if project not in (None, "All"):
-        out = out.where(F.col("project_id").cast("string") == str(project))
+        text = str(project)
+        if text.lstrip("-").isdigit():
+            # numeric comparison (same rows as comparing the text forms) so the
+            # predicate can be pushed down to the scans
+            out = out.where(F.col("project_id") == int(text))
+        else:
+            out = out.where(F.col("project_id").cast("string") == text)
     return out
 
 
 def kpi_header(filtered: DataFrame, issues: DataFrame) -> DataFrame:
-    """Header KPIs over the filtered mart; issue totals ignore the filters.
-    An empty filtered input yields no row."""
-    m = filtered.agg(
+    """Header KPIs over the filtered mart; issue totals ignore the filters
+    and are attached as scalar subqueries. An empty filtered input yields no
+    row."""
+    closed = F.col("status").isin(*C.CLOSED_DEFECT_STATUSES)
+    totals = issues.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                                 F.count_if(~F.coalesce(closed, F.lit(False))).alias("active"))).scalar()
+    return filtered.agg(
         F.count(F.lit(1)).alias("_n"),
         F.coalesce(F.sum("total_runs"), F.lit(0)).alias("total_runs"),
         F.coalesce(F.sum("total_passed"), F.lit(0)).alias("total_passed"),
@@ -141,13 +148,8 @@ def kpi_header(filtered: DataFrame, issues: DataFrame) -> DataFrame:
         F.coalesce(F.sum("Soluciones_En_Proceso_UAT"), F.lit(0)).alias("uat_in_process"),
         F.count_if(F.col("is_certified") == 1).alias("certified_plans"),
         F.count_if(F.col("is_in_process") == 1).alias("process_plans"),
-    ).where(F.col("_n") > 0).drop("_n").withColumn("_k", F.lit(1))
-    closed = F.col("status").isin(*C.CLOSED_DEFECT_STATUSES)
-    j = issues.agg(
-        F.count(F.lit(1)).alias("total_defects"),
-        F.count_if(~F.coalesce(closed, F.lit(False))).alias("active_defects"),
-    ).withColumn("_k", F.lit(1))
-    return m.join(j, "_k").drop("_k")
+    ).where(F.col("_n") > 0).drop("_n").select(
+        "*", totals.getField("n").alias("total_defects"), totals.getField("active").alias("active_defects"))
 
 
 BREAKDOWN_LABELS = ("Exitosos", "Fallidos", "Devueltos", "Bloqueados", "En Proceso", "Sin Probar")
@@ -258,13 +260,14 @@ def demand_scatter(demand: DataFrame) -> DataFrame:
 
 
 def unlinked_audit(summary: DataFrame, k: int = C.UNLINKED_PREVIEW_ROWS) -> DataFrame:
-    """The first ``k`` issue rows (by key) with the count of unlinked issues."""
-    count = summary.agg(F.count_if(~F.col("is_linked")).alias("unlinked_count")).withColumn("_k", F.lit(1))
+    """The first ``k`` issue rows (by key) with the count of unlinked issues
+    (a scalar subquery over the whole relation)."""
+    unlinked = summary.agg(F.count_if(~F.col("is_linked"))).scalar()
     head = (summary.select("key", "summary", "status", "priority", "url", "is_linked")
             .orderBy(F.col("key").asc_nulls_first(), F.col("status").asc_nulls_first(),
                      F.col("summary").asc_nulls_first(), F.col("priority").asc_nulls_first())
-            .limit(k).withColumn("_k", F.lit(1)))
-    return head.join(count, "_k").drop("_k")
+            .limit(k))
+    return head.select("*", unlinked.alias("unlinked_count"))
 
 
 def execution_detail(mart: DataFrame) -> DataFrame:
