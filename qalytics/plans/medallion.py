@@ -43,6 +43,9 @@ MART_TABLES = ("dashboard_mart", "dashboard_pruebas", "workload_by_analyst", "pr
 # the start date so day-level predicates still skip by min/max statistics.
 PARTITIONS = {"raw_results": ("created_date", "created_on"), "fact_cycle": ("month_key", "eff_start_date")}
 COLUMN_ORDER = {"fact_cycle": FACT_COLUMNS}
+# Silver tables joined / grouped on run id by the mart build: written
+# bucketed by run id so those joins and aggregations need no shuffle.
+BUCKETS = {"dedup_tests": "run_id", "stg_runs_wide": "run_id"}
 
 
 class LandedBronze(Bronze):
@@ -81,8 +84,12 @@ class MaterializedRelations(Relations):
             written = object.__getattribute__(self, "_written")
             for layer in ("silver", "gold", "mart"):
                 if name in written[layer]:
-                    df = object.__getattribute__(self, "spark").read.parquet(
-                        os.path.join(object.__getattribute__(self, "root"), layer, name))
+                    spark = object.__getattribute__(self, "spark")
+                    root = object.__getattribute__(self, "root")
+                    table = bucketed_table(root, name)
+                    if name in BUCKETS and spark.catalog.tableExists(table):
+                        return spark.table(table)
+                    df = spark.read.parquet(os.path.join(root, layer, name))
                     # a partition column is read back last: restore the declared order
                     return df.select(*COLUMN_ORDER[name]) if name in COLUMN_ORDER else df
         return object.__getattribute__(self, name)
@@ -97,6 +104,20 @@ class MaterializedRelations(Relations):
         return serving.velocity_daily(r.drop("created_date"), self.as_of)
 
 
+def bucketed_table(root: str, name: str) -> str:
+    """Catalog name of a bucketed layer table (one per build folder)."""
+    import zlib
+
+    return f"qalytics_{name}_{zlib.crc32(root.encode()):08x}"
+
+
+def _write_bucketed(df: DataFrame, path: str, table: str, column: str, buckets: int) -> None:
+    """Bucketed, sorted write registered as an external catalog table (the
+    catalog keeps the bucket spec; the files live at ``path``)."""
+    (df.write.mode("overwrite").bucketBy(buckets, column).sortBy(column)
+       .option("path", path).saveAsTable(table))
+
+
 def _write(df: DataFrame, path: str, partition: tuple[str, str] | None = None) -> None:
     """Write a layer table. Partitioned tables are first range-partitioned on
     their clustering column: each task writes a contiguous span (a few
@@ -123,9 +144,14 @@ def build_layer(rel: Relations, root: str, layer: str, names: tuple[str, ...], t
     tables after it (the project summary reads the written mart)."""
     import time
 
+    buckets = max(8, int(rel.spark.conf.get("spark.sql.shuffle.partitions")))
     for name in names:
         t0 = time.perf_counter()
-        _write(getattr(rel, name), os.path.join(root, layer, name), PARTITIONS.get(name))
+        path = os.path.join(root, layer, name)
+        if name in BUCKETS:
+            _write_bucketed(getattr(rel, name), path, bucketed_table(root, name), BUCKETS[name], buckets)
+        else:
+            _write(getattr(rel, name), path, PARTITIONS.get(name))
         if isinstance(rel, MaterializedRelations):
             rel._written[layer].add(name)  # noqa: SLF001
         if timings is not None:
