@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,7 +233,7 @@ def watermark_advance(extracted: DataFrame, sync_state: DataFrame, entity: str,
     new = extracted.groupBy(_scope(F.col(scope_col)).alias("scope_id")).agg(
         F.max(_epoch(change_time(extracted))).alias("_new"))
     old = watermark_read(sync_state, entity, new.select("scope_id"), "scope_id").withColumnRenamed("scope_id", "_s")
-    j = new.join(old, F.col("scope_id") == F.col("_s"), "left")
+    j = new.join(old, F.col("scope_id").eqNullSafe(F.col("_s")), "left")
     return j.select(
         F.lit(entity).alias("entity_type"), "scope_id",
         F.greatest(F.coalesce(F.col("watermark"), F.lit(0).cast("long")), F.col("_new")).alias("last_updated_at_watermark"),
@@ -241,18 +241,33 @@ def watermark_advance(extracted: DataFrame, sync_state: DataFrame, entity: str,
     )
 
 
+def watermark_advance_unscoped(extracted: DataFrame, sync_state: DataFrame, entity: str, as_of: _dt.datetime,
+                               status: str = "SUCCESS") -> DataFrame:
+    """Watermark of an entity synced without a scope (tracker issues): one
+    row with a NULL scope; the old value is the entity's watermark read
+    without a scope (a scalar subquery, no join)."""
+    old = watermark_read(sync_state, entity).scalar()
+    return extracted.agg(F.max(_epoch(change_time(extracted))).alias("_new")).select(
+        F.lit(entity).alias("entity_type"), F.lit(None).cast("string").alias("scope_id"),
+        F.greatest(F.coalesce(old, F.lit(0).cast("long")), F.col("_new")).alias("last_updated_at_watermark"),
+        ts_lit(as_of).alias("last_sync_ts"), F.lit(status).alias("status"),
+    )
+
+
 def sync_state_merge(state: DataFrame, updates: DataFrame) -> DataFrame:
     """Upsert on (entity_type, scope_id), a NULL scope matching a NULL scope:
     old rows without an update are kept, updated keys take the new values.
+
+    Expressed as a union of old and new rows and the newest per key
+    (``row_number`` over the key, new before old): window partitioning
+    groups NULL scopes together, so the match is NULL-safe without a join.
     The result is a new snapshot; writers save it to a fresh folder and
     switch to it, never overwriting the folder being read."""
     cols = [f.name for f in S.SYNC_STATE.fields]
-    u = updates.select(*cols)
-    keep = state.alias("o").join(
-        u.alias("n"),
-        (F.col("o.entity_type") == F.col("n.entity_type")) & F.col("o.scope_id").eqNullSafe(F.col("n.scope_id")),
-        "left_anti")
-    return keep.select(*cols).unionByName(u)
+    both = (state.select(*cols).withColumn("_new", F.lit(0))
+            .unionByName(updates.select(*cols).withColumn("_new", F.lit(1))))
+    w = Window.partitionBy("entity_type", "scope_id").orderBy(F.col("_new").desc())
+    return both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).select(*cols)
 
 
 def sync_state_report(state: DataFrame) -> DataFrame:

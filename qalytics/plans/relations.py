@@ -344,10 +344,9 @@ class Relations:
 
     @cached_property
     def sync_state_updates(self) -> DataFrame:
-        issues = ingest.watermark_advance(
-            self.bronze.raw_jira_issues.select(F.lit(None).cast("string").alias("scope"),
-                                               F.col("updated").alias("created_on")),
-            self.bronze.sync_state, "jira_issues", self.as_of, scope_col="scope")
+        issues = ingest.watermark_advance_unscoped(
+            self.bronze.raw_jira_issues.select(F.col("updated").alias("created_on")),
+            self.bronze.sync_state, "jira_issues", self.as_of)
         return self.watermark_advance.unionByName(issues)
 
     @cached_property
