@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from qalytics import config as C
 from qalytics.operators import ingest
 from qalytics.plans.relations import Relations
 from qalytics.session import fresh_shared_path
@@ -19,7 +20,10 @@ def issue_microbatch(rel: Relations, files: int = 8) -> DataFrame:
     """Tracker issues landed as JSON-lines files, appended to bronze one
     file per micro-batch."""
     spark = rel.spark
-    landed = jobs.land_files(rel.landed.issue_docs, fresh_shared_path(spark, "landing-issues"), files)
+    # at most 100 issues per file and one file per micro-batch: the
+    # reference appends tracker issues 100 at a time
+    landed = jobs.land_files(rel.landed.issue_docs, fresh_shared_path(spark, "landing-issues"), files,
+                             max_records=C.ISSUE_BATCH_SIZE)
     bronze = fresh_shared_path(spark, "bronze-raw_jira_issues")
 
     def shape(batch: DataFrame) -> DataFrame:

@@ -20,9 +20,13 @@ from qalytics.functions import ts_lit
 from qalytics.session import fresh_shared_path, path_exists
 
 
-def land_files(df: DataFrame, path: str, files: int) -> str:
-    """Write records as JSON-lines text files (the landing zone)."""
-    df.select(F.col(df.columns[0]).alias("value")).repartition(files).write.mode("overwrite").text(path)
+def land_files(df: DataFrame, path: str, files: int, max_records: int | None = None) -> str:
+    """Write records as JSON-lines text files (the landing zone), at most
+    ``max_records`` per file when given."""
+    w = df.select(F.col(df.columns[0]).alias("value")).repartition(files).write.mode("overwrite")
+    if max_records:
+        w = w.option("maxRecordsPerFile", max_records)
+    w.text(path)
     return path
 
 
