@@ -32,7 +32,9 @@ from qalytics.sources.fixtures import Bronze
 BRONZE_TABLES = ("raw_projects", "raw_users", "raw_milestones", "raw_plans", "raw_runs", "raw_runs_dirty",
                  "raw_cases", "raw_suites", "raw_tests", "raw_results", "raw_jira_issues", "sync_state")
 SILVER_TABLES = ("dedup_runs", "dedup_plans", "dedup_milestones", "dedup_tests", "dedup_projects", "dedup_users",
-                 "dedup_cases", "dedup_suites", "stg_runs_wide", "fact_cycle")
+                 "dedup_cases", "dedup_suites", "stg_runs_wide", "fact_cycle",
+                 # per-run defect statistics: both dashboard marts read them
+                 "run_defects_priority", "run_defects_jira")
 GOLD_TABLES = ("kpi_monthly_performance", "kpi_by_plan", "kpi_uat_certification", "kpis_plan", "kpis_mes",
                "data_quality")
 MART_TABLES = ("dashboard_mart", "dashboard_pruebas", "workload_by_analyst", "project_analyst_demand",
