@@ -65,6 +65,16 @@ STATUS_GROUPS = (
     ("Mitigado", "Cerrado"),
 )
 
+# dashboard labels: status breakdown (display order) and status pie slices
+BREAKDOWN_LABELS = ("Exitosos", "Fallidos", "Devueltos", "Bloqueados", "En Proceso", "Sin Probar")
+PIE_LABELS = ("Exitosos", "Fallidos", "Bloqueados", "Devueltos", "Sin Probar")
+
+# data-quality check names
+DQ_DUPLICATE_RUNS = "Duplicate Runs"
+DQ_FUTURE_DATES = "Future Creation Dates"
+DQ_NEGATIVE_COUNTS = "Negative Counts"
+DQ_START_AFTER_END = "Start > End"
+
 # case priorities
 PRIORITY_CRITICAL = 4
 PRIORITY_HIGH = 3

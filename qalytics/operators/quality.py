@@ -7,6 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from qalytics import config as C
 from qalytics.functions import ts_lit
 
 
@@ -16,22 +17,22 @@ def _result(name: str, failures: DataFrame) -> DataFrame:
 
 def dq_duplicate_runs(raw_runs: DataFrame) -> DataFrame:
     dup = raw_runs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return _result("Duplicate Runs", dup)
+    return _result(C.DQ_DUPLICATE_RUNS, dup)
 
 
 def dq_future_dates(raw_runs: DataFrame, as_of: _dt.datetime) -> DataFrame:
-    return _result("Future Creation Dates", raw_runs.where(F.col("created_on") > ts_lit(as_of)))
+    return _result(C.DQ_FUTURE_DATES, raw_runs.where(F.col("created_on") > ts_lit(as_of)))
 
 
 def dq_negative_counts(raw_runs: DataFrame) -> DataFrame:
-    return _result("Negative Counts", raw_runs.where((F.col("passed_count") < 0) | (F.col("failed_count") < 0)))
+    return _result(C.DQ_NEGATIVE_COUNTS, raw_runs.where((F.col("passed_count") < 0) | (F.col("failed_count") < 0)))
 
 
 def dq_start_after_end(fact: DataFrame) -> DataFrame:
     """Closed cycles whose start date lies after their completion date.
     ``fact`` needs eff_start_date, completed_on and is_closed."""
     bad = fact.where((F.col("eff_start_date") > F.to_date("completed_on")) & (F.col("is_closed") == F.lit(True)))
-    return _result("Start > End", bad)
+    return _result(C.DQ_START_AFTER_END, bad)
 
 
 def cycle_dates(raw_runs: DataFrame) -> DataFrame:

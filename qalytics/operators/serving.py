@@ -152,9 +152,6 @@ def kpi_header(filtered: DataFrame, issues: DataFrame) -> DataFrame:
         "*", totals.getField("n").alias("total_defects"), totals.getField("active").alias("active_defects"))
 
 
-BREAKDOWN_LABELS = ("Exitosos", "Fallidos", "Devueltos", "Bloqueados", "En Proceso", "Sin Probar")
-
-
 def status_breakdown(filtered: DataFrame) -> DataFrame:
     """Six status totals and their share of all tests (1 decimal). Failed is
     the residual, floored at 0; shares are 0.0 when there are no tests."""
@@ -165,23 +162,25 @@ def status_breakdown(filtered: DataFrame) -> DataFrame:
     values = [F.col("total_passed"), failed, F.col("total_returned_cases"), F.col("total_blocked"),
               F.col("total_in_process"), F.col("total_untested")]
     rows = F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(lbl).alias("label"), v.cast("long").alias("value"))
-                               for i, (lbl, v) in enumerate(zip(BREAKDOWN_LABELS, values))])).alias("r")
+                               for i, (lbl, v) in enumerate(zip(C.BREAKDOWN_LABELS, values))])).alias("r")
     out = s.select("total_tests", rows).select("r.ord", "r.label", "r.value", "total_tests")
     pct = F.when(F.col("total_tests") > 0, F.round(F.col("value") / F.col("total_tests") * 100, 1)).otherwise(F.lit(0.0))
     return out.select("ord", "label", "value", pct.alias("pct"))
 
 
-PIE_SLICES = (("Exitosos", "total_passed"), ("Fallidos", None), ("Bloqueados", "total_blocked"),
-              ("Devueltos", "total_returned_cases"), ("Sin Probar", "total_untested"))
+# the mart columns behind each pie slice (C.PIE_LABELS order); the failed
+# slice reads a column the mart does not carry
+PIE_SOURCES = ("total_passed", None, "total_blocked", "total_returned_cases", "total_untested")
 
 
 def status_pie(filtered: DataFrame) -> DataFrame:
     """Five slice sums, zero slices dropped. 'Fallidos' reads a column the
     mart does not carry, so it is always 0 and dropped (as in the reference)."""
-    sums = filtered.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for _, c in PIE_SLICES if c])
+    slices_ = list(zip(C.PIE_LABELS, PIE_SOURCES))
+    sums = filtered.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for _, c in slices_ if c])
     slices = F.explode(F.array(*[
         F.struct(F.lit(lbl).alias("name"), (F.col(c) if c else F.lit(0).cast("long")).alias("value"))
-        for lbl, c in PIE_SLICES])).alias("s")
+        for lbl, c in slices_])).alias("s")
     return sums.select(slices).select("s.name", "s.value").where(F.col("value") > 0)
 
 
