@@ -42,18 +42,24 @@ def result_tests(raw_results: DataFrame, dedup_tests: DataFrame) -> DataFrame:
 
 def run_defects_priority(raw_results: DataFrame, dedup_tests: DataFrame, raw_cases: DataFrame) -> DataFrame:
     """Per (run, case priority): distinct defect texts, results with defects,
-    certificate count and iteration count."""
-    cases = raw_cases.select(F.col("id").alias("c_id"), "priority_id")
+    certificate count and iteration count.
+
+    Results are first reduced per (test, defect text) — a partial aggregate
+    before any shuffle, so a test holding a large share of the results
+    arrives at the join as one row per distinct text — and the counts are
+    carried as sums through the joins."""
     cf = json_object("custom_fields")
-    r = (result_tests(raw_results.select("test_id", "defects", cf.alias("_cf")), dedup_tests)
-         .join(cases, F.col("case_id") == F.col("c_id")))
     has_defect = F.col("defects").isNotNull() & (F.col("defects") != "")
+    per_text = (raw_results.select("test_id", "defects", cf.alias("_cf"))
+                .groupBy("test_id", "defects").agg(
+                    F.count_if(has_defect).alias("rwd"),
+                    F.count_if(json_value_in(F.col("_cf"), C.RESULT_CERTIFICATE_KEY).isNotNull()).alias("acta"),
+                    F.count_if(json_value_in(F.col("_cf"), C.ITERATION_KEY) == "true").alias("iters")))
+    cases = raw_cases.select(F.col("id").alias("c_id"), "priority_id")
+    r = result_tests(per_text, dedup_tests).join(cases, F.col("case_id") == F.col("c_id"))
     # level 1: per distinct defect text (replaces COUNT(DISTINCT defects))
     lvl1 = r.groupBy("run_id", "priority_id", "defects").agg(
-        F.count_if(has_defect).alias("rwd"),
-        F.count_if(json_value_in(F.col("_cf"), C.RESULT_CERTIFICATE_KEY).isNotNull()).alias("acta"),
-        F.count_if(json_value_in(F.col("_cf"), C.ITERATION_KEY) == "true").alias("iters"),
-    )
+        F.sum("rwd").alias("rwd"), F.sum("acta").alias("acta"), F.sum("iters").alias("iters"))
     return lvl1.groupBy("run_id", "priority_id").agg(
         F.count("defects").alias("defects_count"),
         F.sum("rwd").alias("results_with_defects"),
@@ -74,8 +80,11 @@ def run_defects_jira(raw_results: DataFrame, dedup_tests: DataFrame, raw_issues:
     res = raw_results.where(F.col("defects").isNotNull() & (F.col("defects") != ""))
     keys = (res.where(F.col("defects").contains(C.DEFECT_KEY_PREFIX))
             .select("test_id", F.explode(F.regexp_extract_all("defects", F.lit(C.DEFECT_KEY_PATTERN), 1)).alias("defect_key")))
+    # key occurrences per (test, key), reduced before the shuffle; the count
+    # weights the age average so it stays the average over all linked rows
+    occ = keys.groupBy("test_id", "defect_key").agg(F.count(F.lit(1)).alias("_occ"))
     j = raw_issues.select(F.col("key").alias("j_key"), "status", "priority", "created")
-    linked = (result_tests(keys, dedup_tests)
+    linked = (result_tests(occ, dedup_tests)
               .join(j, F.col("defect_key") == F.col("j_key")))
     st, pr = F.col("status"), F.col("priority")
     conds = {
@@ -92,7 +101,8 @@ def run_defects_jira(raw_results: DataFrame, dedup_tests: DataFrame, raw_issues:
     age = elapsed_days(F.col("created"), ts_lit(as_of))
     per_key = linked.groupBy("run_id", "j_key").agg(
         *[F.max(F.when(c, 1).otherwise(0)).alias(n) for n, c in conds.items()],
-        F.sum(age).alias("age_sum"), F.count(age).alias("age_n"))
+        F.sum(age * F.col("_occ")).alias("age_sum"),
+        F.sum(F.when(age.isNotNull(), F.col("_occ"))).alias("age_n"))
     return per_key.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("jira_defects_count"),
         *[F.sum(n).cast("long").alias(n) for n in conds],
@@ -505,7 +515,8 @@ def linked_info(raw_results: DataFrame, dedup_tests: DataFrame, stg: DataFrame,
             .select("test_id", F.explode(F.regexp_extract_all("defects", F.lit(C.DEFECT_KEY_PATTERN), 1)).alias("extracted_key")))
     t = dedup_tests.select(F.col("id").alias("t_id"), F.col("run_id").alias("t_run_id"))
     sr = stg.select("run_id", "plan_id", "project_id", F.coalesce("plan_name", "run_name").alias("plan_name"))
-    li = (keys.join(t, F.col("test_id") == F.col("t_id"))
+    # distinct (test, key) first: a test with many results reaches the join once per key
+    li = (keys.distinct().join(t, F.col("test_id") == F.col("t_id"))
               .join(sr, F.col("t_run_id") == F.col("run_id"))
               .select("extracted_key", "plan_id", "project_id", "plan_name").distinct())
     p = raw_projects.select(F.col("id").alias("p_id"), F.col("name").alias("project_name"))
