@@ -434,8 +434,12 @@ def project_summary(dedup_projects: DataFrame, ap: DataFrame, rc: DataFrame, es:
 
 # ------------------------------------------------------------ workload / demand
 def _active_assignments(dedup_tests: DataFrame, dedup_runs: DataFrame, dedup_projects: DataFrame) -> DataFrame:
-    t = dedup_tests.where(F.col("assignedto_id").isNotNull() & (F.col("assignedto_id") > 0)).select(
-        F.col("id").alias("test_id"), "run_id", "status_id", "assignedto_id")
+    """Assigned tests of open, non-excluded projects, counted per (run,
+    assignee, status) before the run join: test ids are unique after dedup,
+    so ``n_tests`` is the distinct test count, and a run holding a large share
+    of the tests reaches the join as a handful of rows."""
+    t = (dedup_tests.where(F.col("assignedto_id").isNotNull() & (F.col("assignedto_id") > 0))
+         .groupBy("run_id", "assignedto_id", "status_id").agg(F.count("id").alias("n_tests")))
     r = dedup_runs.where(~F.col("project_id").isin(*C.SUMMARY_EXCLUDED_PROJECTS)).select(
         F.col("id").alias("r_id"), "project_id", "created_on")
     proj = dedup_projects.where(F.col("is_completed") == F.lit(False)).select(
@@ -461,17 +465,21 @@ def workload_by_analyst(dedup_tests: DataFrame, dedup_runs: DataFrame, dedup_pro
     then is the user table joined, and its snapshot multiplicity applied to
     the counts, so the large side never fans out."""
     a = _active_assignments(dedup_tests, dedup_runs, dedup_projects)
-    st = F.col("status_id")
+    st, n = F.col("status_id"), F.col("n_tests")
+
+    def tests_where(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("long"))
+
     # test ids are unique after dedup and the run / project joins are on
-    # unique keys, so counting ids is the distinct count
+    # unique keys, so summed test counts are the distinct counts
     per = a.groupBy("assignedto_id", "project_id", "project_name").agg(
-        F.count("test_id").alias("total_assigned"),
-        F.count_if(~st.isin(C.STATUS_PASSED, C.STATUS_FAILED)).alias("active_cases"),
-        F.count_if(st == C.STATUS_PASSED).alias("passed_cases"),
-        F.count_if(st == C.STATUS_FAILED).alias("failed_cases"),
-        F.count_if(st == C.STATUS_BLOCKED).alias("blocked_cases"),
-        F.count_if(st == C.STATUS_UNTESTED).alias("untested_cases"),
-        F.count_if(st == C.STATUS_RETEST).alias("retest_cases"),
+        F.sum(n).alias("total_assigned"),
+        tests_where(~st.isin(C.STATUS_PASSED, C.STATUS_FAILED)).alias("active_cases"),
+        tests_where(st == C.STATUS_PASSED).alias("passed_cases"),
+        tests_where(st == C.STATUS_FAILED).alias("failed_cases"),
+        tests_where(st == C.STATUS_BLOCKED).alias("blocked_cases"),
+        tests_where(st == C.STATUS_UNTESTED).alias("untested_cases"),
+        tests_where(st == C.STATUS_RETEST).alias("retest_cases"),
     )
     u = user_name_rows(raw_users).select(F.col("id").alias("u_id"), F.col("name").alias("u_name"), "n_rows")
     j = per.join(u, F.col("assignedto_id") == F.col("u_id"), "left")
@@ -491,9 +499,9 @@ def project_analyst_demand(dedup_tests: DataFrame, dedup_runs: DataFrame, dedup_
     analyst names (user name, else ``Analista #id``)."""
     a = _active_assignments(dedup_tests, dedup_runs, dedup_projects).select(
         "project_id", "project_name", F.date_format("created_on", "yyyy-MM").alias("month_key"),
-        F.year("created_on").cast("long").alias("year"), "assignedto_id", "test_id")
+        F.year("created_on").cast("long").alias("year"), "assignedto_id", "n_tests")
     keys = ["project_id", "project_name", "month_key", "year"]
-    per = a.groupBy(*keys, "assignedto_id").agg(F.count("test_id").alias("n_tests"))
+    per = a.groupBy(*keys, "assignedto_id").agg(F.sum("n_tests").alias("n_tests"))
     names = raw_users.groupBy("id").agg(F.collect_set("name").alias("u_names"))
     j = per.join(names, F.col("assignedto_id") == F.col("id"), "left")
     fallback = F.array(F.concat(F.lit(C.ANALYST_FALLBACK_PREFIX), F.col("assignedto_id").cast("string")))
