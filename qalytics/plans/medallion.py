@@ -160,10 +160,22 @@ def build_layer(rel: Relations, root: str, layer: str, names: tuple[str, ...], t
             timings[f"{layer}.{name}"] = round(time.perf_counter() - t0, 3)
 
 
+class QualityGateError(RuntimeError):
+    """Raised by a strict refresh when a data-quality check has failures."""
+
+
+def quality_gate(rel: Relations) -> dict[str, int]:
+    """The failing checks of the written gold ``data_quality`` table (four
+    rows at most reach the driver)."""
+    return {r["check_name"]: r["failures"] for r in rel.data_quality.where("failures > 0").collect()}
+
+
 def refresh(spark: SparkSession, sf_dir: str, root: str | None = None, as_of: _dt.datetime = C.DEFAULT_AS_OF,
-            timings: dict | None = None) -> MaterializedRelations:
+            timings: dict | None = None, strict_quality: bool = False) -> MaterializedRelations:
     """Run the whole build; returns relations that read the written layers.
-    ``timings`` (if given) receives the seconds spent per layer."""
+    ``timings`` (if given) receives the seconds spent per layer. With
+    ``strict_quality`` the build stops after the gold layer when a
+    data-quality check fails (the reference only reports them)."""
     import time
 
     root = root or fresh_shared_path(spark, "medallion")
@@ -178,4 +190,8 @@ def refresh(spark: SparkSession, sf_dir: str, root: str | None = None, as_of: _d
         step()
         if timings is not None:
             timings[name] = round(time.perf_counter() - t0, 3)
+        if strict_quality and name == "gold_build":
+            failing = quality_gate(MaterializedRelations(spark, sf_dir, root, as_of))
+            if failing:
+                raise QualityGateError(f"data-quality checks failed: {failing}")
     return MaterializedRelations(spark, sf_dir, root, as_of)

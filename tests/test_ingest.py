@@ -68,3 +68,14 @@ def test_issue_flatten_missing_objects_and_bad_times(spark):
     assert r["status"] == "Backlog" and r["priority"] is None and r["assignee"] is None
     assert r["created"] == T(2023, 1, 16, 15, 39, 19, 462000) and r["updated"] is None and r["updated_raw"] == "bad"
     assert r["url"] == "https://t/browse/CM-1"
+
+
+def test_cases_by_suite_mode_and_stamp_parent(spark):
+    cases = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (4, 99)], "id long, suite_id long")
+    suites = spark.createDataFrame([(10, 1), (20, 2), (30, 3)], "id long, project_id long")
+    projects = spark.createDataFrame([(1, 3), (2, None)], "id long, suite_mode long")
+    got = rows(ingest.cases_by_suite_mode(cases, suites, projects), "id", "project_id", "suite_id", "suite_mode")
+    # project 3 is unknown: its cases are skipped; a missing mode counts as 1; suite 99 has no project
+    assert got == [(1, 1, 10, 3), (2, 2, 20, 1)]
+    stamped = rows(ingest.stamp_parent(cases, suites, "suite_id"), "id", "project_id")
+    assert stamped == [(1, 1), (2, 2), (3, 3)]

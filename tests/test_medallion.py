@@ -15,3 +15,13 @@ def test_refresh_matches_lazy_lineage(spark):
         assert rows(getattr(m, name)) == rows(getattr(raw, name)), name
     assert rows(m.kpi_header()) == rows(raw.kpi_header())
     assert rows(m.relation_head("mart")) == rows(raw.relation_head("mart"))
+
+
+def test_strict_refresh_stops_on_failed_checks(spark):
+    import pytest
+
+    from qalytics.plans.medallion import QualityGateError
+
+    # the fixture's dirty runs carry duplicates, future dates, negative counts
+    with pytest.raises(QualityGateError, match="Duplicate Runs"):
+        refresh(spark, SF0001, strict_quality=True)
