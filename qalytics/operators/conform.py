@@ -89,9 +89,17 @@ def stg_runs_wide(dedup_runs: DataFrame, dedup_plans: DataFrame, dedup_milestone
     pmd = plan_max_dates(dedup_runs).withColumnRenamed("plan_id", "pmd_plan_id")
     r = dedup_runs.select("id", "project_id", "plan_id", "name", "milestone_id", "created_on", "completed_on",
                           "is_completed", "assignedto_id")
-    j = (r.join(prepared_plans(dedup_plans), F.col("plan_id") == F.col("p_id"), "left")
-          .join(prepared_milestones(dedup_milestones), F.col("milestone_id") == F.col("m_id"), "left")
-          .join(pmd, F.col("plan_id") == F.col("pmd_plan_id"), "left"))
+    # Plans with their latest run date, one row per plan id. The join key is
+    # derived (coalesce over the full join), so unless the plans are small
+    # enough to broadcast, both sides reach the join through a shuffle and AQE
+    # can split a plan holding most runs, or the NULL plan of standalone runs.
+    # (Joined on the plan id itself, the plans would arrive pre-partitioned
+    # by the newest-row window, only the runs would be shuffled, and AQE
+    # could not split them.)
+    plans = prepared_plans(dedup_plans).join(pmd, F.col("p_id") == F.col("pmd_plan_id"), "full")
+    plans = plans.withColumn("_plan_key", F.coalesce("p_id", "pmd_plan_id"))
+    j = (r.join(plans, F.col("plan_id") == F.col("_plan_key"), "left")
+          .join(prepared_milestones(dedup_milestones), F.col("milestone_id") == F.col("m_id"), "left"))
     created, completed = F.col("created_on"), F.col("completed_on")
     start, due = F.col("parsed_start"), F.col("parsed_due")
     on_time_to_qa = F.when(created.isNotNull() & start.isNotNull(), F.when(created <= start, 1).otherwise(0)).otherwise(0)

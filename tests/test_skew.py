@@ -81,3 +81,28 @@ def test_hot_run_and_hot_test(skewed):
     assert len(joined.collect()) == n  # runs this Dataset's own (adaptive) plan to its final form
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "skew=true" in plan
+
+
+def test_hot_and_null_plan_keys_are_split_in_staged_runs(skewed):
+    spark = skewed
+    # a third of the runs on plan 1, a third without a plan
+    runs = spark.range(3000).select(
+        F.col("id"), F.lit(5).cast("long").alias("project_id"),
+        F.when(F.col("id") < 1000, F.lit(1)).when(F.col("id") < 2000, F.lit(None))
+        .otherwise(F.col("id") % 50 + 2).cast("long").alias("plan_id"),
+        F.concat(F.lit("r"), F.col("id").cast("string")).alias("name"), (F.col("id") % 3).alias("milestone_id"),
+        F.lit(T(2024, 1, 1)).cast("timestamp_ntz").alias("created_on"),
+        F.lit(None).cast("timestamp_ntz").alias("completed_on"), F.lit(False).alias("is_completed"),
+        F.lit(None).cast("long").alias("assignedto_id"))
+    plans = spark.range(1, 60).select(
+        F.col("id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"),
+        F.lit(T(2023, 1, 1)).cast("timestamp_ntz").alias("created_on"),
+        F.lit(None).cast("timestamp_ntz").alias("completed_on"), F.lit(False).alias("is_completed"),
+        F.lit('{"custom_fechainicio":"2024-02-01"}').alias("custom_fields"))
+    milestones = spark.range(3).select(F.col("id"), F.lit("m").alias("name"), F.lit(None).cast("string").alias("custom_fields"))
+    stg = conform.stg_runs(runs, plans, milestones)
+    got = stg.collect()
+    assert len(got) == 3000 and sum(r["on_time_to_qa"] for r in got) == 2000
+    assert sum(1 for r in got if r["plan_name"] is None) == 1000
+    plan = stg._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin(skew=true)" in plan
