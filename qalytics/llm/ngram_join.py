@@ -199,8 +199,8 @@ def jaccard_classes(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     # what no hub has joined: pairs of one shingle in different components
     placed = (met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
               .select("token", "node", "n", "pos", "root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    placed = C.stage(placed.join(mixed, "token", "left_semi"), "mixed")
+    own = Window.partitionBy("token")
+    placed = C.stage(placed.withColumn("lo", F.min("root").over(own)).withColumn("hi", F.max("root").over(own)).where("lo < hi").drop("lo", "hi"), "mixed")
     rest = (placed.alias("x").join(placed.alias("y"), F.col("x.token") == F.col("y.token"))
             .where("x.node < y.node and x.root <> y.root").where(_plausible(num, den, "x", "y"))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
