@@ -30,6 +30,10 @@ from pyspark.sql import functions as F
 from qalytics.llm import common as C
 
 
+# Text bytes that a map task's trie holds before it is written out.
+HELD_BYTES = 16_000_000
+
+
 class Node:
     """A trie node: the bytes on its edge, its children by first byte, and,
     where a text ends, that text's owner and number of rows."""
@@ -97,21 +101,29 @@ COMBINED = "size long, hash long, body binary, owner long, members long"
 
 
 def _combine(better):
-    """Map side: one row per different text of a chunk."""
+    """Map side: one row per different text, as long as the trie of the texts
+    so far holds at most ``HELD_BYTES``; then it is written out."""
+    def combined(trie: Trie) -> pa.RecordBatch:
+        rows = list(trie.terminals())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([len(t) for t, _, _ in rows], pa.int64()),
+             pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _, _ in rows], pa.int64()),
+             pa.array([t for t, _, _ in rows], pa.binary()),
+             pa.array([o for _, o, _ in rows], pa.int64()),
+             pa.array([m for _, _, m in rows], pa.int64())],
+            names=["size", "hash", "body", "owner", "members"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, held = Trie(better), 0
         for batch in batches:
             for part, texts in C.text_slices(batch):
-                trie = Trie(better)
                 for text, i in zip(texts, part.column("doc_id").to_pylist()):
-                    trie.insert(text.lower(), i)
-                rows = list(trie.terminals())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(t) for t, _, _ in rows], pa.int64()),
-                     pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _, _ in rows], pa.int64()),
-                     pa.array([t for t, _, _ in rows], pa.binary()),
-                     pa.array([o for _, o, _ in rows], pa.int64()),
-                     pa.array([m for _, _, m in rows], pa.int64())],
-                    names=["size", "hash", "body", "owner", "members"])
+                    if trie.insert(text.lower(), i).rows == 1:
+                        held += len(text)
+                if held > HELD_BYTES:
+                    yield combined(trie)
+                    trie, held = Trie(better), 0
+        yield combined(trie)
     return run
 
 
