@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from qalytics.llm import common as C
 
 BITS = 18
-RANGES = 32
+RANGES = 128
 SALT_ROWS = 100_000
 
 
