@@ -35,7 +35,7 @@ from qalytics.llm import common as C
 BITS = 13
 # A language is modelled when at least so many rows declare it; if more than
 # MOST_LANGUAGES do, the most declared ones are.
-LEAST_ROWS = 20
+LEAST_ROWS = 5
 MOST_LANGUAGES = 200
 # Letters depend on each other: a text counts as at most so many trigrams.
 EFFECTIVE = 40.0
