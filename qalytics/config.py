@@ -112,7 +112,6 @@ RELATION_HEAD_ROWS = 1000
 AGING_TOP_K = 5
 UNLINKED_PREVIEW_ROWS = 50
 VELOCITY_WINDOW_DAYS = 30
-ISSUE_BATCH_SIZE = 100
 # ------------------------------------------------------------ END FIXED VALUES
 
 # "now" of every operator; fixed for the fixtures so results are reproducible.

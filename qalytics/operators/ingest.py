@@ -110,10 +110,11 @@ def explode_plan_entries(plans: DataFrame, doc_col: str = "doc", project_col: st
 
 def stamp_parent(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str = "id",
                  stamp: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    """Children take columns (``project_id`` by default) from their parent."""
+    """Children take columns (``project_id`` by default) from their parent; a
+    child without a parent stays, with NULLs. ``parents`` has one row per key."""
     p = parents.select(F.col(parent_key).alias("_parent"), *[F.col(c).alias(f"_p_{c}") for c in stamp])
     j = children.drop(*[c for c in stamp if c in children.columns and c != child_key]).join(
-        p, F.col(child_key) == F.col("_parent"))
+        p, F.col(child_key) == F.col("_parent"), "left")
     return j.select(*[c for c in children.columns if c not in stamp or c == child_key],
                     *[F.col(f"_p_{c}").alias(c) for c in stamp]).drop("_parent")
 

@@ -251,16 +251,21 @@ def _with_user_rows(runs: DataFrame, raw_users: DataFrame) -> DataFrame:
     return runs.join(u, F.col("assignedto_id") == F.col("u_id"), "left")
 
 
+def mart_scope() -> Column:
+    """Rows the mart keeps: the two special projects, or open projects that
+    are not excluded (a NULL project drops out)."""
+    pid = F.col("project_id")
+    return ((pid == C.MART_UAT_PROJECT) | (pid == C.MART_AUTOMATION_PROJECT)
+            | (~pid.isin(*C.MART_EXCLUDED_PROJECTS) & (F.col("project_is_completed") == F.lit(False))))
+
+
 def plan_aggs(run_level: DataFrame, dedup_projects: DataFrame, raw_users: DataFrame) -> DataFrame:
     """Mart plan aggregates: one row per (plan-or-run, name, month, project,
     project name, certificate). ``run_level`` is ``run_stats`` computed over
     the wide staged runs, keeping all their columns (one row per run)."""
     proj = dedup_projects.select(F.col("id").alias("proj_id"), F.col("name").alias("project_name"),
                                  F.col("is_completed").alias("project_is_completed"))
-    pid = F.col("project_id")
-    scope = ((pid == C.MART_UAT_PROJECT) | (pid == C.MART_AUTOMATION_PROJECT)
-             | (~pid.isin(*C.MART_EXCLUDED_PROJECTS) & (F.col("project_is_completed") == F.lit(False))))
-    runs = run_level.join(proj, pid == F.col("proj_id")).where(scope)
+    runs = run_level.join(proj, F.col("project_id") == F.col("proj_id")).where(mart_scope())
     runs = _with_user_rows(runs, raw_users)
     keys = [F.coalesce("plan_id", "run_id").alias("plan_id"), F.coalesce("plan_name", "run_name").alias("plan_name"),
             "month_key", "project_id", "project_name", "acta_certificacion"]
@@ -502,14 +507,15 @@ def project_analyst_demand(dedup_tests: DataFrame, dedup_runs: DataFrame, dedup_
         F.year("created_on").cast("long").alias("year"), "assignedto_id", "n_tests")
     keys = ["project_id", "project_name", "month_key", "year"]
     per = a.groupBy(*keys, "assignedto_id").agg(F.sum("n_tests").alias("n_tests"))
-    names = raw_users.groupBy("id").agg(F.collect_set("name").alias("u_names"))
+    fallback = F.concat(F.lit(C.ANALYST_FALLBACK_PREFIX), F.col("id").cast("string"))
+    names = raw_users.groupBy("id").agg(F.collect_set(F.coalesce(F.col("name"), fallback)).alias("u_names"))
     j = per.join(names, F.col("assignedto_id") == F.col("id"), "left")
     fallback = F.array(F.concat(F.lit(C.ANALYST_FALLBACK_PREFIX), F.col("assignedto_id").cast("string")))
-    j = j.withColumn("names", F.coalesce(F.col("u_names"), fallback))
+    j = j.select(*keys, "n_tests", F.posexplode(F.coalesce(F.col("u_names"), fallback)).alias("nth", "name"))
     out = j.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("analyst_count"),
-        F.sum("n_tests").alias("test_count"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))), C.LIST_SEPARATOR).alias("analyst_names"),
+        F.count_if(F.col("nth") == 0).alias("analyst_count"),
+        F.sum(F.when(F.col("nth") == 0, F.col("n_tests"))).alias("test_count"),
+        F.array_join(F.array_sort(F.collect_set("name")), C.LIST_SEPARATOR).alias("analyst_names"),
     )
     return out.select("project_id", "project_name", "month_key", "year", "analyst_count", "test_count", "analyst_names")
 

@@ -106,11 +106,12 @@ def monthly_scorecards(kpi_monthly: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ §2.E
 def filter_options(mart: DataFrame) -> DataFrame:
     """Month options (sorted distinct non-null) and project options (one
-    name per project id, ordered by numeric id) as one relation."""
+    name per project id, ordered by numeric id; id 0 and empty names are left
+    out, as the browser does) as one relation."""
     months = (mart.where(F.col("month_key").isNotNull()).select("month_key").distinct()
               .select(F.lit("month").alias("option_type"), F.lit(None).cast("long").alias("option_id"),
                       F.col("month_key").alias("option_label")))
-    projects = (mart.where(F.col("project_id").isNotNull() & F.col("project_name").isNotNull())
+    projects = (mart.where((F.col("project_id") != 0) & (F.col("project_name") != ""))
                 .groupBy("project_id").agg(F.max("project_name").alias("option_label"))
                 .select(F.lit("project").alias("option_type"), F.col("project_id").alias("option_id"), "option_label"))
     return months.unionByName(projects).orderBy("option_type", "option_id", "option_label")
@@ -201,9 +202,11 @@ def defects_by_status(issues: DataFrame) -> DataFrame:
     """Issues grouped into four status groups; unknown or NULL status counts
     as open. Zero-filled."""
     mapping = _dimension(issues.sparkSession, list(C.STATUS_GROUPS), "status string, status_group string")
-    grouped = (issues.select("status").join(mapping, "status", "left")
-               .select(F.coalesce(F.col("status_group"), F.lit(C.STATUS_GROUP_OPEN)).alias("name"))
-               .groupBy("name").agg(F.count(F.lit(1)).alias("n")))
+    # a few counts per status meet the mapping, not the issues
+    per_status = issues.groupBy("status").agg(F.count(F.lit(1)).alias("issues"))
+    grouped = (per_status.join(mapping, "status", "left")
+               .select(F.coalesce(F.col("status_group"), F.lit(C.STATUS_GROUP_OPEN)).alias("name"), "issues")
+               .groupBy("name").agg(F.sum("issues").alias("n")))
     dim = _dimension(issues.sparkSession, [(i, g) for i, g in enumerate(C.STATUS_GROUP_ORDER)], "ord int, name string")
     return dim.join(grouped, "name", "left").select("ord", "name", F.coalesce(F.col("n"), F.lit(0)).alias("value"))
 
@@ -215,15 +218,13 @@ def automation_pct(coverage: DataFrame) -> DataFrame:
                                            F.sum("count")), 0).cast("long").alias("automation_pct"))
 
 
-def workload_pivot(workload: DataFrame, projects: list[str] | None = None) -> DataFrame:
-    """One row per analyst, one column per project (assigned tests) plus the
-    row total. ``projects`` fixes the column set; by default Spark derives it
-    from the data (a small distinct over project names)."""
-    g = workload.groupBy("analyst_name")
-    p = g.pivot("project_name", projects) if projects is not None else g.pivot("project_name")
-    cells = p.agg(F.sum("total_assigned"))
-    totals = workload.groupBy("analyst_name").agg(F.sum("total_assigned").alias("total"))
-    return cells.join(totals, "analyst_name").orderBy(F.col("total").desc(), F.col("analyst_name"))
+def workload_pivot(workload: DataFrame, projects: list[str]) -> DataFrame:
+    """One row per analyst, one column per name in ``projects`` (assigned
+    tests, NULL without any) plus the row total over all projects: one
+    aggregation."""
+    cells = [F.sum(F.when(F.col("project_name") == p, F.col("total_assigned"))).alias(p) for p in projects]
+    return (workload.groupBy("analyst_name").agg(*cells, F.sum("total_assigned").alias("total"))
+            .orderBy(F.col("total").desc(), F.col("analyst_name")))
 
 
 def workload_detail(workload: DataFrame) -> DataFrame:
@@ -235,16 +236,13 @@ def demand_years(demand: DataFrame, year: int | None = None) -> DataFrame:
     return d.select("year").distinct().orderBy("year")
 
 
-def demand_pivot(demand: DataFrame, projects: list[str] | None = None) -> DataFrame:
-    """One row per month; per project: analyst count (column named after
-    the project), tests (``<project>_tests``) and names (``<project>_names``)."""
-    g = demand.groupBy(F.col("month_key").alias("month"))
-    p = g.pivot("project_name", projects) if projects is not None else g.pivot("project_name")
-    wide = p.agg(F.max("analyst_count").alias("analysts"), F.max("test_count").alias("tests"),
-                 F.max("analyst_names").alias("names"))
-    renamed = [F.col(f"`{c}`").alias(c[: -len("_analysts")]) if c.endswith("_analysts") else F.col(f"`{c}`")
-               for c in wide.columns]
-    return wide.select(*renamed).orderBy("month")
+def demand_pivot(demand: DataFrame, projects: list[str]) -> DataFrame:
+    """One row per month; per name in ``projects``: analyst count (column
+    named after the project), tests (``<project>_tests``) and names
+    (``<project>_names``), in one aggregation."""
+    cells = [F.max(F.when(F.col("project_name") == p, F.col(c))).alias(p + suffix) for p in projects
+             for c, suffix in (("analyst_count", ""), ("test_count", "_tests"), ("analyst_names", "_names"))]
+    return demand.groupBy(F.col("month_key").alias("month")).agg(*cells).orderBy("month")
 
 
 def demand_detail(demand: DataFrame) -> DataFrame:

@@ -185,14 +185,11 @@ def _sub(attr: str, cols: tuple[str, ...]) -> QueryFn:
 def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from qalytics import config as C
+    from qalytics.operators.marts import mart_scope
 
     rel = Relations(spark, sf_dir)
     proj = rel.dedup_projects.select(F.col("id").alias("proj_id"), F.col("is_completed").alias("project_is_completed"))
-    pid = F.col("project_id")
-    scope = ((pid == C.MART_UAT_PROJECT) | (pid == C.MART_AUTOMATION_PROJECT)
-             | (~pid.isin(*C.MART_EXCLUDED_PROJECTS) & (F.col("project_is_completed") == F.lit(False))))
-    return rel.stg_runs.join(proj, pid == F.col("proj_id")).where(scope).select("run_id", "project_id")
+    return rel.stg_runs.join(proj, F.col("project_id") == F.col("proj_id")).where(mart_scope()).select("run_id", "project_id")
 
 
 for _k, (_attr, _cols) in SUB_VIEWS.items():

@@ -73,7 +73,7 @@ class MaterializedRelations(Relations):
         super().__init__(spark, sf_dir, as_of, bronze=LandedBronze(spark, sf_dir, root, as_of))
         self.root = root
         known = {"silver": SILVER_TABLES, "gold": GOLD_TABLES, "mart": MART_TABLES}
-        self._written = {layer: {n for n in names if path_exists(spark, os.path.join(root, layer, n))}
+        self._written = {layer: {n for n in names if path_exists(spark, os.path.join(root, layer, n, "_SUCCESS"))}
                          for layer, names in known.items()}
 
     @cached_property

@@ -251,9 +251,15 @@ class Relations:
     def automation_pct(self) -> DataFrame:
         return serving.automation_pct(self.automation_coverage)
 
+    @cached_property
+    def project_names(self) -> list[str]:
+        """Names in the project dimension: the pivots' columns."""
+        named = self.dedup_projects.where("name IS NOT NULL").select("name").distinct().orderBy("name")
+        return [r["name"] for r in named.collect()]
+
     @cached_property
     def workload_pivot(self) -> DataFrame:
-        return serving.workload_pivot(self.workload_by_analyst)
+        return serving.workload_pivot(self.workload_by_analyst, self.project_names)
 
     @cached_property
     def workload_detail(self) -> DataFrame:
@@ -265,7 +271,7 @@ class Relations:
 
     @cached_property
     def demand_pivot(self) -> DataFrame:
-        return serving.demand_pivot(self.project_analyst_demand)
+        return serving.demand_pivot(self.project_analyst_demand, self.project_names)
 
     @cached_property
     def demand_detail(self) -> DataFrame:
@@ -315,7 +321,7 @@ class Relations:
     @cached_property
     def stamp_parent(self) -> DataFrame:
         cases = self.bronze.raw_cases.select("id", "suite_id", "priority_id")
-        return ingest.stamp_parent(cases, self.bronze.raw_suites, "suite_id")
+        return ingest.stamp_parent(cases, self.dedup_suites, "suite_id")
 
     @cached_property
     def cases_by_suite_mode(self) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from qalytics import config as C
 from qalytics.operators import ingest
 from qalytics.plans.relations import Relations
 from qalytics.session import fresh_shared_path
@@ -16,34 +15,33 @@ from qalytics.sources.landed import TRACKER_URL
 from qalytics.streaming import jobs
 
 
-def issue_microbatch(rel: Relations, files: int = 8) -> DataFrame:
-    """Tracker issues landed as JSON-lines files, appended to bronze one
-    file per micro-batch."""
+def issue_microbatch(rel: Relations, files: int | None = None, issues_per_file: int = 100_000,
+                     files_per_batch: int = 1000) -> DataFrame:
+    """Tracker issues landed as JSON-lines files, appended to bronze in
+    micro-batches of ``files_per_batch`` files."""
     spark = rel.spark
-    # at most 100 issues per file and one file per micro-batch: the
-    # reference appends tracker issues 100 at a time
     landed = jobs.land_files(rel.landed.issue_docs, fresh_shared_path(spark, "landing-issues"), files,
-                             max_records=C.ISSUE_BATCH_SIZE)
+                             max_records=issues_per_file)
     bronze = fresh_shared_path(spark, "bronze-raw_jira_issues")
 
     def shape(batch: DataFrame) -> DataFrame:
         flat = ingest.issue_flatten(batch.withColumnRenamed("value", "doc"), TRACKER_URL)
         return ingest.bronze_append(flat, "raw_jira_issues", rel.as_of)
 
-    status = jobs.microbatch_ingest(spark, landed, bronze, shape, files_per_batch=1)
+    status = jobs.microbatch_ingest(spark, landed, bronze, shape, files_per_batch=files_per_batch)
     if status["status"] != "success":
         raise RuntimeError(status.get("error"))
-    return spark.read.parquet(bronze)
+    return spark.read.parquet(bronze).drop("batch_id")
 
 
-def velocity_stream(rel: Relations, files: int = 4) -> DataFrame:
-    """Results per day over the last 30 days, computed by a watermarked
-    streaming aggregation over landed result files."""
+def velocity_stream(rel: Relations, files: int | None = None, files_per_batch: int = 1000) -> DataFrame:
+    """Results per day over the last 30 days, counted per micro-batch over
+    landed result files."""
     spark = rel.spark
     landing = fresh_shared_path(spark, "landing-results")
     results = rel.bronze.raw_results
-    results.repartitionByRange(files, "created_on").write.parquet(landing)
-    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    (results.repartitionByRange(files, "created_on") if files else results).write.parquet(landing)
+    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
     out = fresh_shared_path(spark, "velocity")
     jobs.velocity_stream(spark, stream, out, rel.as_of)
-    return jobs.latest_snapshot(spark, out).orderBy("date")
+    return jobs.daily_counts(spark, out).orderBy("date")

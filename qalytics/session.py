@@ -55,6 +55,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = sc.applicationId
     if app not in _PRIVATE_ROOTS:
         _PRIVATE_ROOTS[app] = tempfile.mkdtemp(prefix="qalytics-ckpt-")

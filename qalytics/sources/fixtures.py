@@ -102,7 +102,7 @@ class Bronze:
         size = F.col("p_size")
         return p.select(
             F.col("p_partkey").alias("id"),
-            F.substring(F.col("p_brand"), 7, 1 << 20).cast("long").alias("suite_id"),
+            F.substr(F.col("p_brand"), F.lit(7)).cast("long").alias("suite_id"),
             (1 + size % 4).cast("long").alias("priority_id"),
             F.when(size > 45, 1).otherwise(0).cast("long").alias("is_deleted"),
             F.when(size % 3 == 0, 1).when(size % 3 == 1, 0).cast("long").alias("custom_automation_type"),
@@ -112,7 +112,7 @@ class Bronze:
     @cached_property
     def raw_suites(self) -> DataFrame:
         p = self.table("part")
-        sid = F.substring(F.col("p_brand"), 7, 1 << 20).cast("long")
+        sid = F.substr(F.col("p_brand"), F.lit(7)).cast("long")
         return p.select(
             sid.alias("id"), (sid % 25).alias("project_id"), F.col("p_brand").alias("name"),
             ts_lit(LOAD_1).alias("_extracted_at"),

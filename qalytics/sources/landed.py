@@ -82,7 +82,7 @@ class Landed:
         """Tracker issues as nested documents; times carry a -05:00 offset and
         a few are not parsable."""
         i = self.bronze._issues_base  # noqa: SLF001  (same source rows)
-        k = F.substring("id", 1, 12).cast("long")
+        k = F.col("id").cast("long")
         created_txt = F.when(k % 50 == 0, F.lit("n/a")).otherwise(
             F.concat(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("-0500")))
 

@@ -1,10 +1,13 @@
 """Structured Streaming forms of the ingest paths.
 
 * ``microbatch_ingest``: landed files → bronze, a bounded number of files
-  per micro-batch (the reference appends issues 100 at a time), with the
-  offsets in a checkpoint folder below ``spark.checkpoint.dir`` so a lost
-  executor or a restarted job resumes where it stopped.
-* ``velocity_stream``: results per day with an event-time watermark.
+  per micro-batch, with the offsets in a checkpoint folder below
+  ``spark.checkpoint.dir`` so a lost executor or a restarted job resumes
+  where it stopped.
+* ``velocity_stream``: results per day, as partial counts per micro-batch.
+
+Both sinks write one folder per micro-batch, named by its id: a micro-batch
+that is run again after a crash replaces its own folder and nothing else.
 """
 
 from __future__ import annotations
@@ -12,18 +15,21 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalytics import config as C
 from qalytics.functions import ts_lit
-from qalytics.session import fresh_shared_path, path_exists
+from qalytics.session import fresh_shared_path
 
 
-def land_files(df: DataFrame, path: str, files: int, max_records: int | None = None) -> str:
-    """Write records as JSON-lines text files (the landing zone), at most
-    ``max_records`` per file when given."""
-    w = df.select(F.col(df.columns[0]).alias("value")).repartition(files).write.mode("overwrite")
+def land_files(df: DataFrame, path: str, files: int | None = None, max_records: int | None = None) -> str:
+    """Write records as JSON-lines text files (the landing zone), in ``files``
+    parts (by default as ``df`` is partitioned) and at most ``max_records``
+    per file when given."""
+    lines = df.select(F.col(df.columns[0]).alias("value"))
+    w = (lines.repartition(files) if files else lines).write.mode("overwrite")
     if max_records:
         w = w.option("maxRecordsPerFile", max_records)
     w.text(path)
@@ -36,66 +42,49 @@ def microbatch_ingest(spark: SparkSession, landed_dir: str, bronze_dir: str,
     """Stream landed JSON-lines files into a bronze parquet table.
 
     ``shape`` turns a micro-batch of raw lines (column ``value``) into
-    bronze rows. Runs to completion (availableNow) and reports the total
-    rows landed; a failure becomes an error status instead of an
-    exception, as in the reference."""
+    bronze rows, written to ``batch_id=N``. Runs to completion (availableNow)
+    and reports the rows and micro-batches of this run; a failed stream
+    becomes an error status, as in the reference."""
     checkpoint = checkpoint or fresh_shared_path(spark, "ckpt-ingest")
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(landed_dir)
+    landed: dict[int, int] = {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        shape(batch).write.mode("append").parquet(bronze_dir)
+        path = f"{bronze_dir}/batch_id={batch_id}"
+        rows = shape(batch)
+        rows.write.mode("overwrite").parquet(path)
+        landed[batch_id] = spark.read.schema(rows.schema).parquet(path).count()
 
     try:
         q = (lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
         q.awaitTermination()
-        batches = len(q.recentProgress)
-        total = spark.read.parquet(bronze_dir).count() if path_exists(spark, bronze_dir) else 0
-        return {"status": "success", "count": total, "batches": batches}
-    except Exception as ex:  # noqa: BLE001
+    except StreamingQueryException as ex:
         return {"status": "error", "error": str(ex)}
+    return {"status": "success", "count": sum(landed.values()), "batches": len(landed)}
 
 
-def latest_snapshot(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The newest ``epoch=N`` snapshot below ``out_dir``."""
-    snaps = spark.read.parquet(out_dir)
-    newest = snaps.agg(F.max("epoch").alias("epoch"))
-    return snaps.join(newest, "epoch").drop("epoch")
+def daily_counts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Results per day: the partial counts of all micro-batches together."""
+    parts = spark.read.schema("date string, count long, epoch int").parquet(out_dir)
+    return parts.groupBy("date").agg(F.sum("count").alias("count"))
 
 
 def velocity_stream(spark: SparkSession, results: DataFrame, out_dir: str, as_of: _dt.datetime,
-                    days: int = C.VELOCITY_WINDOW_DAYS, lateness: str | None = None,
-                    checkpoint: str | None = None) -> None:
+                    days: int = C.VELOCITY_WINDOW_DAYS, checkpoint: str | None = None) -> None:
     """Daily result counts from a streaming results frame.
 
-    The allowed lateness defaults to the report window: the state then holds
-    at most one row per reported day, and no result inside the window is
-    dropped as late however the landed files are ordered.
-
-    Event-time windows of one day with a watermark (state of days older
-    than the watermark is dropped); update mode emits the days a batch
-    changed, and each batch upserts them into a new snapshot folder
-    ``epoch=<batch id>`` (re-running a batch rewrites the same folder, so
-    retries are idempotent). Watermarks need TIMESTAMP (with time zone),
-    so the NTZ event time is cast."""
+    Each micro-batch counts its own results per day into ``epoch=<batch id>``
+    (at most one row per day); ``daily_counts`` adds them up. No state and no
+    watermark is kept, so no result is late, however the landed files are
+    ordered and whatever lies after ``as_of``."""
     checkpoint = checkpoint or fresh_shared_path(spark, "ckpt-velocity")
-    lateness = lateness or f"{days} days"
     start = ts_lit(as_of - _dt.timedelta(days=days))
-    ev = (results.where(F.col("created_on") >= start)
-          .select(F.col("created_on").cast("timestamp").alias("event_time")))
-    daily = (ev.withWatermark("event_time", lateness)
-             .groupBy(F.window("event_time", "1 day")).agg(F.count(F.lit(1)).alias("count"))
-             .select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "count"))
-    state = {"last": None}
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if state["last"] is not None or path_exists(spark, out_dir):
-            prev = latest_snapshot(spark, out_dir)
-            merged = prev.join(batch.select("date"), "date", "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{out_dir}/epoch={batch_id}")
-        state["last"] = batch_id
-
-    q = (daily.writeStream.outputMode("update").foreachBatch(upsert)
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        (batch.where(F.col("created_on") >= start).groupBy(F.date_format("created_on", "yyyy-MM-dd").alias("date"))
+         .agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").parquet(f"{out_dir}/epoch={batch_id}"))
+
+    q = (results.writeStream.foreachBatch(count)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

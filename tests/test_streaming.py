@@ -9,6 +9,36 @@ def test_microbatch_ingest_lands_every_issue(spark):
     assert landed.where("created IS NULL").count() == rel.landed.issue_docs.where("doc LIKE '%n/a%'").count()
 
 
+def test_counts_cover_this_run_and_a_replay_replaces_its_batch(spark, tmp_path):
+    from qalytics.streaming import jobs
+
+    landing, bronze, ckpt = (str(tmp_path / x) for x in ("landing", "bronze", "ckpt"))
+    shape = lambda b: b.select("value")
+    spark.createDataFrame([("a",), ("b",)], "value string").coalesce(1).write.text(landing)
+    assert jobs.microbatch_ingest(spark, landing, bronze, shape, checkpoint=ckpt)["count"] == 2
+    spark.createDataFrame([("c",)], "value string").coalesce(1).write.mode("append").text(landing)
+    assert jobs.microbatch_ingest(spark, landing, bronze, shape, checkpoint=ckpt)["count"] == 1
+    assert rows(spark.read.parquet(bronze), "value") == [("a",), ("b",), ("c",)]
+    (tmp_path / "ckpt" / "commits" / "1").unlink()  # as after a crash before the commit
+    (tmp_path / "ckpt" / "commits" / ".1.crc").unlink()
+    jobs.microbatch_ingest(spark, landing, bronze, shape, checkpoint=ckpt)
+    assert rows(spark.read.parquet(bronze), "value") == [("a",), ("b",), ("c",)]
+
+
+def test_velocity_stream_keeps_days_after_newer_ones(spark, tmp_path):
+    import datetime as dt
+
+    from qalytics.streaming import jobs
+
+    landing = str(tmp_path / "landing")
+    for day in ("2024-04-20", "2024-04-21", "2024-01-20"):
+        (spark.sql(f"SELECT TIMESTAMP_NTZ'{day} 10:00:00' AS created_on").coalesce(1).write.mode("append").parquet(landing))
+    stream = spark.readStream.schema("created_on timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(landing)
+    out = str(tmp_path / "out")
+    jobs.velocity_stream(spark, stream, out, dt.datetime(2024, 2, 10))
+    assert [r[0] for r in rows(jobs.daily_counts(spark, out))] == ["2024-01-20", "2024-04-20", "2024-04-21"]
+
+
 def test_velocity_stream_equals_batch(spark):
     rel = Relations(spark, SF0001)
     assert rows(streams.velocity_stream(rel, files=3)) == rows(rel.velocity_daily)
