@@ -37,7 +37,10 @@ from qalytics.llm import common as C
 
 SAMPLE = 20_000
 MOST_CENTROIDS = 256
+# Entries a query walks to: at least CANDIDATES, and SHARE of all. On vectors
+# with little cluster structure a quarter of all gave a recall of 0.76.
 CANDIDATES = 6000
+SHARE = 0.65
 SHARD = 4096
 QUERIES_PER_GROUP = 4096
 
@@ -86,7 +89,8 @@ def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(r, dtype=np.float64) for r in rows])
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int = CANDIDATES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int = CANDIDATES,
+            share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its ``k``
     nearest rows of ``vectors`` (both vec_id, embedding), itself excepted."""
     sc = vectors.sparkSession.sparkContext
@@ -111,6 +115,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
     points = good.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     sample = _matrix(points.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).toArrow()["v"])
     n = points.count()
+    wanted = max(candidates, int(np.ceil(share * n)))
     size = int(min(MOST_CENTROIDS, max(2, round(4 * n ** 0.25))))
     books = sc.broadcast((kmeans(sample[:, :half], size), kmeans(sample[:, half:], size)))
     right_size = len(books.value[1])
@@ -142,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
             rows, shards, cells = [], [], []
             for r in range(len(x)):
                 by: dict[int, list[int]] = {}
-                for cell in walk(near[r], far[r], counts, candidates):
+                for cell in walk(near[r], far[r], counts, wanted):
                     for s in range(first[cell], last[cell] + 1):
                         by.setdefault(s, []).append(cell)
                 for s, own in by.items():
