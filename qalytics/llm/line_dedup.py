@@ -71,7 +71,7 @@ def _sets(lines: DataFrame, levels: bytes, k: int) -> DataFrame:
     sort rare-first (the rarity level of the bucket, then the hash)."""
     level = lambda h: F.ascii(F.substr(F.lit(levels), (F.shiftrightunsigned(h, 64 - BITS) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
     code = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return lines.withColumn("codes", F.array_sort(F.array_distinct(F.transform(_shingles("line", k), code)))).drop("line")
+    return lines.withColumn("codes", F.sort_array(F.array_distinct(F.transform(_shingles("line", k), code)))).drop("line")
 
 
 def _plausible(x: str, y: str, num: int, den: int) -> Column:
@@ -99,6 +99,9 @@ def removed_lines(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: i
         same = Window.partitionBy(*keys, "key", "n").orderBy("id", "line_no")
         near = Window.partitionBy(*keys)
         me = F.struct("id", "line_no", "key", "n", "pos")
+        # first of all, what is alone goes: the wider sort sees few rows, and
+        # its partitions are those of this count
+        rows = rows.withColumn("all", F.count(F.lit(1)).over(near)).where((F.col("all") > 1) | F.col("hot")).drop("all")
         return (rows.withColumn("nth", F.row_number().over(same))
                 .withColumn("many", F.count_if(F.col("nth") == 1).over(near))
                 .withColumn("first", F.min(me).over(near)).withColumn("mid", F.min(F.struct("pos", me.alias("l"))).over(near)["l"])
