@@ -77,5 +77,6 @@ def test_cases_by_suite_mode_and_stamp_parent(spark):
     got = rows(ingest.cases_by_suite_mode(cases, suites, projects), "id", "project_id", "suite_id", "suite_mode")
     # project 3 is unknown: its cases are skipped; a missing mode counts as 1; suite 99 has no project
     assert got == [(1, 1, 10, 3), (2, 2, 20, 1)]
+    # a child without a parent stays
     stamped = rows(ingest.stamp_parent(cases, suites, "suite_id"), "id", "project_id")
-    assert stamped == [(1, 1), (2, 2), (3, 3)]
+    assert stamped == [(1, 1), (2, 2), (3, 3), (4, None)]
