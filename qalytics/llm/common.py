@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 from qalytics.session import fresh_shared_path
 
 # Text bytes handled at once inside a Python worker (bounds its memory).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+# Bytes of rows that Spark hands to a Python worker at once (a longer single
+# row goes alone): its default counts rows, so long texts would add up.
+BATCH_BYTES = 4_000_000
 # Slots of the bitmap that tells which documents a second scan must look at.
 ID_SLOTS = 1_048_573
 
 
 def on_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it
-    (clusters that deploy it, by --py-files or otherwise, find it first)."""
+    (clusters that deploy it, by --py-files or otherwise, find it first), and
+    bound the bytes that they get at once."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [root])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
