@@ -18,10 +18,10 @@ than ``SALT_ROWS`` above the typical bucket are salted; the first lines of their
 salts meet in a second level.
 
 Defined results. Null text stays null; lines without words are never matched
-and stay. A null id is the smallest. Rows that repeat an id count as one
-document: what goes at a line number goes in each of its rows, and equal line
-numbers do not remove each other. All other columns stay as they are; an empty
-table gives an empty result.
+and stay. A null id is the smallest. Rows may repeat an id: each row loses only
+its own lines that match an earlier one, and lines of the same id and line
+number do not remove each other, whichever rows they are in. All other columns
+stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,9 +48,9 @@ def _shingles(line: Column, k: int) -> Column:
     return C.bind(F.array_remove(F.split(line, SPACE, -1), ""), of_words)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(id, line_no, line) of every line of ``docs`` (id, text)."""
-    return docs.select("id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
+def _lines(docs: DataFrame, *kept: str) -> DataFrame:
+    """(id, *kept, line_no, line) of every line of ``docs`` (id, text, *kept)."""
+    return docs.select("id", *kept, F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
 
 
 def _levels(docs: DataFrame, k: int) -> tuple[bytes, DataFrame]:
@@ -82,8 +82,11 @@ def _plausible(x: str, y: str, num: int, den: int) -> Column:
 
 
 def removed_lines(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, line_no) of the lines of ``docs`` (id, text) that match an earlier line."""
+    """(id, text_hash, line_no) of the lines of ``docs`` (id, text, text_hash)
+    that match an earlier line."""
     k = shingle_words
+    texts = C.stage(docs.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("text_hash").alias("text_hash"), F.max("text_hash").alias("last")), "texts")
+    repeats = not texts.where("rows > 1").isEmpty()
     levels, salts = _levels(docs, k)
     n = F.size("codes")
     prefix = F.slice("codes", 1, (n - F.ceil(n * F.lit(num) / F.lit(den)) + 1).cast("int"))
@@ -95,22 +98,23 @@ def removed_lines(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: i
 
     def meet(rows: DataFrame, keys: list[str]) -> DataFrame:
         """Per shingle: later lines of equal sets are told (``nth`` > 1), the
-        others get the shingle's earliest and most central line."""
+        others get the shingle's earliest and most central line. Of lines with
+        the id, number and set of the earliest one stands for all."""
         same = Window.partitionBy(*keys, "key", "n").orderBy("id", "line_no")
         near = Window.partitionBy(*keys)
         me = F.struct("id", "line_no", "key", "n", "pos")
         # first of all, what is alone goes: the wider sort sees few rows, and
         # its partitions are those of this count
         rows = rows.withColumn("all", F.count(F.lit(1)).over(near)).where((F.col("all") > 1) | F.col("hot")).drop("all")
-        return (rows.withColumn("nth", F.row_number().over(same))
+        return (rows.withColumn("nth", F.row_number().over(same)).withColumn("place", F.dense_rank().over(same))
                 .withColumn("many", F.count_if(F.col("nth") == 1).over(near))
                 .withColumn("first", F.min(me).over(near)).withColumn("mid", F.min(F.struct("pos", me.alias("l"))).over(near)["l"])
-                .where(((F.col("nth") > 1) & (F.col("pos") == 0)) | ((F.col("nth") == 1) & ((F.col("many") > 1) | F.col("hot")))).drop("many"))
+                .where(((F.col("place") > 1) & (F.col("pos") == 0)) | ((F.col("nth") == 1) & ((F.col("many") > 1) | F.col("hot")))).drop("many", "place"))
 
     met = C.stage(meet(entries, ["token", "salt"]), "met")
     over = meet(met.where("hot and nth = 1").drop("nth", "first", "mid").withColumn("salt", F.lit(-1).cast("long")), ["token"])
     met = met.withColumn("salt", F.col("salt").cast("long")).unionByName(over)
-    equal = met.where("nth > 1").select("id", "line_no").distinct()
+    equal = met.where("nth > 1").select("id", "line_no", "key")
     met = met.where("nth = 1").select("token", "hot", "salt", F.struct("id", "line_no", "key", "n", "pos").alias("me"), "first", "mid")
 
     def ordered(x: str, y: str) -> list[Column]:
@@ -131,9 +135,11 @@ def removed_lines(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: i
         words = docs.sparkSession.range(ID_WORDS).withColumnRenamed("id", "w").join(words, "w", "left")
         bitmap = C.stage(words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits")), "bitmap")
         bit = F.getbit(F.get(bitmap.select("bits").scalar(), F.expr(f"cast(pmod(id, {ID_WORDS * 64}) div 64 as int)")), F.pmod("id", F.lit(64)).cast("int"))
-        again = _lines(docs.where(bit == 1)).join(wanted.select("id", "line_no", F.col("key").alias("want")), ["id", "line_no"])
-        sets = (_sets(again, levels, k).where(F.xxhash64("codes") == F.col("want"))
-                .select(F.struct("id", "line_no", F.col("want").alias("key")).alias("p"), "codes"))
+        # rows of one id may hold other lines at a wanted number: the joins by p leave them out
+        again = _lines(docs.where(bit == 1)).join(wanted, ["id", "line_no"], "left_semi")
+        sets = _sets(again, levels, k).select(F.struct("id", "line_no", F.xxhash64("codes").alias("key")).alias("p"), "codes")
+        if repeats:
+            sets = sets.dropDuplicates(["p"])
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("p").alias(side), F.col("codes").alias(f"c{side}")), side)
         both = F.size(F.array_intersect("ca", "cb"))
@@ -147,21 +153,29 @@ def removed_lines(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: i
             .where((F.col("y.id") < F.col("x.id")) | ((F.col("y.id") == F.col("x.id")) & (F.col("y.line_no") < F.col("x.line_no")))))
     rest = C.stage(pairs_of(rest, "x", "y").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     late = matched(rest) if not rest.isEmpty() else gone.limit(0)
-    return equal.union(gone.select("id", "line_no")).union(late.select("id", "line_no")).distinct()
+    removed = equal.union(gone).union(late).distinct()
+    found = removed.join(texts.where("text_hash = last").select("id", "text_hash"), "id").select("id", "text_hash", "line_no")
+    several = texts.where("text_hash <> last").select("id")
+    if repeats and not several.isEmpty():
+        # an id of several texts: the lines of each that have a removed set
+        own = _sets(_lines(docs.join(several, "id", "left_semi"), "text_hash"), levels, k).withColumn("key", F.xxhash64("codes"))
+        found = found.union(own.join(removed, ["id", "line_no", "key"], "left_semi").select("id", "text_hash", "line_no").distinct())
+    return found
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with ``text`` less the lines that match an earlier line, and the
     columns ``n_lines`` and ``n_removed`` (both 0 for a null text)."""
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    gone = removed_lines(docs.select(ids.alias("id"), "text").where("text is not null"), **options)
-    words = gone.groupBy("id", F.expr("line_no div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, line_no % 64)")).alias("bits"))
-    per_doc = words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("top"))
-    per_doc = per_doc.select(F.col("id").alias("__id"), F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0))).alias("__gone"))
+    gone = removed_lines(docs.select(ids.alias("id"), "text", F.xxhash64("text").alias("text_hash")).where("text is not null"), **options)
+    words = gone.groupBy("id", "text_hash", F.expr("line_no div 64").cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, line_no % 64)")).alias("bits"))
+    per_doc = words.groupBy("id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("top"))
+    per_doc = per_doc.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0))).alias("__gone"))
     lines = F.split("text", "\n", -1)
     stays = lambda line, i: F.coalesce(F.getbit(F.get("__gone", F.floor(i / 64).cast("int")), F.pmod(i, F.lit(64))), F.lit(0)) == 0
     kept = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, stays))
-    joined = docs.withColumn("__key", ids).join(per_doc, F.col("__key") == F.col("__id"), "left").withColumn("__kept", kept)
+    own = (F.col("__key") == F.col("__id")) & (F.col("__text_key") == F.col("__hash"))
+    joined = docs.withColumn("__key", ids).withColumn("__text_key", F.xxhash64("text")).join(per_doc, own, "left").withColumn("__kept", kept)
     return joined.select(*[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__kept", "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns],
                          F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
                          F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long").alias("n_removed"))

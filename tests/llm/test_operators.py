@@ -133,6 +133,35 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
 
 
+def brute_line_dedup(ids, texts):
+    """Texts less each line that matches one of a smaller (id, line number)."""
+    lines = [(-1 if i is None else i, no, shingles(line.lower(), 5)) for i, t in zip(ids, texts) for no, line in enumerate(t.split("\n"))]
+
+    def gone(i, no, line):
+        s = shingles(line.lower(), 5)
+        return bool(s) and any((j, m) < (i, no) and len(s & e) * 100 >= 80 * len(s | e) for j, m, e in lines)
+    return ["\n".join(x for no, x in enumerate(t.split("\n")) if not gone(-1 if i is None else i, no, x)) for i, t in zip(ids, texts)]
+
+
+@pytest.mark.parametrize("salt_rows", [50_000, 3])
+def test_line_dedup_of_repeated_ids(spark, monkeypatch, salt_rows):
+    monkeypatch.setattr(line_dedup, "SALT_ROWS", salt_rows)
+    rng = np.random.default_rng(8)
+    a, b, c, d, e, f, g = (" ".join(rng.choice(WORDS, 30)) for _ in range(7))
+    near = lambda x: " ".join([*x.split()[:-1], "other"])
+    data = [(1, f"{a}\n{b}\nend"), (1, f"{a}\n{b}\nend"),              # a row twice
+            (2, f"{c}\n{a}\n{d}"), (2, f"{c}\n{e}\n{near(d)}\n{c}"), (2, f"{c}\n{near(b)}\n{f}"),  # an id of several texts
+            (None, f"{g}\nx y"), (None, f"{g}\nx y"), (None, f"{g}\n{near(g)}\n{f}"), (None, f"{f}\nx y"),
+            (3, f"{g}\n{e}\nx y"), (3, f"{near(f)}\nnew words"), (3, f"{near(f)}\nnew words")]
+    ids, texts = [i for i, _ in data], [t for _, t in data]
+    got = line_dedup.dedup_lines(frame(spark, texts, ids)).collect()
+    key = lambda r: (r[0] is not None, *r[1:], r[0] or 0)
+    want = [(i, k, t.count("\n") + 1) for i, t, k in zip(ids, texts, brute_line_dedup(ids, texts))]
+    assert sorted(((r.doc_id, r.text, r.n_lines) for r in got), key=key) == sorted(want, key=key)
+    twice = line_dedup.dedup_lines(frame(spark, [a, a, b, b], [1, 1, 2, 2])).collect()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in twice) == [(1, a, 0), (1, a, 0), (2, b, 0), (2, b, 0)]
+
+
 def base_spans(t):
     t = t or ""
     out = []
