@@ -70,7 +70,7 @@ def rarity(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rank, salts.astype(np.int32)
 
 
-SIGNED = "doc_id long, n long, h1 long, h2 long, ranges array<short>, prefix array<long>, salts array<int>"
+SIGNED = "doc_id long, text_hash long, n long, h1 long, h2 long, ranges array<short>, prefix array<long>, salts array<int>"
 
 
 def _signed(k: int, num: int, den: int, shared):
@@ -95,10 +95,10 @@ def _signed(k: int, num: int, den: int, shared):
                     out["prefix"].append(prefix)
                     out["salts"].append(s if n and s.max() > 1 else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["h1"], pa.int64()),
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(out["n"], pa.int64()), pa.array(out["h1"], pa.int64()),
                      pa.array(out["h2"], pa.int64()), pa.array(out["ranges"], pa.list_(pa.int16())),
                      pa.array(out["prefix"], pa.list_(pa.int64())), pa.array(out["salts"], pa.list_(pa.int32()))],
-                    names=["doc_id", *out])
+                    names=["doc_id", "text_hash", *out])
     return run
 
 
@@ -138,8 +138,14 @@ def jaccard_classes(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
     Two documents link when ``den * |A & B| >= num * |A | B|`` over their sets
     of ``shingle_words``-word shingles; component_id is the smallest id
     reachable by links."""
+    return _placed(docs, shingle_words, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _placed(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``jaccard_classes`` with each row's ``text_hash`` and ``root``, which
+    tells components apart that have the same smallest id."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     shared = sc.broadcast(rarity(docs, shingle_words))
     signed = C.stage(docs.mapInArrow(_signed(shingle_words, num, den, shared), SIGNED)
                      .withColumn("rid", F.monotonically_increasing_id()), "sets")
@@ -213,20 +219,30 @@ def jaccard_classes(docs: DataFrame, shingle_words: int = 5, num: int = 80, den:
 
     known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    known = known.join(least, "root").select("h1", "h2", "n", "component_id")
-    return (signed.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
+    known = known.join(least, "root").select("h1", "h2", "n", "component_id", "root")
+    return (signed.select("doc_id", "text_hash", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left")
+            .select("doc_id", "text_hash", "root", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without near copies: of each component the row with the
-    smallest id stays (rows that repeat an id and text count as copies; the
-    first of an id's rows by text stays). Documents without words and rows
-    with a null id stay."""
-    found = jaccard_classes(docs, **options)
-    gone = (found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__id"))).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    again = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return (left.withColumn("__nth", F.row_number().over(again))
-            .where(F.col("doc_id").isNull() | (F.col("__nth") == 1)).drop("__nth"))
+    smallest id stays, and if that id has several rows in the component, the
+    first of them by text. Each row goes or stays by its own text, so a row of
+    a repeated id that links with nothing stays. Documents without words and
+    rows with a null id stay."""
+    found = _placed(docs, **options).where("n_shingles > 0 and doc_id is not null")
+    # rows of one id and text have one root
+    found = C.stage(found.groupBy("doc_id", "text_hash", "root", "component_id").agg(F.count(F.lit(1)).alias("rows")), "placed")
+    key = (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    named = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    left = docs.withColumn("__text", F.xxhash64("text")).join(found.where("doc_id <> component_id").select(*named), key, "left_anti")
+    first = found.where("doc_id = component_id")
+    several = C.stage(first.join(first.groupBy("doc_id", "root").agg(F.sum("rows").alias("all")).where("all > 1"), ["doc_id", "root"])
+                      .select(*named, F.col("root").alias("__root")), "several")
+    if several.isEmpty():
+        return left.drop("__text")
+    # all other rows are spread by their text
+    again = Window.partitionBy("doc_id", F.col("__root").isNull(), F.coalesce("__root", "__text")).orderBy("text")
+    return (left.join(several, key, "left").withColumn("__nth", F.row_number().over(again))
+            .where(F.col("__root").isNull() | (F.col("__nth") == 1)).drop("__text", "__id", "__hash", "__root", "__nth"))

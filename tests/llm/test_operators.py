@@ -97,6 +97,18 @@ def test_near_duplicates_leave_one(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    a, b, c, d, e = (" ".join(rng.choice(WORDS, 40)) for _ in range(5))
+    near = lambda x: x + " more"
+    rows = [(1, a), (1, b), (1, b), (1, near(b)), (2, near(a)), (2, c), (2, ""), (2, None), (2, ""), (3, d), (3, e), (3, near(c)),
+            (None, a), (None, a), (4, near(d)), (4, near(e))]
+    kept = ngram_join.drop_near_duplicates(frame(spark, [t for _, t in rows], [i for i, _ in rows]))
+    assert kept.columns == frame(spark, []).columns
+    want = [(1, a), (1, b), (2, c), (2, ""), (2, None), (2, ""), (3, d), (3, e), (None, a), (None, a)]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+
+
 def test_word_hashes_tell_words_apart():
     text = " ".join(f"{a}{b}" for a in WORDS for b in range(300)).encode()
     _, h = C.word_hashes([text, b"", b"A a"])
