@@ -71,7 +71,12 @@ QUERIES: dict[str, QueryFn] = {
     "issue_microbatch": streaming_query("issue_microbatch"),
     "velocity_stream": streaming_query("velocity_stream"),
     "snapshot_load": _rel("snapshot_load"),
+    "snapshot_load_statuses": _rel("snapshot_load_statuses"),
+    "snapshot_load_users": _rel("snapshot_load_users"),
+    "snapshot_load_suites": _rel("snapshot_load_suites"),
+    "snapshot_load_milestones": _rel("snapshot_load_milestones"),
     "ingest_counts": _rel("ingest_counts"),
+    "ingest_counts_all": _rel("ingest_counts_all"),
     # §2.B conformance
     "dedup_latest": _rel("dedup_tests"),
     "plan_max_dates": _rel("plan_max_dates"),

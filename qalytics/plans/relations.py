@@ -377,6 +377,30 @@ class Relations:
         landed = ingest.bronze_append(pulled, "raw_projects", self.as_of).select(*self.bronze.raw_projects.columns)
         return self.bronze.raw_projects.unionByName(landed)
 
+    def _snapshot(self, entity: str, pulled: DataFrame) -> DataFrame:
+        """The bronze table of ``entity`` after a full re-pull."""
+        held = getattr(self.bronze, entity)
+        landed = ingest.bronze_append(pulled, entity, self.as_of)
+        return held.unionByName(landed.select(*dict.fromkeys((*held.columns, "_extracted_at"))), allowMissingColumns=True)
+
+    @cached_property
+    def snapshot_load_statuses(self) -> DataFrame:
+        # the rows held carry no load stamp
+        return self._snapshot("raw_statuses", self.bronze.raw_statuses)
+
+    @cached_property
+    def snapshot_load_users(self) -> DataFrame:
+        s = self.bronze.table("supplier").where(F.col("s_suppkey") % 7 != 3)
+        return self._snapshot("raw_users", s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+
+    @cached_property
+    def snapshot_load_suites(self) -> DataFrame:
+        return self._snapshot("raw_suites", self.bronze.raw_suites.drop("_extracted_at"))
+
+    @cached_property
+    def snapshot_load_milestones(self) -> DataFrame:
+        return self._snapshot("raw_milestones", self.bronze.raw_milestones.drop("_extracted_at"))
+
     @cached_property
     def ingest_counts(self) -> DataFrame:
         b = self.bronze
@@ -385,3 +409,12 @@ class Relations:
             "runs": b.raw_runs, "suites": b.raw_suites, "cases": b.raw_cases, "tests": b.raw_tests,
             "jira_issues": b.raw_jira_issues,
         })
+
+    @cached_property
+    def ingest_counts_all(self) -> DataFrame:
+        """All 11 entities: results and statuses get their stamp as they land."""
+        b = self.bronze
+        return self.ingest_counts.unionByName(ingest.ingest_counts({
+            "results": ingest.bronze_append(b.raw_results, "raw_results", self.as_of),
+            "statuses": ingest.bronze_append(b.raw_statuses, "raw_statuses", self.as_of),
+        }))

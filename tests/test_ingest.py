@@ -80,3 +80,14 @@ def test_cases_by_suite_mode_and_stamp_parent(spark):
     # a child without a parent stays
     stamped = rows(ingest.stamp_parent(cases, suites, "suite_id"), "id", "project_id")
     assert stamped == [(1, 1), (2, 2), (3, 3), (4, None)]
+
+
+def test_snapshots_and_counts_cover_every_entity(spark):
+    from qalytics.plans.catalog import QUERIES
+    from tests.conftest import SF0001
+
+    counts = QUERIES["ingest_counts_all"](spark, SF0001).collect()
+    assert {f"raw_{r.entity}" for r in counts} == set(S.BRONZE) and all(r.load is not None and r.rows > 0 for r in counts)
+    for name in ("snapshot_load", "snapshot_load_statuses", "snapshot_load_users", "snapshot_load_suites", "snapshot_load_milestones"):
+        loads = QUERIES[name](spark, SF0001).select("_extracted_at").distinct().collect()
+        assert len(loads) > 1 and (AS_OF,) in loads
