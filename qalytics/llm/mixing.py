@@ -10,8 +10,10 @@ slot r takes block r (the second round over a source's blocks is its second
 epoch), so slots join blocks by (source, block). A document goes with the block
 in which it starts, so documents stay whole.
 
-Scale. Only the table of sources is aggregated to one row per source and held
-on the driver; it is checked against ``most_sources``. Running word counts
+Scale. The table of sources has one row per source and stays distributed:
+targets come from grouped sums (the level at which the shares stop, found in
+rounds), numbers and stretches from sums by sorted parts, so any number of
+sources will do. Running word counts
 and slot ranks come in two levels (buckets, then rows inside a bucket), so a
 source with a third of all rows is spread over many tasks, in windows, the
 join of slots to blocks, and the final join.
@@ -63,31 +65,52 @@ def targets(sizes: list[float], weights: list[float], total: float, most_epochs:
     return out
 
 
+def _numbered(spark, sized: DataFrame, total_share: float, most_epochs: float, weights: tuple, block_words: int) -> DataFrame:
+    """(sid, source, source_size, target, lo, hi, slots, buckets) per source:
+    ``targets`` and the stretches of [0, 1) without a list of the sources."""
+    order = [F.col("source").isNull(), F.col("source")]
+    # sorted parts: place in the part and the sums of the parts before give running sums
+    parts = C.stage(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+                    .repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumn("__part", F.spark_partition_id()).withColumn("__nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "sources")
+
+    def before(rows: DataFrame, value: Column) -> DataFrame:
+        """Per part, the sum of ``value`` over the parts before."""
+        sums = rows.groupBy("__part").agg(F.sum(value).alias("__x"))
+        return sums.select("__part", (F.sum("__x").over(Window.orderBy("__part")) - F.col("__x")).alias("__before"))
+
+    sid = F.col("__nth") + F.col("__before")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(sid, F.lit(len(weights))).cast("int"))
+    rows = parts.join(before(parts, F.lit(1).cast("long")), "__part").select(
+        "__part", "__nth", sid.alias("sid"), "source", "source_size", "rows", weight.alias("__w"), (F.lit(float(most_epochs)) * F.col("source_size")).alias("__cap"))
+    # the level: a source gets its weight times it, or its cap if that is less
+    live = rows.where("source_size > 0")
+    first = live.agg(F.sum("source_size").alias("n"), F.sum("__w").alias("w")).first()
+    total = total_share * (first["n"] or 0)
+    level, known = total / (first["w"] or 1.0), 0
+    while True:
+        over = F.col("__w") * F.lit(level) > F.col("__cap")
+        now = live.agg(F.sum(F.when(over, F.col("__cap"))).alias("full"), F.sum(F.when(~over, F.col("__w"))).alias("w"), F.count_if(over).alias("n")).first()
+        if now["n"] == known or not now["w"]:
+            break
+        level, known = (total - now["full"]) / now["w"], now["n"]
+    target = F.when(F.col("source_size") > 0, F.least(F.col("__w") * F.lit(level), F.col("__cap"))).otherwise(0.0)
+    rows = rows.withColumn("target", target).withColumn("slots", F.ceil(F.col("target") / block_words))
+    all_slots = F.lit(float(max(1, rows.agg(F.sum("slots")).first()[0] or 0)))
+    upto = F.sum("slots").over(Window.partitionBy("__part").orderBy("__nth")) + F.col("__before")
+    return C.stage(rows.join(before(rows, F.col("slots")), "__part").withColumn("__upto", upto).select(
+        "sid", "source", "source_size", "target", ((F.col("__upto") - F.col("slots")) / all_slots).alias("lo"), (F.col("__upto") / all_slots).alias("hi"), "slots",
+        F.greatest(F.lit(1), F.ceil(F.col("rows") / ROWS_PER_BUCKET)).alias("buckets")), "sources")
+
+
 def mix(docs: DataFrame, total_share: float = 1.5, most_epochs: int = 2, weights: tuple = WEIGHTS,
-        block_words: int = BLOCK_WORDS, most_sources: int = 100_000) -> DataFrame:
+        block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, times) per row of
     ``docs`` (doc_id, text, source); ``times`` is 0 to ``most_epochs``."""
     spark = docs.sparkSession
     sized = C.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"),
                                 F.xxhash64("doc_id", "text").alias("__shuffle")), "sizes")
-    found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).limit(most_sources + 1).collect()
-    if len(found) > most_sources:
-        raise ValueError(f"more than {most_sources} sources: give a coarser source column")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    n = [float(r["n"]) for r in found]
-    goal = targets(n, [float(weights[i % len(weights)]) for i in range(len(n))], total_share * sum(n), most_epochs)
-
-    # sources: number, size, target, blocks, and their stretch of [0, 1)
-    slots = [math.ceil(g / block_words) for g in goal]
-    all_slots = max(1, sum(slots))
-    rows, at = [], 0.0
-    for i, r in enumerate(found):
-        width = slots[i] / all_slots
-        rows.append((i, r["source"], int(r["n"]), goal[i], at, at + width if i < len(found) - 1 else 1.0, slots[i],
-                     max(1, math.ceil(r["rows"] / ROWS_PER_BUCKET))))
-        at += width
-    kinds = "sid int, source string, source_size long, target double, lo double, hi double, slots long, buckets long"
-    sources = spark.createDataFrame(rows, kinds)
+    sources = _numbered(spark, sized, total_share, most_epochs, weights, block_words)
 
     # documents end to end in shuffled order: bucket sums, then rows of a bucket
     dealt = (sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
@@ -100,7 +123,7 @@ def mix(docs: DataFrame, total_share: float = 1.5, most_epochs: int = 2, weights
             .withColumn("block", F.floor(F.col("start") / block_words)))
 
     # the schedule: golden-ratio points through the cumulative shares, ranked per source
-    schedule = _schedule(spark, sources, slots, block_words).select("sid", "rank")
+    schedule = _schedule(spark, sources).select("sid", "rank")
     # Slot r of a source takes words [r * block, (r + 1) * block) of its epochs
     # laid end to end, as far as its target; a document belongs to its start.
     wraps = schedule.join(sources.select("sid", "source_size", "target"), "sid").select(
@@ -119,16 +142,16 @@ def mix(docs: DataFrame, total_share: float = 1.5, most_epochs: int = 2, weights
             .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "__shuffle"))
 
 
-def _schedule(spark, sources: DataFrame, slots: list[int], block_words: int) -> DataFrame:
+def _schedule(spark, sources: DataFrame) -> DataFrame:
     """(sid, rank, place): the slots in schedule order.
 
     Point i is frac(i * golden); a source's stretch of [0, 1) receives its
     share of the points up to a bounded discrepancy, so a few points more than
     slots are drawn and each source keeps its first ``slots``. A source whose
     stretch is so thin that it still lacks some gets them at the end."""
-    total = sum(slots)
-    points = int(total + 8 * len(slots) * (2 + math.log(total + 2)))
-    cells = 4096  # points and stretches meet by cell, not by comparing all with all
+    total, count = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count(F.lit(1))).first()
+    points = int(total + 8 * count * (2 + math.log(total + 2)))
+    cells = max(4096, 1 << count.bit_length())  # points and stretches meet by cell, not by comparing all with all
     chunk = 1 << 16
     drawn = spark.range(points).withColumn("u", F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0))).withColumn("cell", F.floor(F.col("u") * cells))
     stretch = sources.where("slots > 0").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))

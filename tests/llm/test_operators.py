@@ -293,6 +293,15 @@ def test_mixing(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+def test_mixing_of_many_sources(spark):
+    count = 101_000  # more than were once allowed
+    C.on_workers(spark)
+    many = spark.range(count).selectExpr("id as doc_id", "repeat('w ', cast(1 + id % 7 as int)) as text", "concat('h', lpad(id, 7, '0')) as source")
+    goal = mixing.targets([float(1 + i % 7) for i in range(count)], [float(mixing.WEIGHTS[i % 3]) for i in range(count)], 1.5 * sum(1 + i % 7 for i in range(count)), 2)
+    got = mixing.mix(many).select("doc_id", "target").toArrow().sort_by("doc_id")["target"].to_numpy()
+    assert np.allclose(got, goal, rtol=1e-9)
+
+
 def test_exact_groups(spark):
     texts = [None, "", "A b", "a B", "a b", "É", "é", "x" * 9000, "X" * 9000, "x" * 9000 + "y", "a b"]
     ids = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 4]
