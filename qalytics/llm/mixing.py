@@ -105,8 +105,11 @@ def _numbered(spark, sized: DataFrame, total_share: float, most_epochs: float, w
 
 def mix(docs: DataFrame, total_share: float = 1.5, most_epochs: int = 2, weights: tuple = WEIGHTS,
         block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, times) per row of
-    ``docs`` (doc_id, text, source); ``times`` is 0 to ``most_epochs``."""
+    """(doc_id, source, size, source_size, target, taken, times, places) per row
+    of ``docs`` (doc_id, text, source); ``times`` is 0 to ``most_epochs``, and
+    ``places`` tells for each time the slot's place in the schedule and the
+    row's first word in the slot: sorted by them (and by source, where slots
+    drawn at the end share a place) the rows are in mixed order."""
     spark = docs.sparkSession
     sized = C.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"),
                                 F.xxhash64("doc_id", "text").alias("__shuffle")), "sizes")
@@ -123,23 +126,25 @@ def mix(docs: DataFrame, total_share: float = 1.5, most_epochs: int = 2, weights
             .withColumn("block", F.floor(F.col("start") / block_words)))
 
     # the schedule: golden-ratio points through the cumulative shares, ranked per source
-    schedule = _schedule(spark, sources).select("sid", "rank")
+    schedule = _schedule(spark, sources)
     # Slot r of a source takes words [r * block, (r + 1) * block) of its epochs
     # laid end to end, as far as its target; a document belongs to its start.
     wraps = schedule.join(sources.select("sid", "source_size", "target"), "sid").select(
         "sid", "target", "source_size", F.explode(F.sequence(F.lit(0), F.lit(most_epochs - 1))).alias("epoch"),
-        (F.col("rank") * block_words).alias("__from"))
-    wraps = (wraps.withColumn("__lo", F.greatest(F.col("__from") - F.col("epoch") * F.col("source_size"), F.lit(0)))
+        (F.col("rank") * block_words).alias("__from"), "place")
+    wraps = (wraps.withColumn("__base", F.col("__from") - F.col("epoch") * F.col("source_size")).withColumn("__lo", F.greatest(F.col("__from") - F.col("epoch") * F.col("source_size"), F.lit(0)))
              .withColumn("__hi", F.least(F.col("__from") + block_words, F.ceil("target")) - F.col("epoch") * F.col("source_size"))
              .withColumn("__hi", F.least("__hi", F.col("source_size"))).where("__lo < __hi")
              .withColumn("block", F.explode(F.sequence(F.floor(F.col("__lo") / block_words), F.floor((F.col("__hi") - 1) / block_words))))
-             .select(F.col("sid").alias("__sid"), F.col("block").alias("__block"), "epoch", "__lo", "__hi"))
+             .select(F.col("sid").alias("__sid"), F.col("block").alias("__block"), "epoch", "__lo", "__hi", "place", "__base"))
     # a block meets at most 2 slots of each epoch: gather them in one short row
-    taken = wraps.groupBy("__sid", "__block").agg(F.collect_list(F.struct("epoch", "__lo", "__hi")).alias("__slots"))
+    taken = wraps.groupBy("__sid", "__block").agg(F.collect_list(F.struct("epoch", "__lo", "__hi", "place", "__base")).alias("__slots"))
     joined = laid.join(taken, (F.col("sid") == F.col("__sid")) & (F.col("block") == F.col("__block")), "left")
-    times = F.size(F.filter(F.coalesce("__slots", F.array()), lambda s: (s["__lo"] <= F.col("start")) & (F.col("start") < s["__hi"])))
-    return (joined.withColumn("times", F.when(F.col("size") > 0, times).otherwise(0).cast("long"))
-            .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "__shuffle"))
+    own = F.filter("__slots", lambda s: (F.col("size") > 0) & (s["__lo"] <= F.col("start")) & (F.col("start") < s["__hi"]))
+    places = F.array_sort(F.transform(own, lambda s: F.struct(s["place"].alias("place"), (F.col("start") - s["__base"]).alias("word"))))
+    places = F.coalesce(places, F.array().cast("array<struct<place:bigint,word:bigint>>"))
+    return (joined.withColumn("places", places).withColumn("times", F.size("places").cast("long"))
+            .select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "places", "__shuffle"))
 
 
 def _schedule(spark, sources: DataFrame) -> DataFrame:

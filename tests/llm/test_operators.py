@@ -302,6 +302,25 @@ def test_mixing_of_many_sources(spark):
     assert np.allclose(got, goal, rtol=1e-9)
 
 
+def test_mixed_order_follows_the_schedule(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(["w"] * int(rng.integers(1, 9))) for _ in range(3000)]
+    sources = [["a", "b", "c"][i % 3] for i in range(3000)]
+    rows = mixing.mix(frame(spark, texts, sources=sources), block_words=64).collect()
+    assert all(len(r.places) == r.times for r in rows)
+    order = sorted((p.place, p.word, r.source, r.size) for r in rows for p in r.places)
+    assert len({x[:2] for x in order}) == len(order)
+    # each stretch of the mixed order holds the sources by their targets
+    share = {r.source: r.target for r in rows}
+    whole = sum(share.values())
+    for k in range(4):
+        part = order[k * len(order) // 4:(k + 1) * len(order) // 4]
+        words_of = Counter()
+        for _, _, s, n in part:
+            words_of[s] += n
+        assert all(abs(words_of[s] / sum(words_of.values()) - share[s] / whole) < 0.1 for s in share)
+
+
 def test_exact_groups(spark):
     texts = [None, "", "A b", "a B", "a b", "É", "é", "x" * 9000, "X" * 9000, "x" * 9000 + "y", "a b"]
     ids = [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 4]
