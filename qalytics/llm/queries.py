@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalytics.llm import common as C
-from qalytics.llm import exact_trie, language_id, licenses, line_dedup, mixing, multi_index, ngram_join, packing, pii, url_rules
+from qalytics.llm import exact_trie, language_id, licenses, line_dedup, mixing, multi_index, ngram_join, packing, pii, suffix_tree, url_rules
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -70,6 +70,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(C.table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(C.table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_ngram_jaccard_join, op3_pii, op4_best_fit_packing, op5_url_filters, op6_language_id, op7_source_mixing,
-    op8_exact_dedup, op9_multi_index_search, op10_license_scan, pages_language_id, pipeline)}
+    op8_exact_dedup, op9_multi_index_search, op10_license_scan, op11_lm_scoring, pages_language_id, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
