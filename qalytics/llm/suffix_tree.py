@@ -7,7 +7,8 @@ one space) and one end symbol. The tree's states are contexts of up to
 * Count: texts are cut into blocks of about ``BLOCK_BYTES``. Every block asks
   for its distinct words and its distinct runs of ``DEPTH + 1`` symbols, with
   their numbers in training texts, so a run that is everywhere moves once a
-  block, not once an occurrence. Shorter runs are sums of longer ones.
+  block, not once an occurrence. Runs of ``DEPTH`` symbols are counted before,
+  and shorter ones are their sums.
 * Divergence test, shortest contexts first: a context stays if its smoothed
   next-symbol distribution predicts its own occurrences, each left out in
   turn, better than the longest kept suffix does, by ``LEAST_GAIN`` decimal
@@ -19,8 +20,11 @@ one space) and one end symbol. The tree's states are contexts of up to
   distinct run gives every position. Values travel back to the blocks that
   asked (at most one row a block and run), where texts are summed.
 
-A run has at most 256 continuations and 256 extensions, so no group is hot.
-Nothing is broadcast by hand and nothing but two totals is a scalar.
+The requests are shuffled once, by the symbols between the first and the last
+of a run: a context's continuations lie together, and windows over them give
+each request its value. A context has at most 256 continuations and a block
+asks once for each, so a group grows with the number of blocks only. Nothing
+is broadcast by hand and nothing but two totals is a scalar.
 
 Results: null text is empty (one end token); a null id counts as training and
 is returned as null; repeated rows are scored each; an empty table gives an
@@ -54,6 +58,8 @@ _BLOCK = "block long, ids binary, nulls binary, held binary, sizes binary, body
 _BLOCK_SCHEMA = pa.schema([("block", pa.int64()), *[(c, pa.binary()) for c in ("ids", "nulls", "held", "sizes", "body")]])
 _ASK = "block long, key long, n long"
 _ASK_SCHEMA = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+_COUNT = "code long, n long"
+_COUNT_SCHEMA = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, owned long"
 _SCORED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                             ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("owned", pa.int64())])
@@ -103,10 +109,11 @@ def _texts(row: dict) -> list[bytes]:
 # --- runs of symbols and words -------------------------------------------------
 
 def _grouped(pieces: Iterator[tuple[int, bytes, int]]) -> Iterator[list[tuple[int, bytes]]]:
-    """Lists of (text number, bytes) of about ``CHUNK`` bytes."""
+    """Lists of (text number, bytes) of about ``CHUNK`` bytes; few enough texts
+    that a run and a text's place in the list fit 64 bits."""
     held, size = [], 0
     for j, piece, length in pieces:
-        if held and size + length > CHUNK:
+        if held and (size + length > CHUNK or len(held) == 1 << 15):
             yield held
             held, size = [], 0
         held.append((j, piece))
@@ -167,25 +174,55 @@ def _tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(n, first) if len(k) else n
 
 
-def _ask(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """Distinct words and runs of a block with their training counts."""
+def _parts(row: dict) -> tuple[list[bytes], list[bytes]]:
+    """The training and the held-out texts of a block."""
+    texts, held = _texts(row), np.frombuffer(row["held"], np.uint8)
+    return [t for t, h in zip(texts, held) if not h], [t for t, h in zip(texts, held) if h]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            texts, held = _texts(row), np.frombuffer(row["held"], np.uint8)
-            keys, counts = [np.array([END_WORD])], [np.array([int((held == 0).sum())])]
-            for out in (0, 1):
-                some = [t for t, h in zip(texts, held) if h == out]
-                for source in (_words(some), _runs(some, depth)):
-                    for _, k in source:
-                        u, n = np.unique(k, return_counts=True)
-                        keys.append(u)
-                        counts.append(n * (1 - out))
-            k, n = _tally(keys, counts)
-            for at in range(0, len(k), 250_000):
-                part = slice(at, at + 250_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), row["block"])), pa.array(k[part]),
-                                                  pa.array(n[part].astype(np.int64))], schema=_ASK_SCHEMA)
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _counted(parts: tuple[list[bytes], list[bytes]], keys_of) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    keys, counts = [], []
+    for training, texts in zip((1, 0), parts):
+        for _, k in keys_of(texts):
+            u, n = np.unique(k, return_counts=True)
+            keys.append(u)
+            counts.append(n * training)
+    return keys, counts
+
+
+def _count(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[pa.RecordBatch]:
+    """Distinct runs of ``symbols`` symbols with their training counts, summed
+    over the blocks of a task (``CHUNK`` runs are held at most, about)."""
+    keys, counts = [], []
+    for row in _rows(batches):
+        k, n = _counted(_parts(row), lambda texts: _runs(texts, symbols - 1))
+        k, n = _tally(keys + k, counts + n)
+        keys, counts = [k], [n]
+        if len(k) > CHUNK:
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], schema=_COUNT_SCHEMA)
+            keys, counts = [], []
+    if keys:
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0].astype(np.int64))], schema=_COUNT_SCHEMA)
+
+
+def _ask(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Distinct words and runs of a block with their training counts."""
+    for row in _rows(batches):
+        parts = _parts(row)
+        k, n = _tally([np.array([END_WORD])], [np.array([len(parts[0])])])
+        for keys_of in (_words, lambda texts: _runs(texts, depth)):
+            keys, counts = _counted(parts, keys_of)
+            k, n = _tally([k, *keys], [n, *counts])
+        for at in range(0, len(k), 250_000):
+            part = slice(at, at + 250_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), row["block"])), pa.array(k[part]),
+                                              pa.array(n[part].astype(np.int64))], schema=_ASK_SCHEMA)
 
 
 # --- the tree ------------------------------------------------------------------
@@ -194,40 +231,54 @@ def _suffix(code: Column, symbols: int) -> Column:
     return code.bitwiseAND(F.lit((1 << (8 * symbols)) - 1))
 
 
-def _state_values(counts: DataFrame, shorter: DataFrame | None, symbols: int, least_gain: float) -> DataFrame:
-    """(code, p): the probability of each run's last symbol after its longest
-    kept context. ``shorter`` holds it for runs of one symbol less. Codes
-    below zero (words) pass through."""
-    context = Window.partitionBy(F.when(F.col("code") < 0, F.col("code")).otherwise(F.shiftright("code", 8)))
-    n, total, kinds, back = F.col("n"), F.col("total"), F.col("kinds"), F.col("back")
-    if shorter is None:
-        return (counts.withColumn("total", F.sum("n").over(context))
-                .withColumn("p", (n + ROOT_MASS) / (total + 256 * ROOT_MASS)).select("code", "n", "p"))
-    step = counts.withColumn("tail", F.when(F.col("code") < 0, F.col("code")).otherwise(_suffix(F.col("code"), symbols - 1)))
-    step = step.join(shorter.select(F.col("code").alias("tail"), F.col("p").alias("back")), "tail", "left")
-    step = step.withColumns({"total": F.sum("n").over(context), "kinds": F.count_if(n > 0).over(context)})
-    zero = F.lit(0.0)
-    own = F.greatest(n - DISCOUNT, zero) / total + DISCOUNT * kinds / total * back
-    left_out = (F.greatest(n - 1 - DISCOUNT, zero) + DISCOUNT * (kinds - (n == 1).cast("int")) * back) / (total - 1)
-    gain = F.sum(F.when((total > 1) & (n > 0), n * F.log10(left_out / back)).otherwise(zero)).over(context)
-    step = step.withColumn("gain", gain)
-    p = F.when((total > 1) & (F.col("gain") >= least_gain), own).otherwise(back)
-    return step.withColumn("p", p).select("code", "n", "p", *[c for c in ("owner",) if c in counts.columns])
-
-
-def tree_values(runs: DataFrame, depth: int = DEPTH, least_gain: float = LEAST_GAIN) -> DataFrame:
-    """``runs`` (code, n, ...) with p, for the longest runs; words (codes below
-    zero) keep a null p."""
-    counts = {depth: runs}
-    for d in range(depth - 1, -1, -1):
-        longer = counts[d + 1].where("code >= 0") if d + 1 == depth else counts[d + 1]
-        counts[d] = longer.groupBy(_suffix(F.col("code"), d + 1).alias("code")).agg(F.sum("n").alias("n"))
-    values = None
-    for d in range(depth + 1):
-        values = _state_values(counts[d], values, d + 1, least_gain)
+def _smoothed(group: list[str], once: Column, least_gain: float) -> tuple[dict[str, Column], Column]:
+    """(columns to add, then the probability) for rows with a run's ``total``
+    count, the probability ``back`` of its last symbol after a shorter context,
+    and the run's context in ``group``. ``once`` marks one row of each run."""
+    context = Window.partitionBy(*group)
+    n, of, kinds, back, zero = F.col("total"), F.col("of"), F.col("kinds"), F.col("back"), F.lit(0.0)
+    sums = {"of": F.sum(F.when(once, n)).over(context), "kinds": F.count_if(once & (n > 0)).over(context)}
+    own = F.greatest(n - DISCOUNT, zero) / of + DISCOUNT * kinds / of * back
+    left_out = (F.greatest(n - 1 - DISCOUNT, zero) + DISCOUNT * (kinds - (n == 1).cast("int")) * back) / (of - 1)
+    gain = F.sum(F.when(once & (of > 1) & (n > 0), n * F.log10(left_out / back)).otherwise(zero)).over(context)
+    return sums, F.when((of > 1) & (gain >= least_gain), own).otherwise(back)
+
+
+def tree_values(runs: DataFrame, symbols: int, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """(code, p) of runs of ``symbols`` symbols (code, n): the probability of
+    the last one after its longest kept context. Runs that don't occur in
+    training texts have n = 0."""
+    counts = {symbols: runs}
+    for k in range(symbols - 1, 0, -1):
+        counts[k] = counts[k + 1].groupBy(_suffix(F.col("code"), k).alias("code")).agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(F.shiftright("code", 8))   # of single symbols: at most 256 rows
+    values = counts[1].withColumn("p", (F.col("n") + ROOT_MASS) / (F.sum("n").over(whole) + 256 * ROOT_MASS)).select("code", "p")
+    for k in range(2, symbols + 1):
+        step = counts[k].select("code", F.col("n").alias("total"), F.shiftright("code", 8).alias("context"),
+                                _suffix(F.col("code"), k - 1).alias("tail"))
+        step = step.join(values.select(F.col("code").alias("tail"), F.col("p").alias("back")), "tail")
+        sums, p = _smoothed(["context"], F.lit(True), least_gain)
+        values = step.withColumns(sums).withColumn("p", p).select("code", "p")
     return values
 
 
+def replies(asked: DataFrame, shorter: DataFrame, depth: int, least_gain: float) -> DataFrame:
+    """(block, key, value) for every request: of a run the logarithm of its
+    probability, of a word its training count, below zero in all blocks but
+    the first one that asked."""
+    key, word = F.col("key"), F.col("key") < 0
+    between = F.when(word, key).otherwise(_suffix(F.shiftright(key, 8), depth - 1))
+    rows = asked.withColumn("between", between).repartition("between").withColumns(
+        {"context": F.when(word, key).otherwise(F.shiftright(key, 8)), "tail": F.when(word, key).otherwise(_suffix(key, depth))})
+    rows = rows.join(shorter.select(F.col("code").alias("tail"), F.col("p").alias("back")), "tail", "left")
+    run = Window.partitionBy("between", "context", "key")
+    rows = rows.withColumns({"total": F.sum("n").over(run), "owner": F.min("block").over(run)})
+    sums, p = _smoothed(["between", "context"], F.col("block") == F.col("owner"), least_gain)
+    rows = rows.withColumns(sums).withColumn("p", p)
+    count = F.when(F.col("block") == F.col("owner"), F.col("total")).otherwise(-F.col("total"))
+    return rows.select("block", "key", F.when(word, count.cast("double")).otherwise(F.log10("p").cast("float").cast("double")).alias("value"))
+
+
 # --- scoring -------------------------------------------------------------------
 
 def _score_block(blocks: pa.Table, replies: pa.Table, depth: int) -> pa.Table:
@@ -236,25 +287,31 @@ def _score_block(blocks: pa.Table, replies: pa.Table, depth: int) -> pa.Table:
     row = blocks.to_pylist()[0]
     texts = _texts(row)
     keys = replies.column("key").to_numpy()
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, value = keys[order], replies.column("value").to_numpy()[order]
-    own = replies.column("own").to_numpy(zero_copy_only=False).astype(bool)
+    first = np.searchsorted(keys, 0)
     size = len(texts)
-
-    def value_of(k: np.ndarray) -> np.ndarray:
-        return value[np.searchsorted(keys, k)]
-
     score, logs, known, words = np.zeros(size), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
     for owner, code in _runs(texts, depth):
-        score += np.bincount(owner, value_of(code), size)
+        # sorted with their texts' numbers, equal runs are looked up once
+        low = int(owner[0])
+        shift = np.uint64(int(owner[-1] - low).bit_length())
+        both = (code.astype(np.uint64) << shift) | (owner - low).astype(np.uint64)
+        both.sort()
+        code = (both >> shift).astype(np.int64)
+        new = np.flatnonzero(np.diff(code, prepend=-1))
+        found = value[first + np.searchsorted(keys[first:], code[new])]
+        owner = (both & np.uint64((1 << int(shift)) - 1)).astype(np.int64)
+        part = np.bincount(owner, np.repeat(found, np.diff(np.append(new, len(code)))))
+        score[low:low + len(part)] += part
     for owner, key in _words(texts):
-        c = value_of(key)
+        c = np.abs(value[np.searchsorted(keys[:first], key)])
         logs += np.bincount(owner, np.log10(c + 0.1), size)
         known += np.bincount(owner[c > 0], minlength=size)
         words += np.bincount(owner, minlength=size)
-    c = value_of(np.array([END_WORD]))[0]
+    c = abs(value[np.searchsorted(keys[:first], END_WORD)])
     owned = np.zeros(size, np.int64)
-    owned[0] = int((own & (replies.column("key").to_numpy() < 0) & (replies.column("value").to_numpy() > 0)).sum())
+    owned[0] = int((value[:first] > 0).sum())
     ids = pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["nulls"], np.uint8).astype(bool))
     return pa.Table.from_arrays([ids, pa.array(np.frombuffer(row["held"], np.uint8).astype(bool)), pa.array(words + 1),
                                  pa.array(known + int(c > 0)), pa.array(logs + np.log10(c + 0.1)), pa.array(score),
@@ -267,15 +324,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        is_held_out(F.col(id_col)).alias("held"))
     blocks = C.stage(rows.mapInArrow(lambda b: _blocks(b, block_bytes), _BLOCK), "texts")
-    # One shuffle of the requests serves both the counts and the way back: the
-    # two uses read the same columns, so Spark reuses the exchange.
-    asked = blocks.mapInArrow(lambda b: _ask(b, depth), _ASK).repartition("key")
-    counts = asked.groupBy("key").agg(F.sum("n").alias("n"), F.min("block").alias("owner"))
-    values = tree_values(counts.withColumnRenamed("key", "code"), depth, least_gain)
-    value = F.when(F.col("code") < 0, F.col("n").cast("double")).otherwise(F.log10("p").cast("float").cast("double"))
-    replies = (asked.join(values.select(F.col("code").alias("key"), value.alias("value"), "owner"), "key")
-               .select("block", "key", "n", "value", (F.col("owner") == F.col("block")).alias("own")))
-    scored = (blocks.groupBy("block").cogroup(replies.groupBy("block"))
+    counts = blocks.mapInArrow(lambda b: _count(b, depth), _COUNT).groupBy("code").agg(F.sum("n").alias("n"))
+    shorter = C.stage(tree_values(C.stage(counts, "runs"), depth, least_gain), "tree")
+    answers = replies(blocks.mapInArrow(lambda b: _ask(b, depth), _ASK), shorter, depth, least_gain)
+    scored = (blocks.groupBy("block").cogroup(answers.groupBy("block"))
               .applyInArrow(lambda a, b: _score_block(a, b, depth), _SCORED))
     scored = C.stage(scored, "scored")
     tokens = scored.where("not held_out").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).scalar()

@@ -109,7 +109,7 @@ def test_distributions_sum_to_one(spark):
     seen = Counter(int.from_bytes(s[i:i + 3]) for i in range(len(s) - 2))
     asked = [(c << 8 | x, 0) for c in {k >> 8 for k in seen} for x in range(256) if c << 8 | x not in seen]
     runs = spark.createDataFrame([*seen.items(), *asked], "code long, n long")
-    sums = T.tree_values(runs, 2).groupBy((T.F.shiftright("code", 8)).alias("c")).agg(T.F.sum("p").alias("s")).collect()
+    sums = T.tree_values(runs, 3).groupBy((T.F.shiftright("code", 8)).alias("c")).agg(T.F.sum("p").alias("s")).collect()
     assert all(r.s == pytest.approx(1.0, abs=1e-9) for r in sums)
 
 
