@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalytics.llm import common as C
-from qalytics.llm import exact_trie, language_id, licenses, line_dedup, mixing, multi_index, ngram_join, packing, pii, suffix_tree, url_rules
+from qalytics.llm import blocked_search, collocations, exact_trie, language_id, licenses, line_dedup, mixing, multi_index, ngram_join, packing, pii, suffix_tree, url_rules
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -74,6 +74,14 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_texts(C.table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocked_search.search(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(C.table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,10 +90,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_ngram_jaccard_join, op3_pii, op4_best_fit_packing, op5_url_filters, op6_language_id, op7_source_mixing,
-    op8_exact_dedup, op9_multi_index_search, op10_license_scan, op11_lm_scoring, pages_language_id, pipeline)}
+    op8_exact_dedup, op9_multi_index_search, op10_license_scan, op11_lm_scoring, op12_lexical_search, op13_collocations, pages_language_id, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 _SHINGLES = """
   SELECT key, CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')))
                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
@@ -140,4 +150,37 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM hits WHER
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM t JOIN g USING (body)""",
+    "op12_lexical_search": f"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}') AS w FROM documents),
+docs AS (SELECT doc_id, d, len(w) AS n, w FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS l FROM docs),
+postings AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term),
+scaled AS (SELECT doc_id, d, 25 + (75 * n * n_docs) // l AS m FROM docs, totals),
+asked AS (SELECT q, item_id, term, count(*) AS times
+          FROM (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark)
+          GROUP BY ALL),
+scores AS (SELECT q, item_id, d, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN scaled USING (d) GROUP BY q, item_id, d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_collocations": f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+         FROM words, range(1, 5) t(k) WHERE len(w) >= k),
+seen AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM runs GROUP BY lang, phrase HAVING count(*) >= 30),
+spelled AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w FROM seen WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.f AS a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM spelled) c
+         JOIN seen x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ')
+         JOIN seen y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cuts),
+inner_runs AS (SELECT lang, f, unnest(flatten(list_transform(range(2, k), lambda s: list_transform(range(1, k - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))))) AS phrase
+               FROM spelled WHERE k > 2),
+around AS (SELECT lang, phrase, max(f) AS most FROM inner_runs GROUP BY lang, phrase),
+ranked AS (SELECT lowest.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+           FROM lowest LEFT JOIN around USING (lang, phrase) WHERE nth = 1 AND NOT coalesce(100::HUGEINT * most >= 80::HUGEINT * a, false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000""",
 }

@@ -13,7 +13,7 @@ from tests.llm.test_operators import brute_components
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF0001}/{t}.parquet')")
     df = queries.QUERIES[name](spark, SF0001)
     res = con.execute(queries.ORACLES[name])
