@@ -21,10 +21,11 @@ one space) and one end symbol. The tree's states are contexts of up to
   asked (at most one row a block and run), where texts are summed.
 
 The requests are shuffled once, by the symbols between the first and the last
-of a run: a context's continuations lie together, and windows over them give
-each request its value. A context has at most 256 continuations and a block
-asks once for each, so a group grows with the number of blocks only. Nothing
-is broadcast by hand and nothing but two totals is a scalar.
+of a run: a context's continuations and the runs they fall back on lie
+together, and windows over them give each request its value. There are at most
+65,536 such runs and a block asks once for each, so a group grows with the
+number of blocks only. Nothing is broadcast by hand and nothing but two totals
+is a scalar.
 
 Results: null text is empty (one end token); a null id counts as training and
 is returned as null; repeated rows are scored each; an empty table gives an
@@ -267,11 +268,15 @@ def replies(asked: DataFrame, shorter: DataFrame, depth: int, least_gain: float)
     probability, of a word its training count, below zero in all blocks but
     the first one that asked."""
     key, word = F.col("key"), F.col("key") < 0
-    between = F.when(word, key).otherwise(_suffix(F.shiftright(key, 8), depth - 1))
-    rows = asked.withColumn("between", between).repartition("between").withColumns(
-        {"context": F.when(word, key).otherwise(F.shiftright(key, 8)), "tail": F.when(word, key).otherwise(_suffix(key, depth))})
-    rows = rows.join(shorter.select(F.col("code").alias("tail"), F.col("p").alias("back")), "tail", "left")
-    run = Window.partitionBy("between", "context", "key")
+    # the shorter run that a run falls back on ends it, without its first symbol
+    between = F.when(word, key).when(F.col("block").isNull(), F.shiftright(key, 8)).otherwise(_suffix(F.shiftright(key, 8), depth - 1))
+    known = shorter.select(F.lit(None).cast("long").alias("block"), F.col("code").alias("key"), F.lit(0).cast("long").alias("n"),
+                           F.col("p").alias("back"))
+    rows = asked.withColumn("back", F.lit(None).cast("double")).unionByName(known).repartition(between)
+    rows = rows.withColumns({"between": between, "last": F.when(word, F.lit(0).cast("long")).otherwise(_suffix(key, 1))})
+    rows = rows.withColumn("back", F.max("back").over(Window.partitionBy("between", "last"))).where("block IS NOT NULL")
+    rows = rows.withColumn("context", F.when(word, key).otherwise(F.shiftright(key, 8)))
+    run = Window.partitionBy("between", "context", "last")
     rows = rows.withColumns({"total": F.sum("n").over(run), "owner": F.min("block").over(run)})
     sums, p = _smoothed(["between", "context"], F.col("block") == F.col("owner"), least_gain)
     rows = rows.withColumns(sums).withColumn("p", p)
