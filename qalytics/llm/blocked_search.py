@@ -1,11 +1,12 @@
 """Ranked lexical search over geometrically blocked posting lists.
 
-Documents are dealt into shards of about ``SHARD_POSTINGS`` postings. Within a
-shard every term's posting list is cut into blocks of similar documents: about
-one in ``BLOCK`` of its documents is a centre, and each document joins the
-centre nearest to it in a projection of the document vectors. A block stores
-the coordinatewise maximum of its documents' vectors over all terms, so the
-inner product with a query bounds the score of every document in the block.
+Documents are dealt into shards of at most about ``SHARD_POSTINGS`` postings
+and ``DENSE`` cells. Within a shard every term's posting list is cut into blocks
+of similar documents: about one in ``BLOCK`` of its documents is a centre, and
+each document joins the centre nearest to it in a projection of the document
+vectors. A block stores the coordinatewise maximum of its documents' vectors
+over all terms, so the inner product with a query bounds the score of every
+document in the block.
 
 A query takes its lists by falling largest contribution and its blocks by
 falling bound. A block is skipped only if its exact integer bound is below the
@@ -18,9 +19,10 @@ of text. A batch's vocabulary is sent to the tasks (its size follows the batch,
 never the documents); one scan of the texts writes their lengths and their
 occurrences of that vocabulary. Terms that no query of the batch holds can't
 add to any score, so they get no postings; document lengths and counts cover
-every term. Shards are independent tasks; each returns at most k rows a query,
-and a window of k rows a query joins them, so no list, however frequent its
-term, meets in one task.
+every term. The index of a shard goes straight to its search; a lost task
+builds it again from the written occurrences. Shards are independent; each
+returns at most k rows a query, and a window of k rows a query joins them, so
+no list, however frequent its term, meets in one task.
 
 Results: null texts have no terms; a document without terms isn't counted;
 rows that repeat an id are documents of their own, as are repeated items; a null
@@ -36,17 +38,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qalytics.llm import common as C
 
-BATCH_BYTES = 4_000_000     # query text handled at once
-SHARD_POSTINGS = 500_000
+BATCH_BYTES = 250_000       # query text handled at once
+SHARD_POSTINGS = 150_000
 BLOCK = 64                  # documents in a block, about
 PROJECTION = 32             # coordinates that the clustering sees
 CHUNK = 2_000_000           # text bytes cut into terms at once
-DENSE = 4_000_000           # cells of the table that maxima are taken in
+DENSE = 8_000_000           # cells (documents x terms) of a shard's table of vectors
 NO_ID = np.iinfo(np.int64).max
 
 # Digits, letters (upper case folded) and all bytes of other characters stay; the rest separates.
@@ -114,20 +117,6 @@ def _block_of(docs: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return np.unique(out, return_inverse=True)[1]
 
 
-def _maxima(block: np.ndarray, terms: np.ndarray, values: np.ndarray, blocks: int, size: int):
-    """Per block (ascending), its terms and their largest values."""
-    step = max(1, DENSE // max(size, 1))
-    order = np.argsort(block, kind="stable") if blocks > step else slice(None)
-    block, terms, values = block[order], terms[order], values[order]
-    for low in range(0, blocks, step):
-        high = min(low + step, blocks)
-        a, b = (np.searchsorted(block, (low, high)) if blocks > step else (0, len(block)))
-        table = np.zeros((high - low) * size, np.int32)
-        np.maximum.at(table, (block[a:b] - low) * size + terms[a:b], values[a:b])
-        cell = np.flatnonzero(table)
-        yield np.bincount(cell // size, minlength=high - low), (cell % size).astype(np.int32), table[cell]
-
-
 def build_shard(ids: np.ndarray, nulls: np.ndarray, ptr: np.ndarray, terms: np.ndarray, values: np.ndarray, size: int) -> dict:
     """The index of one shard; documents are rows of (ptr, terms, values)."""
     docs = len(ids)
@@ -140,18 +129,22 @@ def build_shard(ids: np.ndarray, nulls: np.ndarray, ptr: np.ndarray, terms: np.n
     order = np.argsort(terms, kind="stable")
     list_terms, first = np.unique(terms[order], return_index=True)
     bounds = [*first, len(order)]
+    table = np.zeros((docs, size), np.int32)
+    table[owner, terms] = values
     list_ptr, block_sizes, block_docs, sum_sizes, sum_terms, sum_max = [0], [], [], [], [], []
     for i in range(len(list_terms)):
         members = owner[order[bounds[i]:bounds[i + 1]]]
         block = _block_of(members, sketch)
-        by_block = np.argsort(block, kind="stable")
-        block_docs.append(members[by_block])
+        members = members[np.argsort(block, kind="stable")]
+        block_docs.append(members)
         block_sizes.append(np.bincount(block))
-        at, row = _spans(ptr, members)
-        for sizes, t, m in _maxima(block[row], terms[at], values[at], len(block_sizes[-1]), size):
-            sum_sizes.append(sizes)
-            sum_terms.append(t)
-            sum_max.append(m)
+        edges = np.concatenate([[0], np.cumsum(block_sizes[-1])])
+        for a, b in zip(edges[:-1], edges[1:]):
+            most = table[members[a:b]].max(0) if b - a > 1 else table[members[a]]
+            held = np.flatnonzero(most)
+            sum_sizes.append([len(held)])
+            sum_terms.append(held.astype(np.int32))
+            sum_max.append(most[held])
         list_ptr.append(list_ptr[-1] + len(block_sizes[-1]))
 
     def joined(parts: list) -> np.ndarray:
@@ -164,27 +157,34 @@ def build_shard(ids: np.ndarray, nulls: np.ndarray, ptr: np.ndarray, terms: np.n
 
 
 def _shards(batches: Iterator[pa.RecordBatch], total_docs: int, total_terms: int, size: int, postings: int) -> Iterator[pa.RecordBatch]:
-    held, count = [], 0
+    held, docs, count = [], 0, 0
 
     def flush() -> pa.RecordBatch:
-        part = pa.Table.from_batches(held)
+        part = pa.Table.from_batches(held).combine_chunks()
         ids, n = part.column("doc_id").combine_chunks(), part.column("n").to_numpy()
         terms, tfs = (part.column(c).combine_chunks() for c in ("terms", "tfs"))
-        lengths = np.diff(terms.offsets.to_numpy())
+        lengths = pc.list_value_length(terms).to_numpy()
         t, tf = terms.flatten().to_numpy(), tfs.flatten().to_numpy().astype(np.int64)
         m = np.repeat(25 + 75 * n * total_docs // total_terms, lengths)
         values = (1_000_000_000 * tf) // (1000 * tf + 8 * m)
         shard = build_shard(ids.fill_null(NO_ID).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False),
-                            np.concatenate([[0], np.cumsum(lengths)]), t, values, size)
+                            np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), t, values, size)
         return pa.RecordBatch.from_pydict({c: [np.ascontiguousarray(shard[c], kind).tobytes()] for c, kind in _PARTS.items()},
                                           schema=_INDEX_SCHEMA)
 
     for batch in batches:
-        if held and count >= postings:
-            yield flush()
-            held, count = [], 0
-        held.append(batch)
-        count += len(batch.column("terms").flatten())
+        lengths = pc.list_value_length(batch.column("terms")).to_numpy()
+        at = 0
+        while at < len(lengths):
+            room = min(max(DENSE // max(size, 1) - docs, 1), len(lengths) - at)
+            fits = int(np.searchsorted(np.cumsum(lengths[at:at + room], dtype=np.int64), postings - count, side="right"))
+            taken = max(fits, 0 if held else 1)
+            if taken:
+                held.append(batch.slice(at, taken))
+                at, docs, count = at + taken, docs + taken, count + int(lengths[at:at + taken].sum())
+            if fits < room or docs * size >= DENSE:
+                yield flush()
+                held, docs, count = [], 0, 0
     if held:
         yield flush()
 
@@ -275,7 +275,7 @@ def _one_batch(rows: DataFrame, items: list, k: int, postings: int) -> DataFrame
         t = np.array([vocabulary[w] for w in counts], np.int64)
         queries.append((q, t, weight[t] * np.array(list(counts.values()), np.int64)))
     docs, terms = total["docs"], total["terms"]
-    index = C.stage(vectors.where(F.size("terms") > 0).mapInArrow(lambda b: _shards(b, docs, terms, size, postings), _INDEX), "index")
+    index = vectors.where(F.size("terms") > 0).mapInArrow(lambda b: _shards(b, docs, terms, size, postings), _INDEX)
     return index.mapInArrow(lambda b: _search(b, queries, size, k), _HIT)
 
 

@@ -52,8 +52,9 @@ def items_frame(spark, items):
     return spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS query", "2 AS doc_id")
 
 
-@pytest.mark.parametrize("options", [{}, {"postings": 300, "batch_bytes": 150}])
-def test_search_matches_brute_force(spark, options, monkeypatch):
+@pytest.mark.parametrize("options, dense", [({}, S.DENSE), ({"postings": 300, "batch_bytes": 150}, S.DENSE), ({}, 900)])
+def test_search_matches_brute_force(spark, options, dense, monkeypatch):
+    monkeypatch.setattr(S, "DENSE", dense)
     docs, items = sample()
     found = S.search(frame(spark, [t for _, t in docs], [i for i, _ in docs]).repartition(3), items_frame(spark, items), **options)
     assert found.columns == ["item_id", "rank", "doc_id", "score"]
@@ -83,9 +84,7 @@ def opened(ptr, terms_, values, size):
     return S.open_shard({c: np.ascontiguousarray(raw[c], kind).tobytes() for c, kind in S._PARTS.items()})
 
 
-@pytest.mark.parametrize("dense", [50, 4_000_000])
-def test_blocks_bound_their_documents_and_are_skipped(monkeypatch, dense):
-    monkeypatch.setattr(S, "DENSE", dense)
+def test_blocks_bound_their_documents_and_are_skipped():
     rng = np.random.default_rng(0)
     size = 161
     ptr, t, v = shard_of(rng, 2000, size, 20)
