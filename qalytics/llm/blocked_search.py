@@ -19,8 +19,8 @@ of text. A batch's vocabulary is sent to the tasks (its size follows the batch,
 never the documents); one scan of the texts writes their lengths and their
 occurrences of that vocabulary. Terms that no query of the batch holds can't
 add to any score, so they get no postings; document lengths and counts cover
-every term. The index of a shard goes straight to its search; a lost task
-builds it again from the written occurrences. Shards are independent; each
+every term. A task indexes a shard, searches it and goes on to the next; a lost
+task starts again from the written occurrences. Shards are independent; each
 returns at most k rows a query, and a window of k rows a query joins them, so
 no list, however frequent its term, meets in one task.
 
@@ -58,11 +58,6 @@ _TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0
 
 _VECTOR = "doc_id long, n long, terms array<int>, tfs array<int>"
 _VECTOR_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32()))])
-_PARTS = {"ids": np.int64, "nulls": np.uint8, "doc_ptr": np.int64, "doc_terms": np.int32, "doc_values": np.int32,
-          "list_terms": np.int32, "list_ptr": np.int64, "block_ptr": np.int64, "block_docs": np.int32,
-          "sum_ptr": np.int64, "sum_terms": np.int32, "sum_max": np.int32}
-_INDEX = ", ".join(f"{c} binary" for c in _PARTS)
-_INDEX_SCHEMA = pa.schema([(c, pa.binary()) for c in _PARTS])
 _HIT = "query long, doc_id long, score long"
 _HIT_SCHEMA = pa.schema([("query", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
@@ -150,16 +145,19 @@ def build_shard(ids: np.ndarray, nulls: np.ndarray, ptr: np.ndarray, terms: np.n
     def joined(parts: list) -> np.ndarray:
         return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
-    return {"ids": ids, "nulls": nulls, "doc_ptr": ptr, "doc_terms": terms, "doc_values": values, "list_terms": list_terms,
+    # the largest value of each list's own term
+    peak = np.maximum.reduceat(values[order], first) if len(first) else np.zeros(0, np.int64)
+    return {"ids": ids, "nulls": nulls, "doc_ptr": ptr, "doc_terms": terms, "doc_values": values, "list_terms": list_terms, "peak": peak,
             "list_ptr": np.array(list_ptr), "block_ptr": np.concatenate([[0], np.cumsum(joined(block_sizes))]),
             "block_docs": joined(block_docs), "sum_ptr": np.concatenate([[0], np.cumsum(joined(sum_sizes))]),
             "sum_terms": joined(sum_terms), "sum_max": joined(sum_max)}
 
 
-def _shards(batches: Iterator[pa.RecordBatch], total_docs: int, total_terms: int, size: int, postings: int) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], total_docs: int, total_terms: int, size: int, postings: int) -> Iterator[dict]:
+    """The indexes of a task's shards, one at a time."""
     held, docs, count = [], 0, 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> dict:
         part = pa.Table.from_batches(held).combine_chunks()
         ids, n = part.column("doc_id").combine_chunks(), part.column("n").to_numpy()
         terms, tfs = (part.column(c).combine_chunks() for c in ("terms", "tfs"))
@@ -167,10 +165,8 @@ def _shards(batches: Iterator[pa.RecordBatch], total_docs: int, total_terms: int
         t, tf = terms.flatten().to_numpy(), tfs.flatten().to_numpy().astype(np.int64)
         m = np.repeat(25 + 75 * n * total_docs // total_terms, lengths)
         values = (1_000_000_000 * tf) // (1000 * tf + 8 * m)
-        shard = build_shard(ids.fill_null(NO_ID).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False),
-                            np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), t, values, size)
-        return pa.RecordBatch.from_pydict({c: [np.ascontiguousarray(shard[c], kind).tobytes()] for c, kind in _PARTS.items()},
-                                          schema=_INDEX_SCHEMA)
+        return build_shard(ids.fill_null(NO_ID).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False),
+                           np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), t, values, size)
 
     for batch in batches:
         lengths = pc.list_value_length(batch.column("terms")).to_numpy()
@@ -237,26 +233,12 @@ def search_shard(s: dict, terms: np.ndarray, weights: np.ndarray, size: int, k:
     return list(zip(top_score.tolist(), top_row.tolist())), scored
 
 
-def open_shard(row: dict) -> dict:
-    s = {c: np.frombuffer(row[c], kind) for c, kind in _PARTS.items()}
-    # largest value of each list's own term
-    order = np.argsort(s["doc_terms"], kind="stable")
-    first = np.searchsorted(s["doc_terms"][order], s["list_terms"])
-    s["peak"] = np.maximum.reduceat(s["doc_values"][order], first) if len(first) else np.zeros(0, np.int64)
-    s["sum_max"] = s["sum_max"].astype(np.int64)
-    s["doc_values"] = s["doc_values"].astype(np.int64)
-    return s
-
-
-def _search(batches: Iterator[pa.RecordBatch], queries: list[tuple[int, np.ndarray, np.ndarray]], size: int, k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            s = open_shard(batch.slice(i, 1).to_pylist()[0])
-            hits = [(q, row, score) for q, terms, weights in queries for score, row in search_shard(s, terms, weights, size, k)[0]]
-            rows = np.array([h[1] for h in hits], np.int64)
-            ids = pa.array(s["ids"][rows], mask=s["nulls"][rows].astype(bool))
-            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), ids,
-                                              pa.array([h[2] for h in hits], pa.int64())], schema=_HIT_SCHEMA)
+def _hits(shard: dict, queries: list[tuple[int, np.ndarray, np.ndarray]], size: int, k: int) -> pa.RecordBatch:
+    hits = [(q, row, score) for q, terms, weights in queries for score, row in search_shard(shard, terms, weights, size, k)[0]]
+    rows = np.array([h[1] for h in hits], np.int64)
+    ids = pa.array(shard["ids"][rows], mask=shard["nulls"][rows].astype(bool))
+    return pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), ids, pa.array([h[2] for h in hits], pa.int64())],
+                                      schema=_HIT_SCHEMA)
 
 
 def _one_batch(rows: DataFrame, items: list, k: int, postings: int) -> DataFrame:
@@ -275,8 +257,12 @@ def _one_batch(rows: DataFrame, items: list, k: int, postings: int) -> DataFrame
         t = np.array([vocabulary[w] for w in counts], np.int64)
         queries.append((q, t, weight[t] * np.array(list(counts.values()), np.int64)))
     docs, terms = total["docs"], total["terms"]
-    index = vectors.where(F.size("terms") > 0).mapInArrow(lambda b: _shards(b, docs, terms, size, postings), _INDEX)
-    return index.mapInArrow(lambda b: _search(b, queries, size, k), _HIT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, docs, terms, size, postings):
+            yield _hits(shard, queries, size, k)
+
+    return vectors.where(F.size("terms") > 0).mapInArrow(run, _HIT)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id",
