@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from qalytics.llm import common as C
 
 DEPTH = 5               # symbols in the longest context
-BLOCK_BYTES = 32_000_000
-CHUNK = 2_000_000       # symbols turned into runs at once
+BLOCK_BYTES = 24_000_000
+CHUNK = 1_000_000       # symbols turned into runs at once
 DISCOUNT = 0.75
 LEAST_GAIN = 2.0        # decimal digits
 ROOT_MASS = 0.1
