@@ -207,6 +207,16 @@ def test_personal_data(spark):
     assert pii.find(frame(spark, [])).collect() == []
 
 
+def test_special_tokens_keep_their_ids(monkeypatch):
+    path = queries.tokenizer_path()
+    words = packing.Words(path)
+    monkeypatch.setattr(packing, "MEMORY", 3)
+    texts = ["", "Plain Text, again", "a<|endoftext|>b", "a <|ENDOFTEXT|> B.", "<|StartOfText|>", "<|startoftext|> x<|endoftext", "plain text"]
+    for _ in range(2):
+        for got, text in zip(words.encode([t.encode() for t in texts]), texts):
+            assert got.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
