@@ -187,14 +187,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _counted(parts: tuple[list[bytes], list[bytes]], keys_of) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    keys, counts = [], []
+def _counted(parts: tuple[list[bytes], list[bytes]], keys_of) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a block's texts with their training counts."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for training, texts in zip((1, 0), parts):
         for _, k in keys_of(texts):
             u, n = np.unique(k, return_counts=True)
             keys.append(u)
             counts.append(n * training)
-    return keys, counts
+            if sum(map(len, keys[1:])) > max(CHUNK, len(keys[0])):
+                keys, counts = ([x] for x in _tally(keys, counts))
+    return _tally(keys, counts)
 
 
 def _count(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[pa.RecordBatch]:
@@ -203,7 +206,7 @@ def _count(batches: Iterator[pa.RecordBatch], symbols: int) -> Iterator[pa.Recor
     keys, counts = [], []
     for row in _rows(batches):
         k, n = _counted(_parts(row), lambda texts: _runs(texts, symbols - 1))
-        k, n = _tally(keys + k, counts + n)
+        k, n = _tally([*keys, k], [*counts, n])
         keys, counts = [k], [n]
         if len(k) > CHUNK:
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], schema=_COUNT_SCHEMA)
@@ -218,8 +221,8 @@ def _ask(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBat
         parts = _parts(row)
         k, n = _tally([np.array([END_WORD])], [np.array([len(parts[0])])])
         for keys_of in (_words, lambda texts: _runs(texts, depth)):
-            keys, counts = _counted(parts, keys_of)
-            k, n = _tally([k, *keys], [n, *counts])
+            more, counts = _counted(parts, keys_of)
+            k, n = _tally([k, more], [n, counts])
         for at in range(0, len(k), 250_000):
             part = slice(at, at + 250_000)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[part]), row["block"])), pa.array(k[part]),
