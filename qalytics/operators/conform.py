@@ -14,7 +14,7 @@ from qalytics.functions import elapsed_days, json_object, json_value_in, month_k
 EPOCH = "1970-01-01 00:00:00"
 
 
-def dedup_latest(df: DataFrame, key: str = "id", order: Sequence[str] = ("_extracted_at",)) -> DataFrame:
+def dedup_latest(df: DataFrame, key: str = "id", order: Sequence[str] = ("_extracted_at",), pinned: bool = False) -> DataFrame:
     """Newest row per ``key`` by ``order`` (each descending, NULLs last).
 
     ``row_number() == 1`` over a window: Spark plans it as a partial
@@ -24,9 +24,12 @@ def dedup_latest(df: DataFrame, key: str = "id", order: Sequence[str] = ("_extra
     window lets Catalyst prune every column the consumer does not read down
     to the parquet scan. Rows tied on all ``order`` columns are resolved
     arbitrarily, as in the reference; pass a tie-break column in ``order``
-    where one exists."""
+    where one exists, or ``pinned`` to break ties by a hash of the whole row
+    (which reads every column): then the result does not depend on the order
+    or the batches in which rows arrive."""
+    ties = [F.xxhash64(*sorted(df.columns)).desc()] if pinned else []
     order = [c for c in order if c in df.columns]
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order], *ties)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
@@ -83,12 +86,15 @@ def stg_runs(dedup_runs: DataFrame, dedup_plans: DataFrame, dedup_milestones: Da
     return stg_runs_wide(dedup_runs, dedup_plans, dedup_milestones).select(*STG_COLUMNS)
 
 
-def stg_runs_wide(dedup_runs: DataFrame, dedup_plans: DataFrame, dedup_milestones: DataFrame) -> DataFrame:
+def stg_runs_wide(dedup_runs: DataFrame, dedup_plans: DataFrame, dedup_milestones: DataFrame,
+                  only: Column | None = None) -> DataFrame:
     """``stg_runs`` plus the plan's own completion flag (``plan_is_completed``),
-    which the marts read; carrying it saves a second join to the plans."""
+    which the marts read; carrying it saves a second join to the plans.
+    ``only`` restricts the staged runs; a plan's latest date still looks at all."""
     pmd = plan_max_dates(dedup_runs).withColumnRenamed("plan_id", "pmd_plan_id")
-    r = dedup_runs.select("id", "project_id", "plan_id", "name", "milestone_id", "created_on", "completed_on",
-                          "is_completed", "assignedto_id")
+    r = dedup_runs.where(only) if only is not None else dedup_runs
+    r = r.select("id", "project_id", "plan_id", "name", "milestone_id", "created_on", "completed_on",
+                 "is_completed", "assignedto_id")
     # Plans with their latest run date, one row per plan id. The join key is
     # derived (coalesce over the full join), so unless the plans are small
     # enough to broadcast, both sides reach the join through a shuffle and AQE
@@ -191,3 +197,25 @@ def defect_keys(raw_results: DataFrame, text_col: str = "defects", keep: Sequenc
     r = raw_results.where(F.col(text_col).contains(C.DEFECT_KEY_PREFIX))
     keys = F.regexp_extract_all(F.col(text_col), F.lit(C.DEFECT_KEY_PATTERN), 1)
     return r.select(*keep, F.explode(keys).alias("defect_key"))
+
+
+# ---------------------------------------------------------------- summaries
+def run_test_counts(dedup_tests: DataFrame) -> DataFrame:
+    """Tests per (run, assignee, status): every mart that counts tests reads
+    this instead of the tests. The counts are partial aggregates before the
+    shuffle, so a run holding most tests moves as a few rows per map task."""
+    return dedup_tests.groupBy("run_id", "assignedto_id", "status_id").agg(
+        F.count("id").alias("n_tests"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def result_texts(raw_results: DataFrame) -> DataFrame:
+    """Results per (test, defect text): rows, rows with a defect, certificates
+    and iterations. Results are only ever added, so the summaries of several
+    loads are simply read together: every consumer sums them."""
+    cf = json_object("custom_fields")
+    return (raw_results.select("test_id", "defects", cf.alias("_cf"))
+            .groupBy("test_id", "defects").agg(
+                F.count(F.lit(1)).alias("n_rows"),
+                F.count_if(F.col("defects").isNotNull() & (F.col("defects") != "")).alias("rwd"),
+                F.count_if(json_value_in(F.col("_cf"), C.RESULT_CERTIFICATE_KEY).isNotNull()).alias("acta"),
+                F.count_if(json_value_in(F.col("_cf"), C.ITERATION_KEY) == "true").alias("iters")))

@@ -84,30 +84,56 @@ def write_bronze(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -
 
 
 # ------------------------------------------------------------ nested sources
-RUN_ENTRY = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
-    T.StructField("created_on", T.LongType()), T.StructField("completed_on", T.LongType()),
-    T.StructField("is_completed", T.BooleanType()), T.StructField("suite_id", T.LongType()),
-    T.StructField("milestone_id", T.LongType()), T.StructField("assignedto_id", T.LongType()),
-])
-PLAN_DOC = T.StructType([
-    T.StructField("id", T.LongType()), T.StructField("name", T.StringType()),
-    T.StructField("created_on", T.LongType()),
-    T.StructField("entries", T.ArrayType(T.StructType([T.StructField("runs", T.ArrayType(RUN_ENTRY))]))),
-])
+def _declared(node: Column, schema: T.StructType, leave: tuple[str, ...] = ()) -> list[Column]:
+    """The declared columns of a parsed record. Times stay text (epoch seconds
+    or a timestamp, for ``epoch_normalize``); a column declared as text that
+    holds an object or a list becomes its JSON text; a value of another type
+    than declared is NULL. Unknown keys are dropped."""
+    out = []
+    for f in schema.fields:
+        if f.name in leave:
+            continue
+        path = f"$.{f.name}"
+        if f.name in S.EPOCH_COLUMNS:
+            c = F.try_variant_get(node, path, "string")
+        elif isinstance(f.dataType, T.StringType):
+            part = F.try_variant_get(node, path, "variant")
+            nested = F.schema_of_variant(part).startswith("OBJECT") | F.schema_of_variant(part).startswith("ARRAY")
+            c = F.when(nested, F.to_json(part)).otherwise(F.try_variant_get(node, path, "string"))
+        else:
+            c = F.try_variant_get(node, path, f.dataType.simpleString())
+        out.append(c.alias(f.name))
+    return out
+
+
+_AUDIT = tuple(name for name, _ in S.AUDIT)
 
 
 def explode_plan_entries(plans: DataFrame, doc_col: str = "doc", project_col: str = "project_id") -> DataFrame:
-    """Runs nested in plan documents (``entries[].runs[]``) as run rows
-    stamped with the plan id and project id; entries without runs yield
-    nothing. Both explodes are inner, row-local (no shuffle)."""
-    p = plans.select(F.col(project_col).alias("project_id"), F.from_json(F.col(doc_col), PLAN_DOC).alias("p"))
-    e = p.select("project_id", F.col("p.id").alias("plan_id"), F.explode("p.entries").alias("entry"))
-    r = e.select("project_id", "plan_id", F.explode("entry.runs").alias("run"))
-    runs = r.select("run.*", "plan_id", "project_id")
+    """Runs nested in plan documents (``entries[].runs[]``) as run records with
+    every declared run column, stamped with the plan id and project id. A
+    document or an entry without runs (or with something else in their place)
+    yields nothing. Both explodes are inner, row-local (no shuffle)."""
+    p = plans.select(F.col(project_col).alias("project_id"), F.try_parse_json(F.col(doc_col)).alias("p"))
+    e = p.select("project_id", F.try_variant_get("p", "$.id", "bigint").alias("plan_id"),
+                 F.explode(F.try_variant_get("p", "$.entries", "array<variant>")).alias("entry"))
+    r = e.select("project_id", "plan_id", F.explode(F.try_variant_get("entry", "$.runs", "array<variant>")).alias("run"))
+    runs = r.select(*_declared(F.col("run"), S.RAW_RUNS, ("plan_id", "project_id", *_AUDIT)), "plan_id", "project_id")
     return epoch_normalize(runs)
 
 
+def document_records(docs: DataFrame, entity: str, doc_col: str = "doc", project_col: str = "project_id") -> DataFrame:
+    """Detail documents of plans or milestones as records of ``entity``: its
+    declared columns, the project that they were fetched for, and all their
+    ``custom_*`` keys in ``custom_fields``. Text that is no JSON object gives
+    no record."""
+    d = collect_custom_fields(docs, doc_col, "_custom")
+    d = d.select(F.col(project_col).alias("project_id"), "_custom", F.try_parse_json(F.col(doc_col)).alias("d"))
+    d = d.where(F.schema_of_variant("d").startswith("OBJECT"))
+    columns = _declared(F.col("d"), S.BRONZE[entity], ("project_id", "custom_fields", *_AUDIT))
+    return epoch_normalize(d.select(*columns, "project_id", F.col("_custom").alias("custom_fields")))
+
+
 def stamp_parent(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str = "id",
                  stamp: tuple[str, ...] = ("project_id",)) -> DataFrame:
     """Children take columns (``project_id`` by default) from their parent; a
@@ -119,15 +145,19 @@ def stamp_parent(children: DataFrame, parents: DataFrame, child_key: str, parent
                     *[F.col(f"_p_{c}").alias(c) for c in stamp]).drop("_parent")
 
 
+def _placed_cases(cases: DataFrame, suites: DataFrame, projects: DataFrame) -> DataFrame:
+    s = suites.select(F.col("id").alias("s_id"), F.col("project_id").alias("s_project_id"))
+    p = projects.select(F.col("id").alias("p_id"), F.coalesce(F.col("suite_mode"), F.lit(1)).alias("suite_mode"))
+    return cases.join(s, F.col("suite_id") == F.col("s_id"), "left").join(p, F.col("s_project_id") == F.col("p_id"), "left")
+
+
 def cases_by_suite_mode(cases: DataFrame, suites: DataFrame, projects: DataFrame) -> DataFrame:
     """Cases with the project they were fetched for. Multi-suite projects
     (mode 3) fetch per suite, so the case takes the suite's id; other modes
     fetch per project and keep the case's own suite id. A missing mode
-    counts as 1; cases whose project is unknown are skipped."""
-    s = suites.select(F.col("id").alias("s_id"), F.col("project_id").alias("s_project_id"))
-    p = projects.select(F.col("id").alias("p_id"), F.coalesce(F.col("suite_mode"), F.lit(1)).alias("suite_mode"))
-    j = cases.join(s, F.col("suite_id") == F.col("s_id"), "left").join(p, F.col("s_project_id") == F.col("p_id"))
-    return j.select(
+    counts as 1; cases whose project is unknown are skipped (and listed by
+    ``unplaced_cases``)."""
+    return _placed_cases(cases, suites, projects).where("p_id IS NOT NULL").select(
         F.col("id"),
         F.col("p_id").alias("project_id"),
         F.when(F.col("suite_mode") == 3, F.col("s_id")).otherwise(F.col("suite_id")).alias("suite_id"),
@@ -135,6 +165,40 @@ def cases_by_suite_mode(cases: DataFrame, suites: DataFrame, projects: DataFrame
     )
 
 
+def unplaced_cases(cases: DataFrame, suites: DataFrame, projects: DataFrame) -> DataFrame:
+    """The cases that ``cases_by_suite_mode`` skips, with the reason."""
+    reason = F.when(F.col("s_id").isNull(), F.lit("unknown suite")).otherwise(F.lit("unknown project"))
+    return _placed_cases(cases, suites, projects).where("p_id IS NULL").select("id", "suite_id", reason.alias("reason"))
+
+
+CASE_PAGE = T.StructType([T.StructField("cases", T.ArrayType(T.StructType([f for f in S.RAW_CASES.fields if f.name not in _AUDIT]))),
+                          T.StructField("_broken", T.StringType())])
+
+
+def _parsed_pages(pages: DataFrame, body_col: str) -> DataFrame:
+    """Pages with their parsed cases and, where the text does not parse as a
+    page of cases, the reason."""
+    got = F.from_json(F.col(body_col), CASE_PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    why = F.when(F.col(body_col).isNull(), "no response").when(F.col("_page._broken").isNotNull(), "not a page of cases") \
+           .when(F.col("_page.cases").isNull(), "no list of cases")
+    return pages.withColumn("_page", got).withColumn("reason", why)
+
+
+def cases_from_pages(pages: DataFrame, body_col: str = "body") -> DataFrame:
+    """Cases of the fetched pages (``project_id``, ``suite_id`` of a multi-suite
+    fetch or NULL, JSON text): each takes its page's project, and the suite it
+    was fetched by. A page that failed costs its own cases only; it is listed
+    by ``skipped_pages``, so that no case is lost silently."""
+    p = _parsed_pages(pages, body_col).where("reason IS NULL")
+    c = p.select(F.col("project_id"), F.col("suite_id").alias("_suite"), F.explode("_page.cases").alias("c"))
+    return c.select("c.*", "project_id", "_suite").withColumn("suite_id", F.coalesce("_suite", "suite_id")).drop("_suite")
+
+
+def skipped_pages(pages: DataFrame, body_col: str = "body") -> DataFrame:
+    """The fetched pages that could not be read, with reason and text."""
+    return _parsed_pages(pages, body_col).where("reason IS NOT NULL").drop("_page")
+
+
 def scoped_runs(raw_runs: DataFrame, projects: tuple[int, ...] = C.SYNCED_TEST_PROJECTS) -> DataFrame:
     """Run ids of the projects whose tests and results are synced, with the
     number of raw rows per id (raw runs repeat ids)."""
@@ -186,24 +250,34 @@ def issue_flatten(docs: DataFrame, base_url: str, doc_col: str = "doc") -> DataF
 
 
 # ------------------------------------------------------------ incremental state
-def _scope(c: Column) -> Column:
-    return c.cast("string")
+def _scope(df: DataFrame, column: str) -> Column:
+    """The scope as text; NULL where it is missing, empty or zero: such scopes
+    count as none, for reading and for writing watermarks."""
+    c = F.col(column)
+    none = (c == "") if dict(df.dtypes)[column] == "string" else (c == 0)
+    return F.when(~none, c.cast("string"))
+
+
+def _per_scope(sync_state: DataFrame, entity: str) -> tuple[DataFrame, Column]:
+    """(scope, watermark) rows of an entity and the watermark of any row of it
+    (pinned to the maximum, where the reference takes an arbitrary row)."""
+    st = sync_state.where(F.col("entity_type") == entity)
+    per = st.groupBy(F.col("scope_id").alias("_s")).agg(F.max("last_updated_at_watermark").alias("_wm"))
+    return per.where("_s IS NOT NULL"), st.agg(F.max("last_updated_at_watermark").alias("_any")).scalar()
 
 
 def watermark_read(sync_state: DataFrame, entity: str, scopes: DataFrame | None = None,
                    scope_col: str = "scope_id") -> DataFrame:
-    """Last watermark per requested scope, 0 when there is none. A NULL (or
-    omitted) scope reads any row of the entity — pinned to the maximum,
-    where the reference takes an arbitrary row."""
-    st = sync_state.where(F.col("entity_type") == entity)
-    anyrow = st.agg(F.max("last_updated_at_watermark").alias("_any"))
+    """Last watermark per requested scope, 0 when there is none. Without
+    scopes, and for a scope that is NULL, empty or zero, any row of the entity."""
+    per, anyrow = _per_scope(sync_state, entity)
     if scopes is None:
-        return anyrow.select(F.coalesce(F.col("_any"), F.lit(0).cast("long")).alias("watermark"))
-    per = st.groupBy(F.col("scope_id").alias("_s")).agg(F.max("last_updated_at_watermark").alias("_wm"))
-    s = _scope(F.col(scope_col))
-    j = scopes.join(per, s == F.col("_s"), "left")
-    wm = F.when(s.isNull(), anyrow.scalar()).otherwise(F.col("_wm"))
-    return j.select(s.alias("scope_id"), F.coalesce(wm, F.lit(0).cast("long")).alias("watermark"))
+        st = sync_state.where(F.col("entity_type") == entity)
+        return st.agg(F.coalesce(F.max("last_updated_at_watermark"), F.lit(0).cast("long")).alias("watermark"))
+    j = scopes.select(F.col(scope_col).cast("string").alias("scope_id"), _scope(scopes, scope_col).alias("_scope"))
+    j = j.join(per, F.col("_scope") == F.col("_s"), "left")
+    wm = F.when(F.col("_scope").isNull(), anyrow).otherwise(F.col("_wm"))
+    return j.select("scope_id", F.coalesce(wm, F.lit(0).cast("long")).alias("watermark"))
 
 
 def _epoch(c: Column) -> Column:
@@ -219,25 +293,26 @@ def change_time(df: DataFrame) -> Column:
 
 
 def incremental_extract(source: DataFrame, sync_state: DataFrame, entity: str, scope_col: str = "project_id") -> DataFrame:
-    """Rows changed after their scope's watermark; a zero or missing
-    watermark selects everything."""
-    wm = watermark_read(sync_state, entity, source.select(scope_col).distinct(), scope_col)
-    j = source.join(wm, _scope(F.col(scope_col)) == F.col("scope_id"), "left")
-    w = F.coalesce(F.col("watermark"), F.lit(0))
-    return j.where((w == 0) | (_epoch(change_time(source)) > w)).drop("scope_id", "watermark")
+    """Rows changed after their scope's watermark; a zero or missing watermark
+    selects everything. One scan of the source, joined to the few state rows."""
+    per, anyrow = _per_scope(sync_state, entity)
+    j = source.withColumn("_scope", _scope(source, scope_col)).join(per, F.col("_scope") == F.col("_s"), "left")
+    w = F.coalesce(F.when(F.col("_scope").isNull(), anyrow).otherwise(F.col("_wm")), F.lit(0))
+    return j.where((w == 0) | (_epoch(change_time(source)) > w)).drop("_scope", "_s", "_wm")
 
 
 def watermark_advance(extracted: DataFrame, sync_state: DataFrame, entity: str, as_of: _dt.datetime,
                       scope_col: str = "project_id", status: str = "SUCCESS") -> DataFrame:
     """New watermark per scope that received rows: the larger of the old one
     and the newest change time. Scopes without rows are not touched."""
-    new = extracted.groupBy(_scope(F.col(scope_col)).alias("scope_id")).agg(
+    per, anyrow = _per_scope(sync_state, entity)
+    new = extracted.groupBy(_scope(extracted, scope_col).alias("scope_id")).agg(
         F.max(_epoch(change_time(extracted))).alias("_new"))
-    old = watermark_read(sync_state, entity, new.select("scope_id"), "scope_id").withColumnRenamed("scope_id", "_s")
-    j = new.join(old, F.col("scope_id").eqNullSafe(F.col("_s")), "left")
+    j = new.join(per, F.col("scope_id") == F.col("_s"), "left")
+    old = F.when(F.col("scope_id").isNull(), anyrow).otherwise(F.col("_wm"))
     return j.select(
         F.lit(entity).alias("entity_type"), "scope_id",
-        F.greatest(F.coalesce(F.col("watermark"), F.lit(0).cast("long")), F.col("_new")).alias("last_updated_at_watermark"),
+        F.greatest(F.coalesce(old, F.lit(0).cast("long")), F.col("_new")).alias("last_updated_at_watermark"),
         ts_lit(as_of).alias("last_sync_ts"), F.lit(status).alias("status"),
     )
 

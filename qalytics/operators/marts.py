@@ -34,29 +34,23 @@ def _i(c: Column) -> Column:
 
 
 # ------------------------------------------------------------ run_defects_priority
-def result_tests(raw_results: DataFrame, dedup_tests: DataFrame) -> DataFrame:
-    """Results with their test's run and case (inner join on test id)."""
+def result_tests(results: DataFrame, dedup_tests: DataFrame) -> DataFrame:
+    """Results (or their summaries) with their test's run and case (inner join
+    on test id)."""
     t = dedup_tests.select(F.col("id").alias("t_id"), "run_id", "case_id")
-    return raw_results.join(t, F.col("test_id") == F.col("t_id"))
+    return results.join(t, F.col("test_id") == F.col("t_id"))
 
 
-def run_defects_priority(raw_results: DataFrame, dedup_tests: DataFrame, raw_cases: DataFrame) -> DataFrame:
+def run_defects_priority(texts: DataFrame, dedup_tests: DataFrame, raw_cases: DataFrame) -> DataFrame:
     """Per (run, case priority): distinct defect texts, results with defects,
     certificate count and iteration count.
 
-    Results are first reduced per (test, defect text) — a partial aggregate
-    before any shuffle, so a test holding a large share of the results
-    arrives at the join as one row per distinct text — and the counts are
-    carried as sums through the joins."""
-    cf = json_object("custom_fields")
-    has_defect = F.col("defects").isNotNull() & (F.col("defects") != "")
-    per_text = (raw_results.select("test_id", "defects", cf.alias("_cf"))
-                .groupBy("test_id", "defects").agg(
-                    F.count_if(has_defect).alias("rwd"),
-                    F.count_if(json_value_in(F.col("_cf"), C.RESULT_CERTIFICATE_KEY).isNotNull()).alias("acta"),
-                    F.count_if(json_value_in(F.col("_cf"), C.ITERATION_KEY) == "true").alias("iters")))
+    ``texts`` are the results summed per (test, defect text): a test holding a
+    large share of the results arrives at the join as one row per distinct
+    text, and the counts are carried as sums through the joins."""
     cases = raw_cases.select(F.col("id").alias("c_id"), "priority_id")
-    r = result_tests(per_text, dedup_tests).join(cases, F.col("case_id") == F.col("c_id"))
+    r = result_tests(texts.select("test_id", "defects", "rwd", "acta", "iters"), dedup_tests)
+    r = r.join(cases, F.col("case_id") == F.col("c_id"))
     # level 1: per distinct defect text (replaces COUNT(DISTINCT defects))
     lvl1 = r.groupBy("run_id", "priority_id", "defects").agg(
         F.sum("rwd").alias("rwd"), F.sum("acta").alias("acta"), F.sum("iters").alias("iters"))
@@ -69,23 +63,26 @@ def run_defects_priority(raw_results: DataFrame, dedup_tests: DataFrame, raw_cas
 
 
 # ------------------------------------------------------------ run_defects_jira
-def run_defects_jira(raw_results: DataFrame, dedup_tests: DataFrame, raw_issues: DataFrame,
-                     as_of) -> DataFrame:
+def text_keys(texts: DataFrame) -> DataFrame:
+    """(test, defect key, occurrences) of the result summaries."""
+    keys = (texts.where(F.col("defects").contains(C.DEFECT_KEY_PREFIX))
+            .select("test_id", "n_rows", F.explode(F.regexp_extract_all("defects", F.lit(C.DEFECT_KEY_PATTERN), 1)).alias("defect_key")))
+    return keys.groupBy("test_id", "defect_key").agg(F.sum("n_rows").alias("_occ"))
+
+
+def run_defects_jira(texts: DataFrame, dedup_tests: DataFrame, raw_issues: DataFrame, as_of) -> DataFrame:
     """Per run: distinct linked issue keys overall, by status group and by
     severity, plus the mean issue age over all linked rows.
 
-    Each ``COUNT(DISTINCT IF(cond, key))`` becomes: per (run, key) whether any
-    row met ``cond``, then per run the number of keys that did. That is two
-    partial aggregations instead of one row expansion per distinct count."""
-    res = raw_results.where(F.col("defects").isNotNull() & (F.col("defects") != ""))
-    keys = (res.where(F.col("defects").contains(C.DEFECT_KEY_PREFIX))
-            .select("test_id", F.explode(F.regexp_extract_all("defects", F.lit(C.DEFECT_KEY_PATTERN), 1)).alias("defect_key")))
-    # key occurrences per (test, key), reduced before the shuffle; the count
-    # weights the age average so it stays the average over all linked rows
-    occ = keys.groupBy("test_id", "defect_key").agg(F.count(F.lit(1)).alias("_occ"))
+    Occurrences are first reduced to one row per (run, key); only these meet
+    the issue snapshots. Each ``COUNT(DISTINCT IF(cond, key))`` becomes: per
+    (run, key) whether any snapshot met ``cond``, then per run the number of
+    keys that did. The occurrences weight the age average, so it stays the
+    average over all linked rows."""
+    per_run = (result_tests(text_keys(texts), dedup_tests)
+               .groupBy("run_id", "defect_key").agg(F.sum("_occ").alias("_occ")))
     j = raw_issues.select(F.col("key").alias("j_key"), "status", "priority", "created")
-    linked = (result_tests(occ, dedup_tests)
-              .join(j, F.col("defect_key") == F.col("j_key")))
+    linked = per_run.join(j, F.col("defect_key") == F.col("j_key"))
     st, pr = F.col("status"), F.col("priority")
     conds = {
         "jira_defects_closed": st.isin(*C.CLOSED_DEFECT_STATUSES),
@@ -111,12 +108,17 @@ def run_defects_jira(raw_results: DataFrame, dedup_tests: DataFrame, raw_issues:
 
 
 # ------------------------------------------------------------ run_stats
-def tests_per_run(dedup_tests: DataFrame) -> DataFrame:
-    st = F.col("status_id")
-    return dedup_tests.groupBy("run_id").agg(
-        F.count("id").alias("n_tests"),
-        *[F.count_if(st == v).alias(f"t_{n}") for n, v in STATUS_COLUMNS.items()],
-        F.count_if(st.isin(C.STATUS_RETEST, C.STATUS_FAILED)).alias("t_returned"),
+def tests_per_run(run_counts: DataFrame) -> DataFrame:
+    """Tests of a run, overall and by status, from its counts."""
+    st, n = F.col("status_id"), F.col("n_rows")
+
+    def rows_where(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0).cast("long"))
+
+    return run_counts.groupBy("run_id").agg(
+        F.sum("n_tests").alias("n_tests"),
+        *[rows_where(st == v).alias(f"t_{c}") for c, v in STATUS_COLUMNS.items()],
+        rows_where(st.isin(C.STATUS_RETEST, C.STATUS_FAILED)).alias("t_returned"),
     )
 
 
@@ -133,7 +135,7 @@ def priority_rows_per_run(rdp: DataFrame) -> DataFrame:
 RUN_KEYS = ("plan_id", "run_id", "month_key", "project_id")
 
 
-def run_stats(stg: DataFrame, dedup_tests: DataFrame, rdp: DataFrame, rdj: DataFrame | None,
+def run_stats(stg: DataFrame, run_counts: DataFrame, rdp: DataFrame, rdj: DataFrame | None,
               uat_project: int = C.MART_UAT_PROJECT, exact: bool = False, priority_breakdown: bool = False,
               keep: tuple[str, ...] = RUN_KEYS) -> DataFrame:
     """Per run: six status counts, total tests, defect / certificate /
@@ -147,7 +149,7 @@ def run_stats(stg: DataFrame, dedup_tests: DataFrame, rdp: DataFrame, rdj: DataF
     ``exact=True`` the multiplicities are dropped. ``keep`` lists the
     columns of ``stg`` carried through (the marts keep all of them, which
     saves joining the staged runs to their own statistics)."""
-    t = tests_per_run(dedup_tests).withColumnRenamed("run_id", "t_run_id")
+    t = tests_per_run(run_counts).withColumnRenamed("run_id", "t_run_id")
     p = priority_rows_per_run(rdp).withColumnRenamed("run_id", "p_run_id")
     base = stg.select(*keep)
     j = (base.join(t, F.col("run_id") == F.col("t_run_id"), "left")
@@ -438,13 +440,12 @@ def project_summary(dedup_projects: DataFrame, ap: DataFrame, rc: DataFrame, es:
 
 
 # ------------------------------------------------------------ workload / demand
-def _active_assignments(dedup_tests: DataFrame, dedup_runs: DataFrame, dedup_projects: DataFrame) -> DataFrame:
+def _active_assignments(run_counts: DataFrame, dedup_runs: DataFrame, dedup_projects: DataFrame) -> DataFrame:
     """Assigned tests of open, non-excluded projects, counted per (run,
     assignee, status) before the run join: test ids are unique after dedup,
     so ``n_tests`` is the distinct test count, and a run holding a large share
     of the tests reaches the join as a handful of rows."""
-    t = (dedup_tests.where(F.col("assignedto_id").isNotNull() & (F.col("assignedto_id") > 0))
-         .groupBy("run_id", "assignedto_id", "status_id").agg(F.count("id").alias("n_tests")))
+    t = run_counts.where(F.col("assignedto_id").isNotNull() & (F.col("assignedto_id") > 0)).drop("n_rows")
     r = dedup_runs.where(~F.col("project_id").isin(*C.SUMMARY_EXCLUDED_PROJECTS)).select(
         F.col("id").alias("r_id"), "project_id", "created_on")
     proj = dedup_projects.where(F.col("is_completed") == F.lit(False)).select(
@@ -462,14 +463,14 @@ def user_name_rows(raw_users: DataFrame) -> DataFrame:
     return raw_users.groupBy("id", "name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def workload_by_analyst(dedup_tests: DataFrame, dedup_runs: DataFrame, dedup_projects: DataFrame,
+def workload_by_analyst(run_counts: DataFrame, dedup_runs: DataFrame, dedup_projects: DataFrame,
                         raw_users: DataFrame) -> DataFrame:
     """Per (analyst, project): distinct tests and six status counts.
 
     The tests are first reduced to one row per (assignee, project); only
     then is the user table joined, and its snapshot multiplicity applied to
     the counts, so the large side never fans out."""
-    a = _active_assignments(dedup_tests, dedup_runs, dedup_projects)
+    a = _active_assignments(run_counts, dedup_runs, dedup_projects)
     st, n = F.col("status_id"), F.col("n_tests")
 
     def tests_where(cond: Column) -> Column:
@@ -498,11 +499,11 @@ def workload_by_analyst(dedup_tests: DataFrame, dedup_runs: DataFrame, dedup_pro
     )
 
 
-def project_analyst_demand(dedup_tests: DataFrame, dedup_runs: DataFrame, dedup_projects: DataFrame,
+def project_analyst_demand(run_counts: DataFrame, dedup_runs: DataFrame, dedup_projects: DataFrame,
                            raw_users: DataFrame) -> DataFrame:
     """Per (project, month): distinct analysts, distinct tests and the sorted
     analyst names (user name, else ``Analista #id``)."""
-    a = _active_assignments(dedup_tests, dedup_runs, dedup_projects).select(
+    a = _active_assignments(run_counts, dedup_runs, dedup_projects).select(
         "project_id", "project_name", F.date_format("created_on", "yyyy-MM").alias("month_key"),
         F.year("created_on").cast("long").alias("year"), "assignedto_id", "n_tests")
     keys = ["project_id", "project_name", "month_key", "year"]
@@ -521,21 +522,19 @@ def project_analyst_demand(dedup_tests: DataFrame, dedup_runs: DataFrame, dedup_
 
 
 # ------------------------------------------------------------ tracker audit
-def linked_info(raw_results: DataFrame, dedup_tests: DataFrame, stg: DataFrame, raw_projects: DataFrame) -> DataFrame:
+def linked_info(texts: DataFrame, dedup_tests: DataFrame, stg: DataFrame, raw_projects: DataFrame) -> DataFrame:
     """Distinct (issue key, plan, project, plan name, project name) reachable
-    from result texts. Distinct is taken before the project-name join (which
-    repeats a row per project snapshot) and once more after it."""
-    keys = (raw_results.where(F.col("defects").like(f"%{C.DEFECT_KEY_PREFIX}%"))
-            .select("test_id", F.explode(F.regexp_extract_all("defects", F.lit(C.DEFECT_KEY_PATTERN), 1)).alias("extracted_key")))
+    from result texts. Keys are made distinct per test and per run before the
+    joins that follow, names once per project before the last one."""
     t = dedup_tests.select(F.col("id").alias("t_id"), F.col("run_id").alias("t_run_id"))
+    per_run = (text_keys(texts).join(t, F.col("test_id") == F.col("t_id"))
+               .select(F.col("defect_key").alias("extracted_key"), "t_run_id").distinct())
     sr = stg.select("run_id", "plan_id", "project_id", F.coalesce("plan_name", "run_name").alias("plan_name"))
-    # distinct (test, key) first: a test with many results reaches the join once per key
-    li = (keys.distinct().join(t, F.col("test_id") == F.col("t_id"))
-              .join(sr, F.col("t_run_id") == F.col("run_id"))
-              .select("extracted_key", "plan_id", "project_id", "plan_name").distinct())
-    p = raw_projects.select(F.col("id").alias("p_id"), F.col("name").alias("project_name"))
+    li = (per_run.join(sr, F.col("t_run_id") == F.col("run_id"))
+          .select("extracted_key", "plan_id", "project_id", "plan_name").distinct())
+    p = raw_projects.select(F.col("id").alias("p_id"), F.col("name").alias("project_name")).distinct()
     return (li.join(p, F.col("project_id") == F.col("p_id"))
-              .select("extracted_key", "plan_id", "project_id", "plan_name", "project_name").distinct())
+              .select("extracted_key", "plan_id", "project_id", "plan_name", "project_name"))
 
 
 ISSUE_COLUMNS = ("id", "key", "summary", "status", "priority", "resolution", "assignee", "reporter", "created",

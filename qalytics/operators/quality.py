@@ -35,15 +35,9 @@ def dq_start_after_end(fact: DataFrame) -> DataFrame:
     return _result(C.DQ_START_AFTER_END, bad)
 
 
-def cycle_dates(raw_runs: DataFrame) -> DataFrame:
-    """The fact_cycle columns the consistency check reads, straight from runs."""
-    return raw_runs.select(F.to_date("created_on").alias("eff_start_date"), "completed_on",
-                           F.col("is_completed").alias("is_closed"))
-
-
-def data_quality(raw_runs: DataFrame, as_of: _dt.datetime) -> DataFrame:
+def data_quality(raw_runs: DataFrame, fact: DataFrame, as_of: _dt.datetime) -> DataFrame:
     """All four checks as one frame."""
     return (dq_duplicate_runs(raw_runs)
             .unionByName(dq_future_dates(raw_runs, as_of))
             .unionByName(dq_negative_counts(raw_runs))
-            .unionByName(dq_start_after_end(cycle_dates(raw_runs))))
+            .unionByName(dq_start_after_end(fact)))

@@ -5,13 +5,14 @@ what the registered queries use. A production refresh instead writes each
 layer once to the shared folder named by ``spark.checkpoint.dir`` and lets
 the next layer read the written tables:
 
-* silver relations (deduplicated entities, staged runs, the cycle fact) feed
-  several marts; writing them once replaces one shuffle of the largest table
-  per consumer with a column-pruned parquet read;
+* silver relations (deduplicated entities, staged runs, the cycle fact, test
+  counts and result summaries) feed several marts; writing them once replaces
+  one shuffle of the largest tables per consumer with a column-pruned read;
 * a written table cuts the lineage: a lost executor recomputes from the last
   written layer, not from the raw scans;
-* results are written partitioned by day and the cycle fact by its start
-  date (as the reference's tables are), so date filters prune files.
+* tables are partitioned (``plans/layout.py``): results by day and runs by
+  month, so that date filters prune files; silver by key ranges, so that a
+  later refresh (``plans/incremental.py``) rewrites only what changed.
 """
 
 from __future__ import annotations
@@ -24,44 +25,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalytics import config as C
+from qalytics.functions import ts_lit
+from qalytics.operators import conform, serving
 from qalytics.operators.conform import FACT_COLUMNS
+from qalytics.plans import layout as L
 from qalytics.plans.relations import Relations
 from qalytics.session import fresh_shared_path, path_exists
 from qalytics.sources.fixtures import Bronze
 
 BRONZE_TABLES = ("raw_projects", "raw_users", "raw_milestones", "raw_plans", "raw_runs", "raw_runs_dirty",
-                 "raw_cases", "raw_suites", "raw_tests", "raw_results", "raw_jira_issues", "sync_state")
+                 "raw_cases", "raw_suites", "raw_tests", "raw_results", "raw_jira_issues", "raw_statuses")
 SILVER_TABLES = ("dedup_runs", "dedup_plans", "dedup_milestones", "dedup_tests", "dedup_projects", "dedup_users",
-                 "dedup_cases", "dedup_suites", "stg_runs_wide", "fact_cycle",
+                 "dedup_cases", "dedup_suites", "stg_runs_wide", "fact_cycle", "run_test_counts", "result_texts",
                  # per-run defect statistics: both dashboard marts read them
                  "run_defects_priority", "run_defects_jira")
 GOLD_TABLES = ("kpi_monthly_performance", "kpi_by_plan", "kpi_uat_certification", "kpis_plan", "kpis_mes",
                "data_quality")
 MART_TABLES = ("dashboard_mart", "dashboard_pruebas", "workload_by_analyst", "project_analyst_demand",
                "jira_defects_summary", "project_summary")
-# (partition column, clustering column). The cycle fact is partitioned by
-# month — the gold KPIs' grouping key — rather than by day: day folders
-# hold a handful of rows each at small scales; row groups are clustered by
-# the start date so day-level predicates still skip by min/max statistics.
-PARTITIONS = {"raw_results": ("created_date", "created_on"), "fact_cycle": ("month_key", "eff_start_date")}
 COLUMN_ORDER = {"fact_cycle": FACT_COLUMNS}
-# Silver tables joined / grouped on run id by the mart build: written
-# bucketed by run id so those joins and aggregations need no shuffle.
-BUCKETS = {"dedup_tests": "run_id", "stg_runs_wide": "run_id"}
+# Result summaries are kept per load; a build joins those of all loads.
+ALL_LOADS = "load=all"
+DONE = {"result_texts": (ALL_LOADS,)}
 
 
 class LandedBronze(Bronze):
-    """Bronze tables read from their landed parquet folders."""
+    """Bronze tables read from their committed loads below ``root``."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, root: str, as_of: _dt.datetime = C.DEFAULT_AS_OF):
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str, as_of: _dt.datetime = C.DEFAULT_AS_OF,
+                 tokens: list[str] | None = None):
         super().__init__(spark, sf_dir, as_of)
         self.root = root
+        self.tokens = L.loads(spark, root) if tokens is None else tokens
+
+    def landed(self, name: str, tokens: list[str] | None = None) -> DataFrame:
+        """A table's rows of the given loads, with its partition columns."""
+        df = self.spark.read.parquet(os.path.join(self.root, "bronze", name))
+        return df.where(F.col("load").isin(self.tokens if tokens is None else tokens))
 
     def __getattribute__(self, name: str):
         if name in BRONZE_TABLES:
-            df = object.__getattribute__(self, "spark").read.parquet(
-                os.path.join(object.__getattribute__(self, "root"), "bronze", name))
-            return df.drop("created_date") if name == "raw_results" else df
+            return object.__getattribute__(self, "landed")(name).drop(*L.ADDED_COLUMNS)
+        if name == "sync_state":
+            state, epoch = L.state_at(self.spark, self.root)
+            if epoch >= 0:
+                return state
         return object.__getattribute__(self, name)
 
 
@@ -69,91 +77,85 @@ class MaterializedRelations(Relations):
     """Relations whose bronze, silver, gold and mart layers are read from a
     medallion build under ``root`` (whatever has been written)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, root: str, as_of: _dt.datetime = C.DEFAULT_AS_OF):
-        super().__init__(spark, sf_dir, as_of, bronze=LandedBronze(spark, sf_dir, root, as_of))
+    pinned = True
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str, as_of: _dt.datetime = C.DEFAULT_AS_OF,
+                 bronze_root: str | None = None, tokens: list[str] | None = None):
+        super().__init__(spark, sf_dir, as_of, bronze=LandedBronze(spark, sf_dir, bronze_root or root, as_of, tokens))
         self.root = root
         known = {"silver": SILVER_TABLES, "gold": GOLD_TABLES, "mart": MART_TABLES}
-        self._written = {layer: {n for n in names if path_exists(spark, os.path.join(root, layer, n, "_SUCCESS"))}
+        self._written = {layer: {n for n in names if path_exists(spark, os.path.join(root, layer, n, *DONE.get(n, ()), "_SUCCESS"))}
                          for layer, names in known.items()}
 
     @cached_property
     def stg_runs(self) -> DataFrame:
-        from qalytics.operators.conform import STG_COLUMNS
-        return self.stg_runs_wide.select(*STG_COLUMNS)
+        return self.stg_runs_wide.select(*conform.STG_COLUMNS)
 
     def __getattribute__(self, name: str):
         if not name.startswith("_") and name not in ("root", "spark", "sf_dir", "as_of", "bronze"):
             written = object.__getattribute__(self, "_written")
             for layer in ("silver", "gold", "mart"):
                 if name in written[layer]:
-                    spark = object.__getattribute__(self, "spark")
-                    root = object.__getattribute__(self, "root")
-                    table = bucketed_table(root, name)
-                    if name in BUCKETS and spark.catalog.tableExists(table):
-                        return spark.table(table)
-                    df = spark.read.parquet(os.path.join(root, layer, name))
+                    df = self.spark.read.parquet(os.path.join(self.root, layer, name))
                     # a partition column is read back last: restore the declared order
-                    return df.select(*COLUMN_ORDER[name]) if name in COLUMN_ORDER else df
+                    return df.select(*COLUMN_ORDER[name]) if name in COLUMN_ORDER else df.drop(*L.ADDED_COLUMNS)
         return object.__getattribute__(self, name)
 
     @cached_property
     def velocity_daily(self) -> DataFrame:
         # results are day-partitioned: the date predicate prunes whole folders
         start = self.as_of - _dt.timedelta(days=C.VELOCITY_WINDOW_DAYS)
-        r = self.spark.read.parquet(os.path.join(self.root, "bronze", "raw_results")).where(
-            F.col("created_date") >= F.lit(start.date()))
-        from qalytics.operators import serving
-        return serving.velocity_daily(r.drop("created_date"), self.as_of)
-
+        r = self.bronze.landed("raw_results").where(F.col("created_date") >= F.lit(start.date()))
+        return serving.velocity_daily(r.drop(*L.ADDED_COLUMNS), self.as_of)
 
-def bucketed_table(root: str, name: str) -> str:
-    """Catalog name of a bucketed layer table (one per build folder)."""
-    import zlib
 
-    return f"qalytics_{name}_{zlib.crc32(root.encode()):08x}"
+# ------------------------------------------------------------ landing
+def stamped(df: DataFrame, as_of: _dt.datetime) -> DataFrame:
+    """Rows with a load stamp (those that come with one keep it)."""
+    return df if "_extracted_at" in df.columns else df.withColumn("_extracted_at", ts_lit(as_of))
 
 
-def _write_bucketed(df: DataFrame, path: str, table: str, column: str, buckets: int) -> None:
-    """Bucketed, sorted write registered as an external catalog table (the
-    catalog keeps the bucket spec; the files live at ``path``)."""
-    (df.write.mode("overwrite").bucketBy(buckets, column).sortBy(column)
-       .option("path", path).saveAsTable(table))
+def land(spark: SparkSession, root: str, tables: dict[str, DataFrame], as_of: _dt.datetime, load: str,
+         spans: dict[str, int] = L.KEY_SPANS) -> dict[str, int]:
+    """Write one load of bronze tables and its audit rows (rows per entity,
+    counted by the writes themselves). Nothing sees it until it is committed."""
+    by = L.splits(spans)
+    counts = {}
+    for name, df in tables.items():
+        counts[name] = L.write(stamped(df, as_of), os.path.join(root, "bronze", name, f"load={load}"), by.get(name), count=True)
+    audit = [(name.removeprefix("raw_"), as_of, n) for name, n in counts.items()]
+    (spark.createDataFrame(audit, "entity string, landed_at timestamp_ntz, rows long").coalesce(1)
+     .write.mode("overwrite").parquet(os.path.join(root, "audit", f"load={load}")))
+    return counts
 
 
-def _write(df: DataFrame, path: str, partition: tuple[str, str] | None = None) -> None:
-    """Write a layer table. Partitioned tables are first range-partitioned on
-    their clustering column: each task writes a contiguous span (a few
-    folders, one file each) and a dominant month or day is split across
-    tasks by the range sampler instead of landing in one task."""
-    if partition:
-        col, cluster = partition
-        df = df.repartitionByRange(cluster).sortWithinPartitions(cluster)
-        df.write.mode("overwrite").partitionBy(col).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+def audit(spark: SparkSession, root: str) -> DataFrame:
+    """Rows landed per committed load and entity."""
+    df = spark.read.schema("entity string, landed_at timestamp_ntz, rows long, load string").parquet(os.path.join(root, "audit"))
+    return df.where(F.col("load").isin(L.loads(spark, root)))
 
 
-def land_bronze(rel: Relations, root: str) -> None:
-    for name in BRONZE_TABLES:
-        df = getattr(rel.bronze, name)
-        if name == "raw_results":
-            df = df.withColumn("created_date", F.to_date("created_on"))
-        _write(df, os.path.join(root, "bronze", name), PARTITIONS.get(name))
+def land_bronze(rel: Relations, root: str, load: str | None = None, spans: dict[str, int] = L.KEY_SPANS) -> None:
+    """The first load: all bronze tables and the sync state that goes with them."""
+    load = load or L.new_load()
+    land(rel.spark, root, {name: getattr(rel.bronze, name) for name in BRONZE_TABLES}, rel.as_of, load, spans)
+    L.commit(rel.spark, root, 0, rel.bronze.sync_state, load)
 
 
-def build_layer(rel: Relations, root: str, layer: str, names: tuple[str, ...], timings: dict | None = None) -> None:
+# ------------------------------------------------------------ layers
+def build_layer(rel: Relations, root: str, layer: str, names: tuple[str, ...], timings: dict | None = None,
+                spans: dict[str, int] = L.KEY_SPANS) -> None:
     """Write ``names`` in order; each written table is read back by the
     tables after it (the project summary reads the written mart)."""
     import time
 
-    buckets = max(8, int(rel.spark.conf.get("spark.sql.shuffle.partitions")))
+    by = L.splits(spans)
+    if isinstance(rel, MaterializedRelations):
+        rel._written[layer].difference_update(names)  # noqa: SLF001  (an older version is not their source)
     for name in names:
         t0 = time.perf_counter()
         path = os.path.join(root, layer, name)
-        if name in BUCKETS:
-            _write_bucketed(getattr(rel, name), path, bucketed_table(root, name), BUCKETS[name], buckets)
-        else:
-            _write(getattr(rel, name), path, PARTITIONS.get(name))
+        L.write(getattr(rel, name), os.path.join(path, *DONE.get(name, ())), by.get(name))
         if isinstance(rel, MaterializedRelations):
             rel._written[layer].add(name)  # noqa: SLF001
         if timings is not None:
@@ -170,8 +172,39 @@ def quality_gate(rel: Relations) -> dict[str, int]:
     return {r["check_name"]: r["failures"] for r in rel.data_quality.where("failures > 0").collect()}
 
 
+def build(spark: SparkSession, sf_dir: str, root: str, as_of: _dt.datetime = C.DEFAULT_AS_OF, timings: dict | None = None,
+          strict_quality: bool = False, spans: dict[str, int] = L.KEY_SPANS, bronze_root: str | None = None) -> MaterializedRelations:
+    """Write silver, gold and marts from the committed loads."""
+    import time
+
+    def relations() -> MaterializedRelations:
+        return MaterializedRelations(spark, sf_dir, root, as_of, bronze_root)
+
+    last = L.epochs(spark, bronze_root or root)[-1]
+    for step, layer, names in (("silver_build", "silver", SILVER_TABLES), ("gold_build", "gold", GOLD_TABLES),
+                               ("mart_build", "mart", MART_TABLES)):
+        t0 = time.perf_counter()
+        build_layer(relations(), root, layer, names, spans=spans)
+        if timings is not None:
+            timings[step] = round(time.perf_counter() - t0, 3)
+        if strict_quality and layer == "gold":
+            failing = quality_gate(relations())
+            if failing:
+                raise QualityGateError(f"data-quality checks failed: {failing}")
+    mark_refreshed(spark, root, last, as_of, spans)
+    return relations()
+
+
+def mark_refreshed(spark: SparkSession, root: str, epoch: int, as_of: _dt.datetime, spans: dict[str, int]) -> None:
+    """Note that the layers contain ``epoch``, with the settings they have."""
+    row = [(as_of, list(spans), list(spans.values()))]
+    (spark.createDataFrame(row, "as_of timestamp_ntz, tables array<string>, spans array<long>").coalesce(1)
+     .write.mode("overwrite").parquet(os.path.join(root, "refreshed", f"epoch={epoch}")))
+
+
 def refresh(spark: SparkSession, sf_dir: str, root: str | None = None, as_of: _dt.datetime = C.DEFAULT_AS_OF,
-            timings: dict | None = None, strict_quality: bool = False) -> MaterializedRelations:
+            timings: dict | None = None, strict_quality: bool = False,
+            spans: dict[str, int] = L.KEY_SPANS) -> MaterializedRelations:
     """Run the whole build; returns relations that read the written layers.
     ``timings`` (if given) receives the seconds spent per layer. With
     ``strict_quality`` the build stops after the gold layer when a
@@ -179,19 +212,8 @@ def refresh(spark: SparkSession, sf_dir: str, root: str | None = None, as_of: _d
     import time
 
     root = root or fresh_shared_path(spark, "medallion")
-    steps = (
-        ("bronze_land", lambda: land_bronze(Relations(spark, sf_dir, as_of), root)),
-        ("silver_build", lambda: build_layer(MaterializedRelations(spark, sf_dir, root, as_of), root, "silver", SILVER_TABLES)),
-        ("gold_build", lambda: build_layer(MaterializedRelations(spark, sf_dir, root, as_of), root, "gold", GOLD_TABLES)),
-        ("mart_build", lambda: build_layer(MaterializedRelations(spark, sf_dir, root, as_of), root, "mart", MART_TABLES)),
-    )
-    for name, step in steps:
-        t0 = time.perf_counter()
-        step()
-        if timings is not None:
-            timings[name] = round(time.perf_counter() - t0, 3)
-        if strict_quality and name == "gold_build":
-            failing = quality_gate(MaterializedRelations(spark, sf_dir, root, as_of))
-            if failing:
-                raise QualityGateError(f"data-quality checks failed: {failing}")
-    return MaterializedRelations(spark, sf_dir, root, as_of)
+    t0 = time.perf_counter()
+    land_bronze(Relations(spark, sf_dir, as_of), root, spans=spans)
+    if timings is not None:
+        timings["bronze_land"] = round(time.perf_counter() - t0, 3)
+    return build(spark, sf_dir, root, as_of, timings, strict_quality, spans)

@@ -32,38 +32,45 @@ class Relations:
             return getattr(self.bronze, name)
         raise AttributeError(name)
 
+    # written layers break ties between equal stamps by the whole row; lazy
+    # queries leave them open, so that unread columns stay unread
+    pinned = False
+
+    def _newest(self, raw: DataFrame, order: tuple[str, ...] = ("_extracted_at",)) -> DataFrame:
+        return conform.dedup_latest(raw, order=order, pinned=self.pinned)
+
     # ---------------------------------------------------------- silver
     @cached_property
     def dedup_runs(self) -> DataFrame:
-        return conform.dedup_latest(self.bronze.raw_runs)
+        return self._newest(self.bronze.raw_runs)
 
     @cached_property
     def dedup_plans(self) -> DataFrame:
-        return conform.dedup_latest(self.bronze.raw_plans)
+        return self._newest(self.bronze.raw_plans)
 
     @cached_property
     def dedup_milestones(self) -> DataFrame:
-        return conform.dedup_latest(self.bronze.raw_milestones)
+        return self._newest(self.bronze.raw_milestones)
 
     @cached_property
     def dedup_tests(self) -> DataFrame:
-        return conform.dedup_latest(self.bronze.raw_tests, order=("_extracted_at", "_tiebreak"))
+        return self._newest(self.bronze.raw_tests, ("_extracted_at", "_tiebreak"))
 
     @cached_property
     def dedup_projects(self) -> DataFrame:
-        return conform.dedup_latest(self.bronze.raw_projects)
+        return self._newest(self.bronze.raw_projects)
 
     @cached_property
     def dedup_users(self) -> DataFrame:
-        return conform.dedup_latest(self.bronze.raw_users)
+        return self._newest(self.bronze.raw_users)
 
     @cached_property
     def dedup_cases(self) -> DataFrame:
-        return conform.dedup_latest(self.bronze.raw_cases)
+        return self._newest(self.bronze.raw_cases)
 
     @cached_property
     def dedup_suites(self) -> DataFrame:
-        return conform.dedup_latest(self.bronze.raw_suites)
+        return self._newest(self.bronze.raw_suites)
 
     @cached_property
     def plan_max_dates(self) -> DataFrame:
@@ -77,6 +84,14 @@ class Relations:
     def fact_cycle(self) -> DataFrame:
         return conform.fact_cycle(self.bronze.raw_runs, self.bronze.raw_plans)
 
+    @cached_property
+    def run_test_counts(self) -> DataFrame:
+        return conform.run_test_counts(self.dedup_tests)
+
+    @cached_property
+    def result_texts(self) -> DataFrame:
+        return conform.result_texts(self.bronze.raw_results)
+
     @cached_property
     def defect_keys(self) -> DataFrame:
         return conform.defect_keys(self.bronze.raw_results)
@@ -105,7 +120,12 @@ class Relations:
     # ---------------------------------------------------------- quality
     @cached_property
     def data_quality(self) -> DataFrame:
-        return quality.data_quality(self.bronze.raw_runs_dirty, self.as_of)
+        return quality.data_quality(self.bronze.raw_runs_dirty, self.dirty_fact, self.as_of)
+
+    @cached_property
+    def dirty_fact(self) -> DataFrame:
+        """The cycle fact of the runs that the checks look at."""
+        return conform.fact_cycle(self.bronze.raw_runs_dirty, self.bronze.raw_plans)
 
     # ---------------------------------------------------------- marts
     @cached_property
@@ -114,25 +134,25 @@ class Relations:
 
     @cached_property
     def run_defects_priority(self) -> DataFrame:
-        return marts.run_defects_priority(self.bronze.raw_results, self.dedup_tests, self.bronze.raw_cases)
+        return marts.run_defects_priority(self.result_texts, self.dedup_tests, self.bronze.raw_cases)
 
     @cached_property
     def run_defects_jira(self) -> DataFrame:
-        return marts.run_defects_jira(self.bronze.raw_results, self.dedup_tests, self.bronze.raw_jira_issues, self.as_of)
+        return marts.run_defects_jira(self.result_texts, self.dedup_tests, self.bronze.raw_jira_issues, self.as_of)
 
     @cached_property
     def run_stats(self) -> DataFrame:
-        return marts.run_stats(self.stg_runs, self.dedup_tests, self.run_defects_priority, self.run_defects_jira)
+        return marts.run_stats(self.stg_runs, self.run_test_counts, self.run_defects_priority, self.run_defects_jira)
 
     @cached_property
     def run_stats_exact(self) -> DataFrame:
-        return marts.run_stats(self.stg_runs, self.dedup_tests, self.run_defects_priority, self.run_defects_jira,
+        return marts.run_stats(self.stg_runs, self.run_test_counts, self.run_defects_priority, self.run_defects_jira,
                                exact=True)
 
     @cached_property
     def plan_aggs(self) -> DataFrame:
         wide = self.stg_runs_wide
-        run_level = marts.run_stats(wide, self.dedup_tests, self.run_defects_priority, self.run_defects_jira,
+        run_level = marts.run_stats(wide, self.run_test_counts, self.run_defects_priority, self.run_defects_jira,
                                     keep=tuple(wide.columns))
         return marts.plan_aggs(run_level, self.dedup_projects, self.bronze.raw_users)
 
@@ -143,12 +163,12 @@ class Relations:
     @cached_property
     def run_stats_priority(self) -> DataFrame:
         stg = self.stg_runs.where(F.col("project_id").isin(*marts.VALIDATION_PROJECTS))
-        return marts.run_stats(stg, self.dedup_tests, self.run_defects_priority, None, priority_breakdown=True)
+        return marts.run_stats(stg, self.run_test_counts, self.run_defects_priority, None, priority_breakdown=True)
 
     @cached_property
     def pruebas_plan_aggs(self) -> DataFrame:
         wide = self.stg_runs_wide.where(F.col("project_id").isin(*marts.VALIDATION_PROJECTS))
-        run_level = marts.run_stats(wide, self.dedup_tests, self.run_defects_priority, None,
+        run_level = marts.run_stats(wide, self.run_test_counts, self.run_defects_priority, None,
                                     priority_breakdown=True, keep=tuple(wide.columns))
         return marts.pruebas_plan_aggs(run_level, self.bronze.raw_users)
 
@@ -179,16 +199,16 @@ class Relations:
 
     @cached_property
     def workload_by_analyst(self) -> DataFrame:
-        return marts.workload_by_analyst(self.dedup_tests, self.dedup_runs, self.dedup_projects, self.bronze.raw_users)
+        return marts.workload_by_analyst(self.run_test_counts, self.dedup_runs, self.dedup_projects, self.bronze.raw_users)
 
     @cached_property
     def project_analyst_demand(self) -> DataFrame:
-        return marts.project_analyst_demand(self.dedup_tests, self.dedup_runs, self.dedup_projects,
+        return marts.project_analyst_demand(self.run_test_counts, self.dedup_runs, self.dedup_projects,
                                             self.bronze.raw_users)
 
     @cached_property
     def linked_info(self) -> DataFrame:
-        return marts.linked_info(self.bronze.raw_results, self.dedup_tests, self.stg_runs, self.bronze.raw_projects)
+        return marts.linked_info(self.result_texts, self.dedup_tests, self.stg_runs, self.bronze.raw_projects)
 
     @cached_property
     def jira_defects_summary(self) -> DataFrame:
@@ -316,7 +336,24 @@ class Relations:
 
     @cached_property
     def explode_plan_entries(self) -> DataFrame:
-        return ingest.explode_plan_entries(self.landed.plan_docs)
+        return ingest.bronze_append(ingest.explode_plan_entries(self.landed.plan_docs), "raw_runs", self.as_of)
+
+    @cached_property
+    def plan_documents(self) -> DataFrame:
+        plans = ingest.bronze_append(ingest.document_records(self.landed.plan_docs, "raw_plans"), "raw_plans", self.as_of)
+        return plans.withColumn("entries", F.json_array_length("entries"))
+
+    @cached_property
+    def milestone_documents(self) -> DataFrame:
+        return ingest.bronze_append(ingest.document_records(self.landed.milestone_docs, "raw_milestones"), "raw_milestones", self.as_of)
+
+    @cached_property
+    def cases_from_pages(self) -> DataFrame:
+        return ingest.cases_from_pages(self.landed.case_pages).select("id", "project_id", "suite_id", "priority_id", "is_deleted")
+
+    @cached_property
+    def skipped_pages(self) -> DataFrame:
+        return ingest.skipped_pages(self.landed.case_pages).select("project_id", "suite_id", "page", "reason")
 
     @cached_property
     def stamp_parent(self) -> DataFrame:
@@ -395,11 +432,15 @@ class Relations:
 
     @cached_property
     def snapshot_load_suites(self) -> DataFrame:
-        return self._snapshot("raw_suites", self.bronze.raw_suites.drop("_extracted_at"))
+        # upstream, brands got a new name and suite 11 was deleted
+        p = self.bronze.table("part")
+        suite = F.substr(F.col("p_brand"), F.lit(7)).cast("long")
+        pulled = p.where(suite != 11).select(suite.alias("id"), (suite % 25).alias("project_id"), F.upper("p_brand").alias("name"))
+        return self._snapshot("raw_suites", pulled.distinct())
 
     @cached_property
     def snapshot_load_milestones(self) -> DataFrame:
-        return self._snapshot("raw_milestones", self.bronze.raw_milestones.drop("_extracted_at"))
+        return self._snapshot("raw_milestones", ingest.document_records(self.landed.milestone_docs, "raw_milestones"))
 
     @cached_property
     def ingest_counts(self) -> DataFrame:

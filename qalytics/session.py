@@ -79,3 +79,39 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm  # noqa: SLF001
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)  # noqa: SLF001
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+
+
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder to a name that must not exist yet: False if it does.
+    One atomic step on HDFS, so of several writers one gets the name."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    src, fs = _fs(spark, source)
+    dst, _ = _fs(spark, target)
+    fs.mkdirs(dst.getParent())
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        src.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)  # noqa: SLF001
+    none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        files.rename(fs.makeQualified(src), fs.makeQualified(dst), none)
+    except Exception as ex:  # py4j wraps the Java exception
+        if path_exists(spark, target):
+            return False
+        raise RuntimeError(f"could not rename {source}") from ex
+    return True
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path`` (none if it does not exist)."""
+    p, fs = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()) if fs.exists(p) else []

@@ -120,9 +120,11 @@ class Bronze:
 
     @cached_property
     def raw_statuses(self) -> DataFrame:
-        names = [(C.STATUS_PASSED, "passed"), (C.STATUS_BLOCKED, "blocked"), (C.STATUS_UNTESTED, "untested"),
-                 (C.STATUS_RETEST, "retest"), (C.STATUS_FAILED, "failed"), (C.STATUS_IN_PROCESS, "in process")]
-        return self.spark.createDataFrame(names, "id long, name string")
+        """The statuses that tests have, by name."""
+        names = {C.STATUS_PASSED: "passed", C.STATUS_BLOCKED: "blocked", C.STATUS_UNTESTED: "untested",
+                 C.STATUS_RETEST: "retest", C.STATUS_FAILED: "failed", C.STATUS_IN_PROCESS: "in process"}
+        named = F.coalesce(*[F.when(F.col("status_id") == k, F.lit(v)) for k, v in names.items()])
+        return self.raw_tests.select(F.col("status_id").alias("id"), named.alias("name")).distinct()
 
     # ------------------------------------------------------------ facts
     @cached_property
@@ -187,7 +189,7 @@ class Bronze:
             F.when(F.col("id") % 700 == 5, ts_lit("2030-01-01 00:00:00")).otherwise(F.col("created_on")).alias("created_on"),
             "completed_on",
             F.when(F.col("id") % 500 == 3, F.lit(-1).cast("long")).otherwise(F.col("passed_count")).alias("passed_count"),
-            "failed_count",
+            "failed_count", "plan_id", "name", "blocked_count", "retest_count", "untested_count",
         )
 
     @cached_property

@@ -41,6 +41,54 @@ def test_explode_plan_entries_skips_empty_entries(spark):
     assert got == [(1, 9, 4, T(1970, 1, 1)), (2, 9, 4, None)]
 
 
+def test_nested_runs_keep_every_declared_column(spark):
+    run = ('{"id":1,"suite_id":4,"milestone_id":"7","name":"a","description":"d","config":"c","is_completed":true,"completed_on":"2024-01-05 10:00:00",'
+           '"passed_count":1,"blocked_count":2,"untested_count":3,"retest_count":4,"failed_count":5,"custom_status_count":{"b":1,"a":[2]},'
+           '"created_on":60,"created_by":9,"url":"u","updated_on":null,"assignedto_id":8,"refs":"dropped","name2":1}')
+    docs = [(4, '{"id":9,"entries":[{"runs":[%s,{"id":2}]},{"runs":"none"},7,{"runs":[{"id":3}]}]}' % run), (5, "not json"), (5, None),
+            (5, '{"id":1,"entries":{}}')]
+    got = ingest.bronze_append(ingest.explode_plan_entries(spark.createDataFrame(docs, "project_id long, doc string")), "raw_runs", AS_OF)
+    assert got.columns == [f.name for f in S.RAW_RUNS]
+    first, second, third = sorted(got.collect(), key=lambda r: r["id"])
+    assert tuple(first) == (1, 4, 7, 9, 4, "a", "d", "c", True, T(2024, 1, 5, 10), 1, 2, 3, 4, 5, '{"a":[2],"b":1}', T(1970, 1, 1, 0, 1), 9, "u",
+                            None, 8, AS_OF, "testrail")
+    assert (second["id"], second["plan_id"], second["name"], third["id"]) == (2, 9, None, 3)
+
+
+def test_document_records_gather_custom_fields(spark):
+    docs = [(3, '{"id":1,"name":"p","entries":[{"runs":[{"id":5}]}],"custom_a":{"x":1},"custom_b":null,"created_on":60,"other":2}'), (3, '{"id":2}'), (3, "[1]"), (3, None)]
+    got = ingest.document_records(spark.createDataFrame(docs, "project_id long, doc string"), "raw_plans")
+    assert rows(got, "id", "project_id", "name", "entries", "custom_fields", "created_on") == [
+        (1, 3, "p", '[{"runs":[{"id":5}]}]', '{"custom_a":{"x":1},"custom_b":null}', T(1970, 1, 1, 0, 1)), (2, 3, None, None, None, None)]
+
+
+def test_broken_pages_cost_their_own_cases_only(spark):
+    good = '{"cases":[{"id":%d,"suite_id":6,"priority_id":2},{"id":%d}]}'
+    pages = [(1, 10, good % (1, 2)), (1, 11, good % (3, 4) + "x"), (2, None, good % (5, 6)), (3, None, '{"error":"denied"}'), (4, None, None),
+             (5, None, '{"cases":[]}'), (6, 12, (good % (7, 8))[:-3])]
+    df = spark.createDataFrame(pages, "project_id long, suite_id long, body string")
+    kept = rows(ingest.cases_from_pages(df), "id", "project_id", "suite_id", "priority_id")
+    # a multi-suite fetch stamps its suite, others leave the case's own
+    assert [k for k in kept if k[0] not in (3, 4)] == [(1, 1, 10, 2), (2, 1, 10, None), (5, 2, 6, 2), (6, 2, None, None)]
+    skipped = {(r["project_id"], r["reason"]) for r in ingest.skipped_pages(df).collect()}
+    assert {(3, "no list of cases"), (4, "no response"), (6, "not a page of cases")} <= skipped and (5, "no list of cases") not in skipped
+    # every page is either read or listed
+    assert ({k[1] for k in kept} | {p for p, _ in skipped} | {5}) == {1, 2, 3, 4, 5, 6}
+
+
+def test_falsy_scopes_count_as_none(spark):
+    state = spark.createDataFrame([("runs", "1", 100, T(2024, 1, 1), "SUCCESS"), ("runs", "2", 300, T(2024, 1, 1), "SUCCESS"),
+                                   ("runs", "0", 5, T(2024, 1, 1), "SUCCESS")], S.SYNC_STATE)
+    numbers = spark.createDataFrame([(0,), (1,), (None,), (9,)], "p long")
+    assert rows(ingest.watermark_read(state, "runs", numbers, "p")) == [(None, 300), ("0", 300), ("1", 100), ("9", 0)]
+    names = spark.createDataFrame([("0",), ("",)], "p string")
+    assert rows(ingest.watermark_read(state, "runs", names, "p")) == [("", 300), ("0", 5)]
+    src = spark.createDataFrame([(0, T(1970, 1, 1, 0, 4)), (0, T(1970, 1, 1, 0, 6))], "project_id long, created_on timestamp_ntz")
+    ext = ingest.incremental_extract(src, state, "runs")
+    assert rows(ext) == [(0, T(1970, 1, 1, 0, 6))]
+    assert rows(ingest.watermark_advance(ext, state, "runs", AS_OF), "scope_id", "last_updated_at_watermark") == [(None, 360)]
+
+
 def test_watermark_is_monotone_and_merge_is_null_safe(spark):
     state = spark.createDataFrame([("runs", "1", 100, T(2024, 1, 1), "SUCCESS"), ("jira", None, 50, T(2024, 1, 1), "SUCCESS")],
                                   S.SYNC_STATE)
@@ -77,6 +125,7 @@ def test_cases_by_suite_mode_and_stamp_parent(spark):
     got = rows(ingest.cases_by_suite_mode(cases, suites, projects), "id", "project_id", "suite_id", "suite_mode")
     # project 3 is unknown: its cases are skipped; a missing mode counts as 1; suite 99 has no project
     assert got == [(1, 1, 10, 3), (2, 2, 20, 1)]
+    assert rows(ingest.unplaced_cases(cases, suites, projects), "id", "reason") == [(3, "unknown project"), (4, "unknown suite")]
     # a child without a parent stays
     stamped = rows(ingest.stamp_parent(cases, suites, "suite_id"), "id", "project_id")
     assert stamped == [(1, 1), (2, 2), (3, 3), (4, None)]

@@ -58,9 +58,10 @@ def test_hot_run_and_hot_test(skewed):
 
     dedup = conform.dedup_latest(raw_tests, order=("_extracted_at", "_tiebreak"))
     assert dedup.count() == n
-    rdp = marts.run_defects_priority(results, dedup, cases)
-    rdj = marts.run_defects_jira(results, dedup, issues, AS_OF)
-    got = marts.run_stats(stg, dedup, rdp, rdj)
+    texts = conform.result_texts(results)
+    rdp = marts.run_defects_priority(texts, dedup, cases)
+    rdj = marts.run_defects_jira(texts, dedup, issues, AS_OF)
+    got = marts.run_stats(stg, conform.run_test_counts(dedup.withColumn("assignedto_id", F.col("id") % 9)), rdp, rdj)
 
     for name, df in (("stg", stg), ("t", dedup), ("rdp", rdp), ("rdj", rdj)):
         df.createOrReplaceTempView(f"sk_{name}")

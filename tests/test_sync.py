@@ -5,6 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from qalytics.plans import layout, sync
 from qalytics.plans.sync import latest_state, sync_entity
 from qalytics.session import fresh_shared_path
 
@@ -29,5 +30,29 @@ def test_incremental_sync_round_trip(spark):
     state, _ = latest_state(spark, root)
     wm = dict((r["scope_id"], r["last_updated_at_watermark"]) for r in state.collect())
     assert wm == {"4": 200, "8": 300}
-    bronze = spark.read.parquet(f"{root}/bronze/raw_runs")
+    bronze = sync.bronze(spark, root, "raw_runs")
     assert bronze.count() == 4 and bronze.where(F.col("id") == 1).count() == 2
+
+
+def test_two_syncs_from_one_epoch_cannot_both_win(spark, monkeypatch):
+    root = fresh_shared_path(spark, "sync-race")
+    sync_entity(spark, _runs(spark, [(1, 4, "a", 100, 150)]), "runs", "raw_runs", root, T(2024, 1, 1))
+    commit = layout.commit
+    raced = []
+
+    def slower(spark_, root_, epoch, state, load):
+        if not raced:  # another sync commits between this one's read and its commit
+            raced.append(epoch)
+            monkeypatch.setattr(layout, "commit", commit)
+            other = _runs(spark, [(2, 4, "b", 160, 160), (3, 8, "c", 10, 10)])
+            assert sync_entity(spark, other, "runs", "raw_runs", root, T(2024, 1, 2))["epoch"] == 1
+        commit(spark_, root_, epoch, state, load)
+
+    monkeypatch.setattr(layout, "commit", slower)
+    mine = _runs(spark, [(2, 4, "b", 160, 160), (4, 4, "d", 170, 170)])
+    report = sync_entity(spark, mine, "runs", "raw_runs", root, T(2024, 1, 3))
+    # the loser starts again from the state that won: run 2 is not landed twice
+    assert raced == [1] and report == {"status": "success", "count": 1, "epoch": 2}
+    assert sorted(r["id"] for r in sync.bronze(spark, root, "raw_runs").collect()) == [1, 2, 3, 4]
+    state, _ = latest_state(spark, root)
+    assert {r["scope_id"]: r["last_updated_at_watermark"] for r in state.collect()} == {"4": 170, "8": 10}
