@@ -18,6 +18,7 @@ import os
 import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,9 +98,8 @@ def overwrite_parts(spark: SparkSession, make, path: str, split: Split, parts: l
     there and only repeats the overwrite. Partitions left without rows go."""
     if not path_exists(spark, os.path.join(aside, "_SUCCESS")):
         write(make(), aside, split)
-    new = spark.read.parquet(aside)
     if folder_names(spark, aside):
-        (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(split.column).parquet(path))
+        (spark.read.parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(split.column).parquet(path))
     kept = set(folder_names(spark, aside))
     for p in parts:
         folder = f"{split.column}={NULL_PARTITION if p is None else p}"
@@ -107,6 +107,17 @@ def overwrite_parts(spark: SparkSession, make, path: str, split: Split, parts: l
             remove_path(spark, os.path.join(path, folder))
 
 
+def read(spark: SparkSession, path: str, empty) -> DataFrame:
+    """A written table. A partitioned table without any row has no file that
+    tells its columns: then ``empty()`` gives them."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as ex:
+        if ex.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return empty().where(F.lit(False))
+
+
 # ------------------------------------------------------------ commits
 class StateConflict(RuntimeError):
     """Another writer committed the epoch first."""

@@ -60,7 +60,12 @@ class LandedBronze(Bronze):
 
     def landed(self, name: str, tokens: list[str] | None = None) -> DataFrame:
         """A table's rows of the given loads, with its partition columns."""
-        df = self.spark.read.parquet(os.path.join(self.root, "bronze", name))
+        def empty() -> DataFrame:
+            df = stamped(object.__getattribute__(self, name), self.as_of).withColumn("load", F.lit(None).cast("string"))
+            split = L.splits(L.KEY_SPANS).get(name)
+            return df.withColumn(split.column, F.expr(split.value)) if split else df
+
+        df = L.read(self.spark, os.path.join(self.root, "bronze", name), empty)
         return df.where(F.col("load").isin(self.tokens if tokens is None else tokens))
 
     def __getattribute__(self, name: str):
@@ -96,7 +101,8 @@ class MaterializedRelations(Relations):
             written = object.__getattribute__(self, "_written")
             for layer in ("silver", "gold", "mart"):
                 if name in written[layer]:
-                    df = self.spark.read.parquet(os.path.join(self.root, layer, name))
+                    path = os.path.join(self.root, layer, name)
+                    df = L.read(self.spark, path, lambda: object.__getattribute__(self, name))
                     # a partition column is read back last: restore the declared order
                     return df.select(*COLUMN_ORDER[name]) if name in COLUMN_ORDER else df.drop(*L.ADDED_COLUMNS)
         return object.__getattribute__(self, name)
