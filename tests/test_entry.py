@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF0001
 
-ROWS_ONLY = {"issue_microbatch"}
+ROWS_ONLY: set[str] = set()
 
 
 def test_entry_runs(spark):
