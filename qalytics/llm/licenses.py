@@ -4,7 +4,9 @@ Method. A text becomes its words (A-Z lower-cased, runs of letters, digits and
 non-ASCII characters) joined by single spaces. Signature rules are regular
 expressions over that form, each with a priority and a keyword; a rule runs
 only on texts that hold its keyword. Detections are word intervals; taken by
-priority, then length, one that lies inside a kept one is suppressed.
+priority, then length, one that lies inside a kept one is suppressed. Both the
+suppression (a tree of the farthest ends by start) and the word numbers (a
+search among the blanks) take n log n steps, so long texts are no special case.
 Three plain phrases are the base: all their places are counted and their labels
 always stay.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +116,30 @@ def rules() -> list[Rule]:
     return sorted(made, key=lambda r: (-r.priority, r.label, r.pattern.pattern))
 
 
+def outermost(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """The (start, end, label, priority) that stay: in order of priority, then
+    length, then start and label, one goes if it lies inside an earlier one
+    (whether that stays does not matter: what holds it then holds both). A
+    Fenwick tree over the starts tells the farthest end of those not after."""
+    starts = sorted({d[0] for d in found})
+    place = {s: i + 1 for i, s in enumerate(starts)}
+    farthest = [0] * (len(starts) + 1)
+    kept = []
+    for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
+        i, end = place[d[0]], 0
+        while i:
+            end = max(end, farthest[i])
+            i &= i - 1
+        if end >= d[1]:
+            continue
+        kept.append(d)
+        i = place[d[0]]
+        while i < len(farthest):
+            farthest[i] = max(farthest[i], d[1])
+            i += i & -i
+    return sorted(kept)
+
+
 class Scanner:
     """Detections of one normalised text."""
 
@@ -128,9 +155,18 @@ class Scanner:
         for phrase, label in self.phrases:
             at = text.find(phrase)
             while at >= 0:
-                out.append((text.count(b" ", 0, at), label))
+                out.append((at, label))
                 at = text.find(phrase, at + 1)
-        return out
+        words = self.words(text, [at for at, _ in out])
+        return [(w, label) for w, (_, label) in zip(words, out)]
+
+    @staticmethod
+    def words(text: bytes, places: list[int]) -> list[int]:
+        """For each place, the blanks of ``text`` before it: a word's number."""
+        if not places:
+            return []
+        blanks = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 0x20)
+        return np.searchsorted(blanks, places).tolist()
 
     def detections(self, text: bytes) -> list[tuple[int, int, str, int]]:
         """(first word, end word, label, priority), overlaps resolved."""
@@ -144,15 +180,9 @@ class Scanner:
                     present[r.keyword] = any(k in text for k in r.keyword)
                 if present[r.keyword]:
                     found += [(m.start(), m.end(), r.label, r.priority) for m in r.pattern.finditer(text)]
-        if not found:
-            return []
-        found.sort(key=lambda d: (-d[3], d[0] - d[1], d[0], d[2]))
-        kept: list[tuple[int, int, str, int]] = []
-        for d in found:
-            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
-                kept.append(d)
-        kept.sort()
-        return [(text.count(b" ", 0, s), text.count(b" ", 0, e), label, p) for s, e, label, p in kept]
+        kept = outermost(found)
+        words = self.words(text, [at for s, e, *_ in kept for at in (s, e)])
+        return [(first, end, label, p) for first, end, (_, _, label, p) in zip(words[::2], words[1::2], kept)]
 
 
 RESULT = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
