@@ -97,7 +97,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, candidates: int
 
     def usable(df: DataFrame) -> DataFrame:
         v = F.transform("embedding", lambda x: x.cast("double"))
-        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 1")
+        df = df.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
         finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return df.where(finite).where(F.exists("v", lambda x: x != 0))
 
