@@ -174,9 +174,22 @@ def _schedule(spark, sources: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as many times as the mix takes it (0 to
-    ``most_epochs``)."""
-    plan = mix(docs, **options).where("times > 0").groupBy("doc_id", "__shuffle").agg(
-        F.max("times").alias("__times")).select(F.col("doc_id").alias("__id"), F.col("__shuffle").alias("__key"), "__times")
+    ``most_epochs``).
+
+    Rows of one id, text and source can't be told apart by the plan: together
+    they come as often as the plan takes all of them, each the whole share, and
+    what a division leaves from the one whose columns hash lowest."""
+    plan = mix(docs, **options).groupBy("doc_id", "__shuffle", "source").agg(
+        F.sum("times").alias("__times"), F.count(F.lit(1)).alias("__copies")).where("__times > 0").select(
+        F.col("doc_id").alias("__id"), F.col("__shuffle").alias("__key"), F.col("source").alias("__source"),
+        F.floor(F.col("__times") / F.col("__copies")).alias("__each"), (F.col("__times") % F.col("__copies")).alias("__left"))
     rows = docs.withColumn("__key0", F.xxhash64("doc_id", "text"))
-    joined = rows.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key0") == F.col("__key")))
-    return joined.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[rows[c] for c in docs.columns])
+    joined = rows.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key0") == F.col("__key"))
+                       & F.col("source").eqNullSafe(F.col("__source")))
+    hashed = [rows[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    whole = joined.where("__each > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__each")))).select(*[rows[c] for c in docs.columns])
+    # the same join again: its shuffle of the texts is reused
+    rest = (joined.where("__left > 0").groupBy("__id", "__key", "__source")
+            .agg(F.min_by(F.struct(*[rows[c] for c in docs.columns]), F.xxhash64(*hashed)).alias("__row"), F.first("__left").alias("__left"))
+            .select("__row", F.explode(F.sequence(F.lit(1), F.col("__left"))).alias("__again")).select("__row.*"))
+    return whole.union(rest)
