@@ -2,22 +2,30 @@
 
 Method. Text likelihoods come from a naive Bayes model over hashed letter
 trigrams, counted by grouped aggregation over all rows that declare a language.
-They are combined with the declared markup language, the address suffix (a
+Every declared language is modelled, however few rows declare it: its counts
+are shrunk towards half the trigrams of all rows and half a uniform share, so a
+rare one rests on what is known of all. A row's own trigrams are taken out of
+its declared language before it is scored there, so no text is evidence for itself.
+The likelihoods are combined with the declared markup language, the address suffix (a
 path part or top-level domain that names a language) and a host prior. Host
 priors are smoothed hierarchically: host -> registered domain -> all rows, each
 level's grouped counts of text-only decisions added to its parent's shares.
 
 The best posterior wins. A row is rejected when it has no letters, when the text fits its best
-language worse than unstructured noise, or when no language reaches ``accept``.
+language (the declared one with the row's own trigrams) worse than unstructured
+noise, or when no language reaches ``accept``.
 
-Scale. One scan counts trigrams (languages x 2**13 rows reach the driver, with
-at most ``MOST_LANGUAGES`` languages), one scan scores. Scores, not texts, meet
-the host priors, by equi-joins on small rows.
+Scale. One scan counts trigrams, one scan scores. Codes of two or three letters
+bound the languages; of each only the trigrams that it has reach the driver (at
+most 2**13) and the workers. Scores, not texts, meet the host priors, by
+equi-joins on small rows; priors are a written table, so the join shuffles both
+sides or broadcasts, and a host with a third of the rows can be split.
 
 Defined results. Null text is empty and rejected as ``und``. Unknown, null and
-malformed declarations count as missing evidence; a null host has the prior of all
+malformed declarations and the codes for no one language (und, mis, mul, zxx)
+count as missing evidence; a null host has the prior of all
 rows. Ties go to the first language by code. If no row declares a
-language often enough, every row is rejected. Rows that repeat an id are judged
+language, every row is rejected. Rows that repeat an id are judged
 one by one. Other columns are ignored; an empty table gives an empty result.
 """
 
@@ -27,16 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qalytics.llm import common as C
 
 BITS = 13
-# A language is modelled when at least so many rows declare it; if more than
-# MOST_LANGUAGES do, the most declared ones are.
-LEAST_ROWS = 5
-MOST_LANGUAGES = 200
+# Trigrams that the shares of all rows count for in each language.
+SHRINK = 1000.0
+# Distinct (language, trigram) pairs that a worker holds between two folds.
+FOLD_PAIRS = 1_000_000
+# Codes that name no single language.
+NO_LANGUAGE = ("mis", "mul", "und", "zxx")
 # Letters depend on each other: a text counts as at most so many trigrams.
 EFFECTIVE = 40.0
 DECLARED_RIGHT = 0.95
@@ -66,38 +77,153 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _train(languages: list[str]):
     place = {name: i for i, name in enumerate(languages)}
 
+    def fold(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list, list]:
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return [key], [np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), 1 << BITS), dtype=np.int64)
+        keys, counts, held = [], [], 0
         for batch in batches:
             for part, texts in C.text_slices(batch):
-                of = np.array([place[x] for x in part.column("declared").to_pylist()])
+                of = np.array([place[x] for x in part.column("declared").to_pylist()], dtype=np.int64)
                 owner, bucket = _trigrams(texts)
-                total += np.bincount(of[owner] * (1 << BITS) + bucket, minlength=total.size).reshape(total.shape)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())],
-                                         names=["lang", "bucket", "n"])
+                key, n = np.unique((of[owner] << BITS) + bucket, return_counts=True)
+                keys.append(key)
+                counts.append(n)
+                held += len(key)
+                if held > FOLD_PAIRS:
+                    keys, counts = fold(keys, counts)
+                    held = len(keys[0]) // 2
+        if keys:
+            (key,), (n,) = fold(keys, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> BITS, pa.int32()), pa.array(key & ((1 << BITS) - 1), pa.int32()), pa.array(n, pa.int64())],
+                                             names=["lang", "bucket", "n"])
     return run
 
 
-def _score(shared, size: int):
+class Model:
+    """Trigram counts per language, shrunk to those of all rows; only the
+    trigrams that a language has are held for it."""
+
+    def __init__(self, languages: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        self.place = {name: i for i, name in enumerate(languages)}
+        order = np.lexsort((bucket, lang))
+        lang, self.bucket, self.n = lang[order], bucket[order], n[order].astype(np.float64)
+        self.first = np.searchsorted(lang, np.arange(len(languages) + 1))
+        self.total = np.bincount(lang, weights=self.n, minlength=len(languages))
+        every = np.bincount(bucket, weights=n, minlength=1 << BITS) + 0.5
+        self.shrunk = SHRINK * (0.5 / (1 << BITS) + 0.5 * every / every.sum())
+        self.base = np.log(self.shrunk)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def logs(self, i: int) -> np.ndarray:
+        """Log probability of every trigram in language ``i``."""
+        at = slice(self.first[i], self.first[i + 1])
+        out = self.base.copy()
+        out[self.bucket[at]] = np.log(self.n[at] + self.shrunk[self.bucket[at]])
+        return out - np.log(self.total[i] + SHRINK)
+
+    def without(self, i: int, bucket: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """As ``logs``, at ``bucket``, for texts that hold it ``n`` times among
+        ``size`` trigrams and were counted for language ``i`` themselves."""
+        at = slice(self.first[i], self.first[i + 1])
+        have = self.n[at][np.searchsorted(self.bucket[at], bucket)]
+        return np.log(have - n + self.shrunk[bucket]) - np.log(self.total[i] - size + SHRINK)
+
+    def means(self, texts: list[bytes], declared: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: its trigrams, their mean log probability per language (in
+        the declared one without the text itself), and in the declared one with it."""
+        owner, bucket = _trigrams(texts)
+        size = np.bincount(owner, minlength=len(texts)).astype(np.float64)
+        key, n = np.unique((owner << BITS) + bucket, return_counts=True)
+        owner, bucket = key >> BITS, key & ((1 << BITS) - 1)
+        of = np.array([self.place.get(x, -1) for x in declared], dtype=np.int64)
+        scores, own = np.zeros((len(texts), len(self))), np.full(len(texts), -np.inf)
+        for i in range(len(self)):
+            each = n * self.logs(i)[bucket]
+            scores[:, i] = np.bincount(owner, weights=each, minlength=len(texts))
+            mine = of == i
+            if mine.any():
+                own[mine] = scores[mine, i]
+                at = mine[owner]
+                left = n[at] * self.without(i, bucket[at], n[at], size[owner[at]])
+                scores[mine, i] = np.bincount(owner[at], weights=left, minlength=len(texts))[mine]
+        some = np.maximum(size, 1)
+        return size.astype(np.int64), scores / some[:, None], own / some
+
+
+def _score(shared):
+    noise = -BITS * float(np.log(2.0))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logp = shared.value
+        model = shared.value
         for batch in batches:
             for part, texts in C.text_slices(batch):
-                owner, bucket = _trigrams(texts)
-                n = np.bincount(owner, minlength=len(texts))
-                scores = np.stack([np.bincount(owner, weights=row[bucket], minlength=len(texts)) for row in logp], axis=1) if size else np.zeros((len(texts), 0))
-                mean = scores / np.maximum(n, 1)[:, None]
+                n, mean, own = model.means(texts, part.column("declared").to_pylist())
+                fits = (n > 0) & (np.maximum(mean.max(axis=1, initial=-np.inf), own) >= noise)
+                best = mean.argmax(axis=1) if len(model) else np.zeros(len(texts), dtype=np.int64)
                 rest = [part.column(c) for c in ("doc_id", "key", "declared", "address", "host")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(list(mean), pa.list_(pa.float64()))],
-                                                 names=["doc_id", "key", "declared", "address", "host", "n_trigrams", "mean"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(list(mean), pa.list_(pa.float64())), pa.array(best, pa.int32(), mask=~fits)],
+                                                 names=["doc_id", "key", "declared", "address", "host", "n_trigrams", "mean", "text"])
+    return run
+
+
+def _dense(langs: pa.Array, counts: pa.Array, size: int) -> np.ndarray:
+    """One row of counts per language for each list of (language, count); null is no counts."""
+    out = np.zeros((len(langs), size))
+    owner = np.repeat(np.arange(len(langs)), np.nan_to_num(pc.list_value_length(langs).to_numpy(zero_copy_only=False)).astype(np.int64))
+    out[owner, pc.list_flatten(langs).to_numpy()] = pc.list_flatten(counts).to_numpy()
+    return out
+
+
+def _decide(languages: list[str], base: np.ndarray, accept: float):
+    """Rows of scores and host counts to decisions: text, declaration, address
+    and host prior add up as logarithms."""
+    size = len(languages)
+    place = {name: i for i, name in enumerate(languages)}
+
+    def evidence(said: list[str | None], right: float) -> np.ndarray:
+        out = np.zeros((len(said), size))
+        if size > 1:
+            for row, x in enumerate(said):
+                if x in place:
+                    out[row] = np.log((1.0 - right) / (size - 1))
+                    out[row, place[x]] = np.log(right)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            n, text = batch.column("n_trigrams").to_numpy(), batch.column("text")
+            fits = text.is_valid().to_numpy(zero_copy_only=False)
+            names = [languages[i] if i is not None else None for i in text.to_pylist()]
+            best, posterior = np.zeros(rows, dtype=np.int64), np.zeros(rows)
+            if size:
+                prior = base
+                for level in ("domain", "host"):
+                    counts = _dense(batch.column(f"{level}_langs"), batch.column(f"{level}_counts"), size)
+                    prior = (counts + HOST_STRENGTH * prior) / (counts.sum(axis=1, keepdims=True) + HOST_STRENGTH)
+                mean = pc.list_flatten(batch.column("mean")).to_numpy().reshape(rows, size)
+                logs = (np.minimum(n, EFFECTIVE)[:, None] * mean + np.log(prior) + evidence(batch.column("declared").to_pylist(), DECLARED_RIGHT)
+                        + evidence(batch.column("address").to_pylist(), ADDRESS_RIGHT))
+                best = logs.argmax(axis=1)
+                posterior = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+            good = fits & (posterior >= accept)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array([languages[i] if ok else "und" for i, ok in zip(best, good)], pa.string()),
+                 pa.array(posterior, pa.float64()), pa.array(names, pa.string()), pa.array(good)],
+                names=["doc_id", "key", "language", "posterior", "text_language", "accepted"])
     return run
 
 
 def declared_code(c: Column) -> Column:
     """Two- or three-letter code of a language tag (``en-GB`` is ``en``), else null."""
     code = F.regexp_extract(F.lower(F.trim(c)), "^([a-z]{2,3})(?:[-_].*)?$", 1)
-    return F.when(code != "", code)
+    return F.when((code != "") & ~code.isin(*NO_LANGUAGE), code)
 
 
 def address_code(url: Column) -> Column:
@@ -119,61 +245,33 @@ def identify(rows: DataFrame, accept: float = ACCEPT) -> DataFrame:
     three may be null throughout."""
     spark = rows.sparkSession
     sc = spark.sparkContext
-    counted = rows.where("declared is not null").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
-    languages = sorted(r["declared"] for r in counted.orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect())
+    spoken = rows.where("declared is not null")
+    languages = sorted(r["declared"] for r in spoken.select("declared").distinct().collect())
     size = len(languages)
-    logp = np.zeros((size, 1 << BITS))
-    if size:
-        counts = np.zeros((size, 1 << BITS))
-        found = (rows.where(F.col("declared").isin(languages)).select("text", "declared").mapInArrow(_train(languages), "lang int, bucket int, n long")
-                 .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
-        counts[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
-        logp = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * (1 << BITS)))
-    shared = sc.broadcast(logp)
-    noise = -BITS * float(np.log(2.0))
-
+    found = (spoken.select("text", "declared").mapInArrow(_train(languages), "lang int, bucket int, n long")
+             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
+    shared = sc.broadcast(Model(languages, *(found[c].to_numpy() for c in ("lang", "bucket", "n"))))
     wanted = rows.select("doc_id", "key", "text", "declared", "address", "host")
-    scored = C.stage(wanted.mapInArrow(_score(shared, size), "doc_id long, key long, declared string, address string, host string, "
-                                       "n_trigrams long, mean array<double>"), "scores")
-    names = F.array(*[F.lit(x) for x in languages]) if size else F.array().cast("array<string>")
-    fit = F.array_max("mean")
-    scored = scored.withColumn("text_language", F.when((F.col("n_trigrams") > 0) & (fit >= noise), F.get(names, F.array_position("mean", fit).cast("int") - 1)))
+    scored = C.stage(wanted.mapInArrow(_score(shared), "doc_id long, key long, declared string, address string, host string, "
+                                       "n_trigrams long, mean array<double>, text int"), "scores")
 
-    # host priors: shares of text-only decisions, smoothed by the level above
+    # host priors: counts of text-only decisions, smoothed by the level above
     domain = F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".")
     domain = F.when(F.size(F.split("host", r"\.")) >= 2, domain).otherwise(F.col("host"))
-    decided = scored.where("text_language is not null")
-    world = {r["text_language"]: r["n"] for r in decided.groupBy("text_language").agg(F.count(F.lit(1)).alias("n")).collect()}
-    all_rows = sum(world.values()) + size
-    base = [(world.get(x, 0) + 1.0) / all_rows for x in languages] if size else []
-    share = lambda table, prior: F.transform(F.sequence(F.lit(0), F.lit(max(size, 1) - 1)), lambda i: (
-        (F.coalesce(F.get(table, i), F.lit(0)) + HOST_STRENGTH * F.get(prior, i)) / (F.aggregate(table, F.lit(0.0), lambda s, v: s + v) + HOST_STRENGTH)))
-    per_language = [F.count_if(F.col("text_language") == x).cast("double") for x in languages]
-    at_host = decided.where("host is not null").groupBy("host").agg((F.array(*per_language) if size else F.array().cast("array<double>")).alias("at_host"))
-    at_host = at_host.withColumn("domain", domain)
-    lists = F.array(*[F.sum(F.get("at_host", F.lit(i))) for i in range(size)]) if size else F.first("at_host")
-    at_domain = at_host.groupBy("domain").agg(lists.alias("at_domain"))
-    base_lit = F.array(*[F.lit(x) for x in base]) if size else F.array().cast("array<double>")
-    priors = (at_host.join(at_domain, "domain").withColumn("prior", share(F.col("at_domain"), base_lit))
-              .withColumn("prior", share(F.col("at_host"), F.col("prior"))).select("host", "prior"))
-    scored = scored.join(priors, "host", "left").withColumn("prior", F.coalesce("prior", base_lit))
-
-    def evidence(said: Column, right: float, i) -> Column:
-        known = F.array_contains(names, said)
-        wrong = (1.0 - right) / max(1, size - 1)
-        return F.when(~F.coalesce(known, F.lit(False)), F.lit(0.0)).when(said == F.get(names, i), F.log(F.lit(right))).otherwise(F.log(F.lit(wrong if size > 1 else 1.0)))
-
-    weight = F.least(F.col("n_trigrams").cast("double"), F.lit(EFFECTIVE))
-    logs = F.transform(F.sequence(F.lit(0), F.lit(max(size, 1) - 1)), lambda i: (
-        weight * F.get("mean", i) + F.log(F.get("prior", i)) + evidence(F.col("declared"), DECLARED_RIGHT, i) + evidence(F.col("address"), ADDRESS_RIGHT, i)))
-    scored = scored.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
-    total = F.aggregate("logs", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
-    posterior = F.coalesce(1.0 / total, F.lit(0.0))
-    best = F.get(names, F.array_position("logs", F.col("top")).cast("int") - 1)
-    sound = (F.col("n_trigrams") > 0) & (fit >= noise) & (posterior >= accept)
-    return scored.select("doc_id", "key", F.when(F.col("n_trigrams") > 0, best).alias("best"), posterior.alias("posterior"), "text_language",
-                         F.coalesce(sound, F.lit(False)).alias("accepted")).select(
-        "doc_id", "key", F.when(F.col("accepted"), F.col("best")).otherwise("und").alias("language"), "posterior", "text_language", "accepted")
+    decided = scored.where("text is not null")
+    world = {r["text"]: r["n"] for r in decided.groupBy("text").agg(F.count(F.lit(1)).alias("n")).collect()}
+    base = (np.array([world.get(i, 0) for i in range(size)]) + 1.0) / (sum(world.values()) + size or 1)
+
+    def gathered(counts: DataFrame, by: str) -> DataFrame:
+        """One row a host or domain: the languages that it has, and their counts."""
+        found = F.collect_list(F.struct("text", "n"))
+        return counts.groupBy(by).agg(found.alias("found")).select(by, F.col("found.text").alias(f"{by}_langs"), F.col("found.n").alias(f"{by}_counts"))
+
+    at_host = decided.where("host is not null").groupBy("host", "text").agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("domain", domain)
+    at_domain = at_host.groupBy("domain", "text").agg(F.sum("n").alias("n"))
+    priors = C.stage(gathered(at_host, "host").withColumn("domain", domain).join(gathered(at_domain, "domain"), "domain").drop("domain"), "priors")
+    return scored.join(priors, "host", "left").mapInArrow(
+        _decide(languages, base, accept), "doc_id long, key long, language string, posterior double, text_language string, accepted boolean")
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qalytics.llm import common as C
 from qalytics.llm import exact_trie, language_id, licenses, line_dedup, mixing, multi_index, ngram_join, packing, pii, queries, url_rules
@@ -401,3 +402,103 @@ def test_licenses(spark):
         assert 0 <= r.score <= 1
     assert "mit" in got[4].labels and "apache-2.0" in got[7].labels and got[6].labels == "" and "cc-by-nc" in got[2].labels.split(",")
     assert len(licenses.rules()) > 200 and licenses.scan(frame(spark, [])).collect() == []
+
+
+def test_license_suppression_equals_all_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        found = []
+        for _ in range(int(rng.integers(0, 40))):
+            start = int(rng.integers(0, 30))
+            found.append((start, start + int(rng.integers(1, 12)), "abc"[int(rng.integers(0, 3))], int(rng.integers(1, 4)) * 10))
+        kept: list[tuple] = []
+        for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
+            if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+                kept.append(d)
+        assert licenses.outermost(found) == sorted(kept)
+
+
+def test_license_detections_of_a_long_text():
+    sentence = "Copyright 2021 Someone. Released under the MIT License, without warranty of any kind, express or implied. "
+    scanner = licenses.Scanner()
+    normal = lambda t: b" " + b" ".join(t.encode().translate(licenses._WORD).split()) + b" "
+    one, n = scanner.detections(normal(sentence)), 20_000
+    words = len(sentence.split())
+    many = scanner.detections(normal(sentence * n))
+    assert {d[2] for d in one} >= {"copyright", "mit", "warranty"}
+    assert many == sorted(((s + i * words, e + i * words, label, p) for i in range(n) for s, e, label, p in one), key=lambda d: d[:2])
+    assert scanner.base(normal("All rights reserved. " * 3)) == [(0, "reserved"), (3, "reserved"), (6, "reserved")]
+
+
+ENGLISH = "the house on the hill is old and the people who live there say that it was built by a miller number {}"
+FINNISH = "vanha talo on makien keskella ja ihmiset jotka asuvat siella sanovat etta sen rakensi mylly {}"
+
+
+def test_every_declared_language_is_modelled(spark):
+    C.on_workers(spark)
+    texts = [ENGLISH.format(i) for i in range(80)] + [FINNISH.format(i) for i in range(4)] + [FINNISH.format("tuntematon")]
+    langs = ["en"] * 80 + ["fi"] * 4 + [None]
+    got = {r.doc_id: r for r in language_id.identify(language_id.document_rows(frame(spark, texts, langs=langs))).collect()}
+    assert all(got[i].accepted and got[i].language == ("en" if i < 80 else "fi") for i in range(85))
+    few = frame(spark, [ENGLISH.format(i) for i in range(4)], langs=["en"] * 4)
+    assert language_id.accepted_documents(few).count() == 4
+    # 280 languages of three rows each, every one with its own words: none goes for their number
+    rng = np.random.default_rng(6)
+    codes = [a + b + c for a in "bcdfghk" for b in "aeiouvwxyz" for c in "lmnp"]
+    own = {c: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for c in codes}
+    odd = frame(spark, [" ".join(rng.permutation(own[c])) for c in codes for _ in range(3)], langs=[c for c in codes for _ in range(3)])
+    found = language_id.identify(language_id.document_rows(odd)).join(odd.select("doc_id", "lang"), "doc_id").collect()
+    assert len(found) == 3 * len(codes) and all(r.accepted and r.language == r.lang for r in found)
+    none = frame(spark, [ENGLISH.format(1)] * 3, langs=["und", "zxx", None])
+    assert language_id.accepted_documents(none).count() == 0
+
+
+def test_language_model_equals_its_definition():
+    rng = np.random.default_rng(3)
+    texts = ["".join("abcd "[int(j)] for j in rng.integers(0, 5, int(rng.integers(0, 60)))).encode() for _ in range(40)]
+    langs = [("aa", "bb", None)[int(j)] for j in rng.integers(0, 3, 40)]
+    per = []
+    for t in texts:
+        per.append(Counter(int(b) for b in language_id._trigrams([t])[1]))
+    counts = {x: sum((p for p, y in zip(per, langs) if y == x), Counter()) for x in ("aa", "bb")}
+    both = counts["aa"] + counts["bb"]
+    rows = [(i, b, n) for i, x in enumerate(("aa", "bb")) for b, n in counts[x].items()]
+    model = language_id.Model(["aa", "bb"], *(np.array(c) for c in zip(*rows)))
+    size, mean, own = model.means(texts, langs)
+    buckets = 1 << language_id.BITS
+    share = lambda b: 0.5 / buckets + 0.5 * (both[b] + 0.5) / (both.total() + 0.5 * buckets)
+    for j, (p, y) in enumerate(zip(per, langs)):
+        assert size[j] == p.total()
+        for i, x in enumerate(("aa", "bb")):
+            c = counts[x] - p if x == y else counts[x]
+            want = sum(n * np.log((c[b] + language_id.SHRINK * share(b)) / (c.total() + language_id.SHRINK)) for b, n in p.items()) / max(1, p.total())
+            assert np.isclose(mean[j, i], want)
+
+
+def test_language_of_held_out_documents(spark):
+    C.on_workers(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = docs.withColumn("truth", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 5 > 0, F.col("lang")))
+    got = language_id.identify(language_id.document_rows(hidden)).join(hidden.select("doc_id", "truth", F.col("lang").alias("said")), "doc_id")
+    got = got.where("said is null").collect()
+    assert len(got) == 200 and sum(r.language == r.truth for r in got) >= 0.95 * len(got)
+
+
+def test_mixed_rows_that_repeat_an_id_and_text(spark):
+    rows = [(7, "one two three four five six seven eight nine ten", "a", 1)] * 500 + [(i, f"word{i} " * 9, "b", i) for i in range(100, 140)]
+    rows += [(7, "one two three four five six seven eight nine ten", None, 2)] * 3 + [(None, None, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    plan = mixing.mix(docs).groupBy("doc_id", "source").agg(F.sum("times").alias("n")).where("n > 0").collect()
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.source): r["count"] for r in got.groupBy("doc_id", "source").count().collect()} == {(r.doc_id, r.source): r.n for r in plan}
+
+
+def test_nearest_of_one_component(spark):
+    C.on_workers(spark)
+    x = [float((i * 37) % 301) + 1 for i in range(300)]
+    df = spark.createDataFrame([(i, [v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in multi_index.nearest(df, df.where("vec_id % 100 = 0")).collect())
+    want = [(q, n + 1, i) for q in (0, 100, 200)
+            for n, (_, i) in enumerate(sorted((abs(x[q] - v), i) for i, v in enumerate(x) if i != q)[:10])]
+    assert got == want
