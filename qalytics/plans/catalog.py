@@ -96,6 +96,7 @@ QUERIES: dict[str, QueryFn] = {
     "run_test_counts": _rel("run_test_counts"),
     "result_texts": _rel("result_texts"),
     "dedup_latest": _rel("dedup_tests"),
+    "dedup_latest_stream": streaming_query("dedup_latest_stream"),
     "plan_max_dates": _rel("plan_max_dates"),
     "stg_runs": _rel("stg_runs"),
     "fact_cycle": _rel("fact_cycle"),

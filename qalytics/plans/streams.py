@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from qalytics.operators import ingest
+from qalytics.plans import layout as L
 from qalytics.plans.relations import Relations
 from qalytics.session import fresh_shared_path
 from qalytics.sources.landed import TRACKER_URL
-from qalytics.streaming import jobs
+from qalytics.streaming import jobs, newest
 
 
 def issue_microbatch(rel: Relations, files: int | None = None, issues_per_file: int = 100_000,
@@ -45,3 +46,16 @@ def velocity_stream(rel: Relations, files: int | None = None, files_per_batch: i
     out = fresh_shared_path(spark, "velocity")
     jobs.velocity_stream(spark, stream, out, rel.as_of)
     return jobs.daily_counts(spark, out).orderBy("date")
+
+
+def dedup_latest_stream(rel: Relations, files: int | None = None, files_per_batch: int = 1000,
+                        span: int = L.KEY_SPANS["dedup_tests"]) -> DataFrame:
+    """The newest row per test, merged per micro-batch over landed files of tests."""
+    spark = rel.spark
+    landing = fresh_shared_path(spark, "landing-tests")
+    tests = rel.bronze.raw_tests
+    (tests.repartition(files) if files else tests).write.parquet(landing)
+    stream = spark.readStream.schema(tests.schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
+    out = fresh_shared_path(spark, "newest-tests")
+    newest.newest_rows_stream(spark, stream, out, span, order=("_extracted_at", "_tiebreak"))
+    return newest.newest_rows(spark, out, tests)
