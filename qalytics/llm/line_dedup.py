@@ -26,6 +26,8 @@ stay as they are; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +40,26 @@ NO_ID = -(1 << 63)
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def _shingles(line: Column, k: int) -> Column:
-    """Hashes of a line's k-word shingles, repeats kept."""
-    def of_words(words: Column) -> Column:
-        n = F.size(words)
-        each = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))
-        return F.when(n >= k, each).when(n > 0, F.array(F.xxhash64(F.array_join(words, " "), n))).otherwise(F.array().cast("array<bigint>"))
+def _hashed(lines: DataFrame) -> DataFrame:
+    """``lines`` that hold words, with ``h``: the hash of every word, in order,
+    instead of ``line``. Only lines with other white space than single spaces
+    between words pass through a regular expression."""
+    line = F.col("line")
+    odd = functools.reduce(Column.__or__, [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")],
+                           F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")))
+    plain = F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
+    return (lines.withColumn("line", plain).where("line <> ''")
+            .withColumn("h", F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))).drop("line"))
+
+
+def _shingle(i: Column, k: int) -> Column:
+    """Hash of the ``k`` words of ``h`` from the ``i``-th on."""
+    return F.xxhash64(*[F.get("h", i + j) for j in range(k)])
+
 
-    return C.bind(F.array_remove(F.split(line, SPACE, -1), ""), of_words)
+def _places(k: int) -> Column:
+    """Where the shingles of ``h`` start; a line of fewer words has one."""
+    return F.sequence(F.lit(0), F.greatest(F.size("h") - k, F.lit(0)))
 
 
 def _lines(docs: DataFrame, *kept: str) -> DataFrame:
@@ -56,8 +70,10 @@ def _lines(docs: DataFrame, *kept: str) -> DataFrame:
 def _levels(docs: DataFrame, k: int) -> tuple[bytes, DataFrame]:
     """The rarity level (0 to 127) of every frequency bucket as one byte each,
     and, as a one-row table, the buckets' numbers of salts."""
-    seen = (_lines(docs).select(F.explode(_shingles("line", k)).alias("h"))
-            .groupBy(F.shiftrightunsigned("h", 64 - BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    # explode_outer: of explode, the optimizer infers a filter that would hash
+    # every line a second time (every line here has a shingle)
+    seen = (_hashed(_lines(docs)).select("h", F.explode_outer(_places(k)).alias("i"))
+            .groupBy(F.shiftrightunsigned(_shingle(F.col("i"), k), 64 - BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
     buckets = docs.sparkSession.range(1 << BITS).withColumnRenamed("id", "bucket").join(seen, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
     # 2**16 counts whatever the input
     row = C.stage(buckets.agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.greatest(F.median("n"), F.lit(1.0)).alias("m")).select(
@@ -67,11 +83,13 @@ def _levels(docs: DataFrame, k: int) -> tuple[bytes, DataFrame]:
 
 
 def _sets(lines: DataFrame, levels: bytes, k: int) -> DataFrame:
-    """``lines`` with ``codes``: distinct shingles as non-negative longs that
+    """``lines`` that hold words, with ``codes``: distinct shingles as non-negative longs that
     sort rare-first (the rarity level of the bucket, then the hash)."""
-    level = lambda h: F.ascii(F.substr(F.lit(levels), (F.shiftrightunsigned(h, 64 - BITS) + 1).cast("int"), F.lit(1)).cast("string")).cast("long")
-    code = lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return lines.withColumn("codes", F.sort_array(F.array_distinct(F.transform(_shingles("line", k), code)))).drop("line")
+    # a constant, folded once
+    ranks = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<long>")
+    code = lambda s: F.shiftleft(F.get(ranks, F.shiftrightunsigned(s, 64 - BITS).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(s, 8))
+    return (_hashed(lines).withColumn("s", F.transform(_places(k), lambda i: _shingle(i, k))).drop("h")
+            .withColumn("codes", F.sort_array(F.array_distinct(F.transform("s", code)))).drop("s"))
 
 
 def _plausible(x: str, y: str, num: int, den: int) -> Column:
@@ -90,8 +108,9 @@ def removed_lines(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: i
     levels, salts = _levels(docs, k)
     n = F.size("codes")
     prefix = F.slice("codes", 1, (n - F.ceil(n * F.lit(num) / F.lit(den)) + 1).cast("int"))
-    entries = (_sets(_lines(docs), levels, k).where(n > 0)
-               .select("id", "line_no", n.alias("n"), F.xxhash64("codes").alias("key"), F.posexplode(prefix).alias("pos", "token"))
+    entries = (_sets(_lines(docs), levels, k)
+               .select("id", "line_no", n.alias("n"), F.xxhash64("codes").alias("key"), prefix.alias("prefix"))
+               .select("id", "line_no", "n", "key", F.posexplode_outer("prefix").alias("pos", "token"))
                .withColumn("hot", F.get(salts.scalar(), F.shiftright("token", 56 - BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")))
                .select("token", F.when(F.col("hot") > 1, F.pmod(F.xxhash64("id"), F.col("hot"))).otherwise(F.lit(0)).alias("salt"),
                        (F.col("hot") > 1).alias("hot"), "key", "n", "id", "line_no", "pos"))
@@ -140,6 +159,7 @@ def removed_lines(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: i
         sets = _sets(again, levels, k).select(F.struct("id", "line_no", F.xxhash64("codes").alias("key")).alias("p"), "codes")
         if repeats:
             sets = sets.dropDuplicates(["p"])
+        sets = C.stage(sets, "sets")
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("p").alias(side), F.col("codes").alias(f"c{side}")), side)
         both = F.size(F.array_intersect("ca", "cb"))
