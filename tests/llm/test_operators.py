@@ -156,6 +156,14 @@ def brute_line_dedup(ids, texts):
     return ["\n".join(x for no, x in enumerate(t.split("\n")) if not gone(-1 if i is None else i, no, x)) for i, t in zip(ids, texts)]
 
 
+def test_line_dedup_cuts_words_at_any_ascii_white_space(spark):
+    a, b = "one two three four five six", "p q"
+    texts = [f"{a}\n{b}\n \n\t\n\x0b\x0c", "\t" + a.replace(" ", "  ") + "\r", a.replace(" ", "\t"), f"  {a}  ", "p\x0bq \n\x0cp  q",
+             a.replace(" ", "\u00a0"), a.replace("two three", "two  three"), "\r\n \r", "p\x1fq"]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_line_dedup(range(len(texts)), texts)
+
+
 @pytest.mark.parametrize("salt_rows", [50_000, 3])
 def test_line_dedup_of_repeated_ids(spark, monkeypatch, salt_rows):
     monkeypatch.setattr(line_dedup, "SALT_ROWS", salt_rows)
