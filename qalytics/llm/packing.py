@@ -3,14 +3,16 @@
 Method. Every document is tokenised and cut into pieces of at most ``capacity``
 tokens (only longer documents are cut). The histogram of piece lengths, at most
 ``capacity`` rows whatever the corpus size, goes to the driver, where the
-fractional packing over configurations (multisets of lengths that fit one
-sequence) is solved by multiplicative weights: lengths carry weights, an
-unbounded-knapsack dynamic program over the capacity prices the best
-configuration, and the weights of what it covers shrink. The solution is
-rounded down to whole sequences; what is left over is packed by best fit
-decreasing on the histogram. The result is a table of (length, rank range) ->
-(sequence, offset) rules, bounded by the configurations kept; pieces are ranked
-within their length and joined to it, so no piece passes through the driver.
+packing over configurations (multisets of lengths that fit one sequence) is
+solved by multiplicative weights: lengths carry weights that shrink as they are
+covered, an unbounded-knapsack dynamic program over the capacity prices
+configurations, and each round adds many of them: their first pieces are drawn
+by weight, the knapsack fills the rest. They are rounded to whole sequences,
+fullest first, within the stock. What is left over, a few pieces in a hundred,
+is packed by best fit decreasing on the histogram. The result is a table of
+(length, rank range) -> (sequence, offset) rules, bounded by the configurations
+kept; pieces are ranked within their length and joined to it, so no piece
+passes through the driver.
 
 Defined results. Null text is empty; an empty document is the end id alone.
 Pieces of one length are interchangeable: they are ranked in id order, and ties
@@ -35,7 +37,18 @@ from pyspark.sql import types as T
 from qalytics.llm import common as C
 
 CAPACITY = 4096
+# Rounds of the configuration program; it ends sooner when all but this share
+# of the pieces is packed.
 ROUNDS = 60
+REMAINDER = 0.03
+# How fast weights answer coverage, and the powers of a length by which longer
+# pieces are preferred, tried in turn.
+RATE = 3.0
+BIAS = (4, 16)
+# Configurations accepted and piece places drawn in one round, at most: they
+# bound the rules.
+COLUMNS = 4096
+ENTRIES = 20_000
 # Words whose ids a worker remembers.
 MEMORY = 200_000
 # Text bytes encoded at once: each distinct word in them is looked up once.
@@ -136,28 +149,51 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capa
         _pieces(tokenizer_path, end_id, capacity), PIECES)
 
 
-def _price(lengths: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: int) -> Counter:
-    """The configuration of greatest value that fits ``capacity``: unbounded
-    knapsack by dynamic programming, counts cut to what is in stock."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1, dtype=np.int64)
-    for c in range(int(lengths.min()), capacity + 1):
-        fits = np.searchsorted(lengths, c, side="right")
-        gain = best[c - lengths[:fits]] + values[:fits]
+def _price(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack by dynamic programming: per room, the last piece of
+    the configuration of greatest price that fits it (0: no piece adds one)."""
+    low, high = int(lengths.min()), int(lengths.max())
+    value = np.full(capacity + 1, -np.inf)
+    value[lengths] = prices
+    best = np.zeros(capacity + 1)  # best[capacity - c] belongs to room c
+    pick = np.zeros(capacity + 1, dtype=np.int64)
+    for c in range(low, capacity + 1):
+        most = min(c, high)
+        gain = best[capacity - c + low:capacity - c + most + 1] + value[low:most + 1]
         j = int(gain.argmax())
-        if gain[j] > best[c - 1]:
-            best[c], pick[c] = gain[j], j
+        before = best[capacity - c + 1]
+        if gain[j] > before:
+            best[capacity - c], pick[c] = gain[j], j + low
         else:
-            best[c] = best[c - 1]
-    took: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-            continue
-        took[int(pick[c])] += 1
-        c -= int(lengths[pick[c]])
-    return Counter({j: min(m, int(limits[j])) for j, m in took.items() if limits[j] > 0})
+            best[capacity - c] = before
+    return pick
+
+
+def _columns(stock: np.ndarray, weights: np.ndarray, pick: np.ndarray, n: int, rest: float, random: np.random.Generator) -> np.ndarray:
+    """``n`` configurations, longest pieces first, 0 after the last: pieces are
+    drawn in proportion to stock and weight while there is more room than
+    ``rest``, the knapsack fills what is left. No length comes more often than
+    it is in stock."""
+    capacity = len(stock) - 1
+    sums = np.cumsum(stock * weights)
+    sums /= sums[-1]
+    filled = np.maximum.accumulate(np.where(pick > 0, np.arange(capacity + 1), 0))
+    room, taken, more = np.full(n, capacity), [], np.ones(n, dtype=bool)
+    while more.any():
+        piece = np.searchsorted(sums, random.random(n) * sums[room], side="right")
+        more &= piece <= room
+        taken.append(np.where(more, piece, 0))
+        room = room - taken[-1]
+        more &= room > rest
+    room = filled[room]
+    while room.any():
+        taken.append(pick[room])
+        room = filled[room - taken[-1]]
+    rows = np.sort(np.stack(taken, axis=1), axis=1)[:, ::-1]
+    at = np.arange(rows.shape[1])
+    fresh = np.diff(rows, axis=1, prepend=-1) != 0
+    nth = at - np.maximum.accumulate(np.where(fresh, at, 0), axis=1)
+    return np.where(nth < stock[rows], rows, 0)
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -187,40 +223,77 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """(configuration, times) covering the histogram exactly, in few sequences."""
-    full = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
-    lengths = np.array(sorted(n for n in histogram if n < capacity and histogram[n]), dtype=np.int64)
-    if not len(lengths):
-        return full
-    stock = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    # Multiplicative weights on the covering program: covered[j] / stock[j] is
-    # to grow evenly; a length that is behind weighs more. A weight starts at
-    # the length's share of a sequence, its price in a perfect packing.
-    covered = np.zeros(len(lengths))
-    found: Counter = Counter()
-    base = lengths / capacity
-    rate = 6.0
+    program, rest = _best_program(histogram, capacity, rounds)
+    return program + rest
+
+
+def _count(configurations: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(times for _, times in configurations)
+
+
+def _best_program(histogram: dict[int, int], capacity: int, rounds: int) -> tuple[list, list]:
+    """What the configuration program packs and its remainder. Where long
+    pieces are many, the program is solved again with more weight on them, and
+    the solution of fewest sequences stays."""
+    bound = -(-sum(n * m for n, m in histogram.items()) // capacity)
+    best = None
+    for bias in BIAS:
+        found = _program(histogram, capacity, rounds, bias)
+        count = _count(found[0]) + _count(found[1])
+        if best is None or count < best[0]:
+            best = count, found
+        if count <= 1.001 * bound + 1:
+            break
+    return best[1]
+
+
+def _program(histogram: dict[int, int], capacity: int, rounds: int, bias: int) -> tuple[list, list]:
+    """One solution: what the configuration program packs, and its remainder
+    by best fit."""
+    made: Counter = Counter()
+    if histogram.get(capacity):
+        made[(capacity,)] = histogram[capacity]
+    stock = np.zeros(capacity + 1, dtype=np.int64)
+    for n, m in histogram.items():
+        if n < capacity:
+            stock[n] = m
+    sizes = np.arange(capacity + 1)
+    start, total, tokens = np.maximum(stock, 1), stock.sum(), int(stock @ sizes)
+    random = np.random.default_rng(0)  # reruns agree
     for _ in range(rounds):
-        share = covered / stock
-        low = share.min()
-        values = base * np.exp(-rate * (share - low) / max(share.max() - low, 1e-9)) if share.max() > low else base.copy()
-        config = _price(lengths, values, stock, capacity)
-        if not config:
+        left = int(stock @ sizes)
+        if stock.sum() <= REMAINDER * total:
             break
-        step = max(1.0, float(min(stock[j] / m for j, m in config.items())) / 8)
-        found[tuple(sorted(config.items()))] += step
-        for j, m in config.items():
-            covered[j] += m * step
-    # Scale so that no length is covered more than once, round down.
-    over = float((covered / stock).max())
-    left = stock.copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    for config, times in sorted(found.items(), key=lambda x: (-sum(lengths[j] * m for j, m in x[0]), x[0])):
-        n = min([int(times / max(over, 1.0))] + [int(left[j] // m) for j, m in config])
-        if n > 0 and sum(int(lengths[j]) * m for j, m in config) >= 0.98 * capacity:
-            out.append((tuple(int(lengths[j]) for j, m in config for _ in range(m)), n))
-            for j, m in config:
-                left[j] -= m * n
-    return full + out + _best_fit({int(n): int(m) for n, m in zip(lengths, left)}, capacity)
+        # Multiplicative weights on the covering program: covered / stock is to
+        # grow evenly; a length that is ahead weighs less. Its price starts at
+        # its share of a sequence, the dual of a perfect packing, and is moved
+        # by its weight and, among equals, at random.
+        lengths = np.flatnonzero(stock)
+        weights = np.exp(RATE * (stock / start - left / tokens))
+        prices = sizes / capacity * weights ** 0.02 * (1 + 1e-4 * random.random(capacity + 1))
+        pick = _price(lengths, prices[lengths], capacity)
+        mean = left / stock.sum()
+        wanted = max(1.0, min(tokens / capacity / 8, left / capacity / 2))
+        n = int(min(COLUMNS, max(64, ENTRIES * mean / capacity), np.ceil(wanted)))
+        step = max(1, int(wanted / n))
+        rows = _columns(stock, weights * (sizes / capacity) ** bias, pick, 3 * n, min(capacity / 2, 2 * mean), random)
+        rows = rows[np.argsort(-rows.sum(axis=1), kind="stable")]
+        # Rounding: the fullest first, whole times only, never more of a
+        # length than is left of it.
+        count = 0
+        for row in rows:
+            own, m = np.unique(row[row > 0], return_counts=True)
+            here = np.minimum(m, stock[own])
+            if own @ here < 0.995 * (own @ m):
+                continue
+            own, m = own[here > 0], here[here > 0]
+            times = min(step, int((stock[own] // m).min()))
+            stock[own] -= m * times
+            made[tuple(np.repeat(own, m).tolist())] += times
+            count += times
+            if count >= wanted:
+                break
+    return list(made.items()), _best_fit({int(n): int(stock[n]) for n in np.flatnonzero(stock)}, capacity)
 
 
 def _ranked(pieces: DataFrame) -> DataFrame:
@@ -249,8 +322,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
             used[n] += times
             offset += n
         sequence += times
-    # At most (configurations kept) x (lengths in one) rules, bounded by
-    # ``rounds`` and ``capacity`` whatever the corpus; workers find a piece's
+    # At most (configurations kept) x (pieces in one) rules, bounded by
+    # ``rounds`` and ``ENTRIES`` whatever the corpus; workers find a piece's
     # rule by binary search.
     shared = spark.sparkContext.broadcast(np.array(sorted(rules), dtype=np.int64).reshape(-1, 5))
     ranked = _ranked(pieces)

@@ -226,6 +226,23 @@ def test_special_tokens_keep_their_ids(monkeypatch):
             assert got.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_the_configuration_program_packs_most_pieces():
+    random = np.random.default_rng(5)
+    for sizes in (np.exp(random.normal(4, 1, 4000)).astype(int), random.integers(190, 310, 3000), random.integers(1, 30, 4000), [125] * 900 + [170] * 600 + [7] * 3):
+        histogram = Counter(np.clip(sizes, 1, 512).tolist())
+        program, rest = packing._best_program(dict(histogram), 512, packing.ROUNDS)
+        packed = Counter()
+        for config, times in program + rest:
+            assert sum(config) <= 512 and times > 0
+            for n in config:
+                packed[n] += times
+        assert packed == histogram
+        assert sum(len(config) * times for config, times in program) >= 0.9 * len(sizes)
+        # no more sequences than best fit decreasing alone takes, but for one in 200
+        assert packing._count(program + rest) <= 1.005 * packing._count(packing._best_fit(dict(histogram), 512)) + 1
+    assert packing.solve({}) == []
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
