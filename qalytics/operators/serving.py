@@ -246,8 +246,13 @@ def demand_pivot(demand: DataFrame, projects: list[str]) -> DataFrame:
 
 
 def demand_detail(demand: DataFrame) -> DataFrame:
-    return demand.orderBy(*_total_order(demand, [("month_key", F.col("month_key").asc()),
-                                                ("analyst_count", F.col("analyst_count").desc())]))
+    """Sorted by month and analyst count, then by every other column. The name
+    lists grow with the analysts, so the ranges, whose sampled keys go to the
+    driver, are drawn by the other columns: rows equal in those share a range
+    and are told apart there."""
+    first = [("month_key", F.col("month_key").asc()), ("analyst_count", F.col("analyst_count").desc())]
+    return (demand.repartitionByRange(*_total_order(demand.drop("analyst_names"), first))
+            .sortWithinPartitions(*_total_order(demand, first)))
 
 
 def demand_scatter(demand: DataFrame) -> DataFrame:

@@ -56,3 +56,14 @@ def test_relation_head_unknown_type_reads_mart(spark):
     assert serving.relation_head(rel, "nope").columns == rel.dashboard_mart.columns
     assert serving.relation_head(rel, "workload").columns == rel.workload_by_analyst.columns
     assert serving.relation_head(rel, "mart", limit=3).count() == 3
+
+
+def test_demand_detail_draws_ranges_without_the_name_lists(spark):
+    demand = spark.createDataFrame(
+        [(p, "p", m, 2024, a, 1, n) for p, m, a, n in ((1, "2024-02", 1, "b"), (1, "2024-02", 1, None), (1, "2024-02", 1, "a"),
+                                                       (2, "2024-01", 1, "z"), (1, "2024-01", 3, "y"), (None, None, None, "x"))],
+        "project_id long, project_name string, month_key string, year long, analyst_count long, test_count long, analyst_names string")
+    got = serving.demand_detail(demand)
+    assert [r["analyst_names"] for r in got.collect()] == ["x", "y", "z", None, "a", "b"]
+    ranges = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "rangepartitioning(" in line]
+    assert ranges and all("analyst_names" not in line for line in ranges)
