@@ -23,6 +23,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -64,29 +65,38 @@ class Words:
     ``MEMORY`` words are remembered: words met again move to the young one.
 
     The vocabulary's pre-tokenizer never joins characters across white space
-    and always parts an ASCII letter from a following point or comma, so a
+    and always parts a small letter (of Latin-1) from a following point or comma, so a
     text's ids are its words' ids one after another. Texts that hold a special
     token, in any case, are encoded whole: it is recognised as it is spelled,
     before words are lower-cased."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        # Latin-1 small letters as the byte-level model spells them
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = [c for c in map(chr, range(0xAA, 0x100)) if c.isalpha() and c.islower()]
+        self.letters = str.maketrans({c: spell(c)[0][0] for c in letters})
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _learn(self, words: list[str]) -> None:
-        model = self.tokenizer.model
-        hard = []
+        tokenize = self.tokenizer.model.tokenize
+        easy, hard = [], []
         for w in words:
-            if w.isascii() and w.isalpha():  # lower case already: a single pre-token
-                self.known[w] = np.array([t.id for t in model.tokenize(w)], dtype=np.uint32).tobytes()
-            else:
-                hard.append(w)
-        for w, e in zip(hard, self.tokenizer.encode_batch(hard, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
+            # small letters up to Latin-1 are a single pre-token, composed already
+            (easy if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "\xff") else hard).append(w)
+        ids = [[t.id for t in tokenize(w if w.isascii() else w.translate(self.letters))] for w in easy]
+        ids += [e.ids for e in self.tokenizer.encode_batch(hard, add_special_tokens=False)]
+        raw = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32).tobytes()
+        ends = itertools.accumulate(4 * len(i) for i in ids)
+        begin = 0
+        for w, end in zip(easy + hard, ends):
+            self.known[w] = raw[begin:end]
+            begin = end
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -98,7 +108,7 @@ class Words:
         return out
 
     def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
-        column = pc.replace_substring_regex(pc.ascii_lower(pa.array([t.decode() for t in texts], pa.string())), r"([a-z])([.,])", r"\1 \2")
+        column = pc.replace_substring_regex(pc.ascii_lower(pa.array([t.decode() for t in texts], pa.string())), r"([a-zß-öø-ÿ])([.,])", r"\1 \2")
         split = pc.ascii_split_whitespace(column)
         words = split.values.dictionary_encode()
         per_text = np.diff(split.offsets.to_numpy())

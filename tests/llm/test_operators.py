@@ -226,6 +226,28 @@ def test_special_tokens_keep_their_ids(monkeypatch):
             assert got.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_latin_letters_need_no_batch_encoding():
+    words = packing.Words(queries.tokenizer_path())
+    known = words.tokenizer
+    texts = ["ciónñez é. ñandú, über straße", "Émentré É.", "éa e\u0301. a\u0301é", "ªº µ÷×", "l'été d'où"]
+    for got, text in zip(words.encode([t.encode() for t in texts]), texts):
+        assert got.tolist() == known.encode(text, add_special_tokens=False).ids, text
+
+    class Counted:
+        seen: list[str] = []
+
+        def __getattr__(self, name):
+            return getattr(known, name)
+
+        def encode_batch(self, batch, **options):
+            self.seen += batch
+            return known.encode_batch(batch, **options)
+
+    words.tokenizer = Counted()
+    words.encode(["ciónña éé. plus".encode(), "x9 ñóñ,".encode()])
+    assert Counted.seen == ["x9"]  # point and comma are known by now
+
+
 def test_the_configuration_program_packs_most_pieces():
     random = np.random.default_rng(5)
     for sizes in (np.exp(random.normal(4, 1, 4000)).astype(int), random.integers(190, 310, 3000), random.integers(1, 30, 4000), [125] * 900 + [170] * 600 + [7] * 3):
