@@ -35,45 +35,39 @@ from qalytics.llm import common as C
 
 BITS = 16
 SALT_ROWS = 50_000
-ID_WORDS = 1 << 14  # 64 slots each: the bitmap of ids to look at again
+SLOT_WORDS = 1 << 14  # 64 slots each: bitmaps of what to look at again
 NO_ID = -(1 << 63)
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def _hashed(lines: DataFrame) -> DataFrame:
-    """``lines`` that hold words, with ``h``: the hash of every word, in order,
-    instead of ``line``. Only lines with other white space than single spaces
-    between words pass through a regular expression."""
-    line = F.col("line")
-    odd = functools.reduce(Column.__or__, [F.contains(line, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")],
-                           F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")))
-    plain = F.when(odd, F.trim(F.regexp_replace(line, SPACE, " "))).otherwise(line)
-    return (lines.withColumn("line", plain).where("line <> ''")
-            .withColumn("h", F.transform(F.split("line", " ", -1), lambda w: F.xxhash64(w))).drop("line"))
-
-
-def _shingle(i: Column, k: int) -> Column:
-    """Hash of the ``k`` words of ``h`` from the ``i``-th on."""
-    return F.xxhash64(*[F.get("h", i + j) for j in range(k)])
 
 
 def _places(k: int) -> Column:
-    """Where the shingles of ``h`` start; a line of fewer words has one."""
-    return F.sequence(F.lit(0), F.greatest(F.size("h") - k, F.lit(0)))
+    """Where the shingles of ``w`` start: null without words, one of fewer words."""
+    return F.when(F.size("w") > 0, F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0))))
 
 
 def _lines(docs: DataFrame, *kept: str) -> DataFrame:
-    """(id, *kept, line_no, line) of every line of ``docs`` (id, text, *kept)."""
-    return docs.select("id", *kept, F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
+    """(id, *kept, line_no, line) of every line of ``docs`` (id, text, *kept), with
+    no white space but spaces. Only texts with other than that and line feeds
+    pass through a regular expression."""
+    text = F.lower("text")
+    odd = functools.reduce(Column.__or__, [F.contains("text", F.lit(c)) for c in "\t\x0b\x0c\r"])
+    plain = F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
+    return docs.select("id", *kept, F.posexplode(F.split(plain, "\n", -1)).alias("line_no", "line"))
+
+
+def _words(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``w``, the words in order, instead of ``line``. No filter by
+    them: the optimizer would cut every line twice for it."""
+    return lines.withColumn("w", F.array_remove(F.split("line", " ", -1), "")).drop("line")
 
 
 def _levels(docs: DataFrame, k: int) -> tuple[bytes, DataFrame]:
     """The rarity level (0 to 127) of every frequency bucket as one byte each,
     and, as a one-row table, the buckets' numbers of salts."""
-    # explode_outer: of explode, the optimizer infers a filter that would hash
-    # every line a second time (every line here has a shingle)
-    seen = (_hashed(_lines(docs)).select("h", F.explode_outer(_places(k)).alias("i"))
-            .groupBy(F.shiftrightunsigned(_shingle(F.col("i"), k), 64 - BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
+    shingle = F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(k)])
+    # explode_outer: of explode, the optimizer infers a filter that would cut
+    # every line a second time
+    seen = (_words(_lines(docs)).select("w", F.explode_outer(_places(k)).alias("i")).where("i is not null")
+            .groupBy(F.shiftrightunsigned(shingle, 64 - BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
     buckets = docs.sparkSession.range(1 << BITS).withColumnRenamed("id", "bucket").join(seen, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
     # 2**16 counts whatever the input
     row = C.stage(buckets.agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.greatest(F.median("n"), F.lit(1.0)).alias("m")).select(
@@ -83,12 +77,16 @@ def _levels(docs: DataFrame, k: int) -> tuple[bytes, DataFrame]:
 
 
 def _sets(lines: DataFrame, levels: bytes, k: int) -> DataFrame:
-    """``lines`` that hold words, with ``codes``: distinct shingles as non-negative longs that
-    sort rare-first (the rarity level of the bucket, then the hash)."""
+    """``lines`` with ``codes``: distinct shingles as non-negative longs that sort rare-first
+    (the rarity level of the bucket, then the hash); empty without words."""
     # a constant, folded once
     ranks = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<long>")
-    code = lambda s: F.shiftleft(F.get(ranks, F.shiftrightunsigned(s, 64 - BITS).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(s, 8))
-    return (_hashed(lines).withColumn("s", F.transform(_places(k), lambda i: _shingle(i, k))).drop("h")
+    # never null: coalesce says so, and longs without nulls are sorted unboxed
+    rank = lambda s: F.coalesce(F.get(ranks, F.shiftrightunsigned(s, 64 - BITS).cast("int")), F.lit(0))
+    code = lambda s: F.shiftleft(rank(s), 56).bitwiseOR(F.shiftrightunsigned(s, 8))
+    starts = F.slice("w", 1, F.greatest(F.size("w") - (k - 1), F.lit(1)))
+    shingles = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get("w", i + j) for j in range(1, k)]))
+    return (_words(lines).withColumn("s", shingles).drop("w")
             .withColumn("codes", F.sort_array(F.array_distinct(F.transform("s", code)))).drop("s"))
 
 
@@ -108,33 +106,38 @@ def removed_lines(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: i
     levels, salts = _levels(docs, k)
     n = F.size("codes")
     prefix = F.slice("codes", 1, (n - F.ceil(n * F.lit(num) / F.lit(den)) + 1).cast("int"))
+    salt = F.when(F.col("hot") > 1, F.pmod(F.xxhash64("id"), F.col("hot")))
+    # spot, one long that rows meet by: the shingle itself, or a hash of it and
+    # the salt; only salted shingles stay beside it
     entries = (_sets(_lines(docs), levels, k)
                .select("id", "line_no", n.alias("n"), F.xxhash64("codes").alias("key"), prefix.alias("prefix"))
-               .select("id", "line_no", "n", "key", F.posexplode_outer("prefix").alias("pos", "token"))
+               .select("id", "line_no", "n", "key", F.posexplode_outer("prefix").alias("pos", "token")).where("token is not null")
                .withColumn("hot", F.get(salts.scalar(), F.shiftright("token", 56 - BITS).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")))
-               .select("token", F.when(F.col("hot") > 1, F.pmod(F.xxhash64("id"), F.col("hot"))).otherwise(F.lit(0)).alias("salt"),
-                       (F.col("hot") > 1).alias("hot"), "key", "n", "id", "line_no", "pos"))
+               .select(F.when(F.col("hot") > 1, F.xxhash64("token", salt)).otherwise(F.col("token")).alias("spot"),
+                       F.when(F.col("hot") > 1, F.col("token")).alias("salted"), "key", "n", "id", "line_no", "pos"))
 
-    def meet(rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Per shingle: later lines of equal sets are told (``nth`` > 1), the
-        others get the shingle's earliest and most central line. Of lines with
+    def meet(rows: DataFrame) -> DataFrame:
+        """Per spot: later lines of equal sets are told (``nth`` > 1), the
+        others get the spot's earliest and most central line. Of lines with
         the id, number and set of the earliest one stands for all."""
-        same = Window.partitionBy(*keys, "key", "n").orderBy("id", "line_no")
-        near = Window.partitionBy(*keys)
+        same = Window.partitionBy("spot", "key", "n").orderBy("id", "line_no")
+        near = Window.partitionBy("spot")
         me = F.struct("id", "line_no", "key", "n", "pos")
-        # first of all, what is alone goes: the wider sort sees few rows, and
-        # its partitions are those of this count
-        rows = rows.withColumn("all", F.count(F.lit(1)).over(near)).where((F.col("all") > 1) | F.col("hot")).drop("all")
+        hot = F.col("salted").isNotNull()
+        # first of all, what is alone goes: the wider sort sees few rows, this
+        # one is by one long, and its partitions are those of this count
+        rows = rows.withColumn("all", F.count(F.lit(1)).over(near)).where((F.col("all") > 1) | hot).drop("all")
         return (rows.withColumn("nth", F.row_number().over(same)).withColumn("place", F.dense_rank().over(same))
                 .withColumn("many", F.count_if(F.col("nth") == 1).over(near))
                 .withColumn("first", F.min(me).over(near)).withColumn("mid", F.min(F.struct("pos", me.alias("l"))).over(near)["l"])
-                .where(((F.col("place") > 1) & (F.col("pos") == 0)) | ((F.col("nth") == 1) & ((F.col("many") > 1) | F.col("hot")))).drop("many", "place"))
+                .where(((F.col("place") > 1) & (F.col("pos") == 0)) | ((F.col("nth") == 1) & ((F.col("many") > 1) | hot))).drop("many", "place"))
 
-    met = C.stage(meet(entries, ["token", "salt"]), "met")
-    over = meet(met.where("hot and nth = 1").drop("nth", "first", "mid").withColumn("salt", F.lit(-1).cast("long")), ["token"])
-    met = met.withColumn("salt", F.col("salt").cast("long")).unionByName(over)
+    met = C.stage(meet(entries), "met")
+    # the first lines of a shingle's salts, by the shingle
+    over = meet(met.where("salted is not null and nth = 1").drop("nth", "first", "mid").withColumn("spot", F.col("salted")))
+    met = met.unionByName(over).withColumn("token", F.coalesce("salted", "spot"))
     equal = met.where("nth > 1").select("id", "line_no", "key")
-    met = met.where("nth = 1").select("token", "hot", "salt", F.struct("id", "line_no", "key", "n", "pos").alias("me"), "first", "mid")
+    met = met.where("nth = 1").select("token", F.struct("id", "line_no", "key", "n", "pos").alias("me"), "first", "mid")
 
     def ordered(x: str, y: str) -> list[Column]:
         p, q = (F.struct(f"{s}.id", f"{s}.line_no", f"{s}.key") for s in (x, y))
@@ -146,16 +149,21 @@ def removed_lines(docs: DataFrame, shingle_words: int = 5, num: int = 80, den: i
 
     pairs = C.stage(pairs_of(met, "first", "me").union(pairs_of(met, "mid", "me")).distinct(), "pairs")
 
-    def matched(pairs: DataFrame) -> DataFrame:
-        """(id, line_no, key) of the later lines of the pairs that verify."""
-        wanted = pairs.select("a.*").union(pairs.select("b.*")).distinct()
-        slot = F.pmod("id", F.lit(ID_WORDS * 64))
+    def among(rows: DataFrame, wanted: DataFrame, number: Column) -> DataFrame:
+        """``rows`` less most of those whose ``number`` no row of ``wanted`` has,
+        by a bitmap of bounded size."""
+        slot = F.pmod(number, F.lit(SLOT_WORDS * 64))
         words = (wanted.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")))
-        words = docs.sparkSession.range(ID_WORDS).withColumnRenamed("id", "w").join(words, "w", "left")
+        words = docs.sparkSession.range(SLOT_WORDS).withColumnRenamed("id", "w").join(words, "w", "left")
         bitmap = C.stage(words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits")), "bitmap")
-        bit = F.getbit(F.get(bitmap.select("bits").scalar(), F.expr(f"cast(pmod(id, {ID_WORDS * 64}) div 64 as int)")), F.pmod("id", F.lit(64)).cast("int"))
+        bits = F.get(bitmap.select("bits").scalar(), F.floor(slot / 64).cast("int"))
+        return rows.where(F.getbit(bits, F.pmod(slot, F.lit(64)).cast("int")) == 1)
+
+    def matched(pairs: DataFrame) -> DataFrame:
+        """(id, line_no, key) of the later lines of the pairs that verify."""
+        wanted = C.stage(pairs.select("a.*").union(pairs.select("b.*")).distinct(), "wanted")
         # rows of one id may hold other lines at a wanted number: the joins by p leave them out
-        again = _lines(docs.where(bit == 1)).join(wanted, ["id", "line_no"], "left_semi")
+        again = among(_lines(among(docs, wanted, F.col("id"))), wanted, F.xxhash64("id", "line_no")).join(wanted, ["id", "line_no"], "left_semi")
         sets = _sets(again, levels, k).select(F.struct("id", "line_no", F.xxhash64("codes").alias("key")).alias("p"), "codes")
         if repeats:
             sets = sets.dropDuplicates(["p"])

@@ -183,6 +183,25 @@ def test_line_dedup_of_repeated_ids(spark, monkeypatch, salt_rows):
     assert sorted((r.doc_id, r.text, r.n_removed) for r in twice) == [(1, a, 0), (1, a, 0), (2, b, 0), (2, b, 0)]
 
 
+def test_line_dedup_meets_by_one_long_and_looks_again_at_wanted_lines(spark, monkeypatch):
+    """Entries are dealt and sorted by a single long, and of a document with one
+    line of a pair, the other lines are left out before their words are cut."""
+    staged, cut, stage, sets = {}, [], C.stage, line_dedup._sets
+    monkeypatch.setattr(C, "stage", lambda df, label: staged.setdefault(label, df) is None or stage(df, label))
+    monkeypatch.setattr(line_dedup, "_sets", lambda lines, *a: cut.append(lines) or sets(lines, *a))
+    rng = np.random.default_rng(12)
+    line = lambda: " ".join(f"n{x}" for x in rng.integers(10**9, size=30))
+    a = line()
+    texts = ["\n".join([a, *(line() for _ in range(50))]), "\n".join([*(line() for _ in range(50)), a + " more"])]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1}
+    plan = staged["met"]._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"hashpartitioning\((.*?), \d+\)", plan))
+    assert len(dealt) == 1 and "," not in dealt.pop()
+    again = cut[1]._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"getbit\(.*pmod\(xxhash64\(id#\d+L?, line_no#\d+", again) and cut[1].count() == 2
+
+
 def base_spans(t):
     t = t or ""
     out = []
